@@ -28,7 +28,7 @@ def ceil_to(c: Column | str, minutes: int = BIN_MINUTES) -> Column:
 
 
 def plus_seconds(c: Column | str, seconds: Column | int) -> Column:
-    return F.timestamp_micros(F.unix_micros(col(c)) + (seconds if isinstance(seconds, Column) else F.lit(seconds)) * 1000000)
+    return F.timestamp_micros(F.unix_micros(col(c)) + (seconds if isinstance(seconds, Column) else F.lit(seconds)).cast("long") * 1000000)
 
 
 def seconds_between(later: Column | str, earlier: Column | str) -> Column:

@@ -51,19 +51,18 @@ def device_key(pn: Column, devcode: Column, devaddr: Column, sn: Column) -> Colu
 
 
 def parse_device_key(c: Column | str) -> Column:
-    """`pn|devcode|devaddr|sn` or `pn=..,devcode=..` in any order; NULL when a part is missing."""
+    """`pn|devcode|devaddr|sn` or `pn=.. | devcode=.. | devaddr=.. | sn=..`; NULL when a part is missing."""
     s = _text(c)
     names = ("pn", "devcode", "devaddr", "sn")
-    named = {n: F.nullif(F.regexp_extract(s, rf"(?i)(?:^|[,;& ]){n}\s*=\s*([^,;& ]+)", 1), F.lit("")) for n in names}
     parts = F.split(s, r"\|")
+    named = {n: F.nullif(F.trim(F.regexp_extract(s, rf"(?i)\b{n}\s*=\s*([^|]+)", 1)), F.lit("")) for n in names}
     placed = {n: F.nullif(F.trim(F.get(parts, F.lit(i))), F.lit("")) for i, n in enumerate(names)}
     value = {n: F.when(F.contains(s, F.lit("=")), named[n]).when(F.size(parts) == 4, placed[n]) for n in names}
+    address = value["devaddr"].try_cast("int")
     whole = F.struct(
-        value["pn"].alias("pn"), value["devcode"].try_cast("int").alias("devcode"),
-        value["devaddr"].try_cast("int").alias("devaddr"), value["sn"].alias("sn"),
+        value["pn"].alias("pn"), value["devcode"].alias("devcode"), address.alias("devaddr"), value["sn"].alias("sn")
     )
-    ok = value["pn"].isNotNull() & value["sn"].isNotNull() & value["devcode"].try_cast("int").isNotNull()
-    return F.when(ok & value["devaddr"].try_cast("int").isNotNull(), whole)
+    return F.when(value["pn"].isNotNull() & value["devcode"].isNotNull() & address.isNotNull() & value["sn"].isNotNull(), whole)
 
 
 def match_device_keys(sources: DataFrame, devices: DataFrame, keys: Sequence[str], source: str = "source_oper",
