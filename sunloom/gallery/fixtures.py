@@ -67,7 +67,7 @@ class Tables:
         g = g.withColumns({"q": q, "d": d})
         q, d, p = F.col("q"), F.col("d"), F.col("plant_id")
         x = (q - 48).cast("double") / 32.0
-        raw = F.greatest(F.lit(0.0), 900.0 * (1.0 - x * x)) * (1.0 - ((d * 7 + q + p) % 5).cast("double") / 16.0)
+        raw = F.greatest(F.lit(0.0), 900.0 * (1.0 - x * x)) * (1.0 - ((d * 7 + q + p) % 5).cast("double") / F.when(d % 3 == 0, 16.0).otherwise(256.0))
         g = g.withColumn("ghi", F.when((d * 96 + q + p) % 97 != 0, raw))
         ghi = F.col("ghi")
         seen = lambda c: F.when(ghi.isNotNull(), c)
@@ -198,7 +198,7 @@ SQL_TABLES = {
                 "CAST(day(ts_15) AS BIGINT) AS d FROM full_grid",
     "weather1": "SELECT *, CASE WHEN (d * 96 + q + plant_id) % 97 <> 0 THEN greatest(0.0::DOUBLE, 900.0::DOUBLE * (1.0::DOUBLE - "
                 "(CAST(q - 48 AS DOUBLE) / 32.0::DOUBLE) * (CAST(q - 48 AS DOUBLE) / 32.0::DOUBLE))) * "
-                "(1.0::DOUBLE - CAST((d * 7 + q + plant_id) % 5 AS DOUBLE) / 16.0::DOUBLE) END AS ghi FROM weather0",
+                "(1.0::DOUBLE - CAST((d * 7 + q + plant_id) % 5 AS DOUBLE) / CASE WHEN d % 3 = 0 THEN 16.0::DOUBLE ELSE 256.0::DOUBLE END) END AS ghi FROM weather0",
     "weather": "SELECT *, ghi * 0.75::DOUBLE AS dni, ghi * 0.25::DOUBLE AS dhi, CASE WHEN (q + d) % 11 <> 0 THEN ghi * 1.125::DOUBLE END AS gti, "
                "15.0::DOUBLE + ghi / 64.0::DOUBLE AS temp_air, CASE WHEN ghi IS NOT NULL THEN CAST(q % 8 AS DOUBLE) / 2 END AS wind_speed, "
                "CASE WHEN ghi IS NOT NULL THEN 40.0::DOUBLE + CAST(q % 30 AS DOUBLE) END AS rh, "

