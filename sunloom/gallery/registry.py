@@ -23,7 +23,7 @@ def with_tables(sql: str, recursive: bool = False) -> str:
 
     def visit(text: str) -> None:
         for name, body in SQL_TABLES.items():
-            if re.search(rf"\b{name}\b", text) and name not in needed:
+            if name not in needed and re.search(rf"\b(?:FROM|JOIN)\s+{name}\b", text):
                 visit(body)
                 if name not in needed:
                     needed.append(name)
