@@ -253,3 +253,14 @@ def health(t):
     m = t.raw("part").select("p_partkey", F.when(k % 5 == 0, "train").when(k % 5 == 1, "none").otherwise("validation").alias("metrics_source"), f1.alias("f1_macro"), f1.alias("balanced_accuracy"),
                              (k % 1500).alias("validation_samples"), (k % 20).alias("validation_days"), F.lit(4000).alias("total_samples"), F.lit(10).alias("train_samples"))
     return M.model_health(m).select("p_partkey", "status")
+
+
+@query("d35_train_and_score")
+def train_and_score(t):
+    from sunloom.plans import classifier as CL
+
+    tr = trackers(t).withColumn("i_ac_a", F.lit(None).cast("double"))
+    sc = M.scalers(t.bin_state, tr, P).withColumn("iac_p99", F.lit(1.0))
+    days = CL.labelled_days(tr, sc, P, copies=1)
+    _, report = CL.train_and_report(days, P, 1824, CL.ClassifierConfig(kind="forest", trees=10))
+    return report
