@@ -3,7 +3,7 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 SETTINGS = {
     "spark.sql.session.timeZone": "UTC",
@@ -31,3 +31,9 @@ def checkpoint_ready(spark: SparkSession) -> SparkSession:
         shared = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
         sc.setCheckpointDir(shared or tempfile.mkdtemp(prefix="sunloom-ckpt-"))
     return spark
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """Materialise in the shared checkpoint folder: survives lost executors, ends the lineage."""
+    checkpoint_ready(df.sparkSession)
+    return df.checkpoint(eager=True)
