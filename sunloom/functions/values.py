@@ -15,7 +15,7 @@ def col(c: Column | str) -> Column:
 def finite(c: Column | str) -> Column:
     """NaN and infinities become NULL, so aggregates are never poisoned."""
     c = col(c).try_cast("double")
-    return F.when(F.isnan(c) | (F.abs(c) == F.lit(float("inf"))), None).otherwise(c)
+    return F.when(F.abs(c) < F.lit(float("inf")), c)
 
 
 def clean_doubles(df: DataFrame) -> DataFrame:
@@ -63,14 +63,9 @@ def array_mean_nonzero(values: Iterable[Column], min_abs: float) -> Column:
 def parse_local_number(c: Column | str) -> Column:
     """`1.234,56`, `1234.56`, `20 V` → double: with both marks the rightmost one is the decimal mark."""
     s = F.regexp_replace(col(c).cast("string"), r"[^0-9\-.,]", "")
-    comma, dot = F.locate(",", F.reverse(s)), F.locate(".", F.reverse(s))
-    both = (comma > 0) & (dot > 0)
-    text = (
-        F.when(both & (comma < dot), F.replace(F.replace(s, F.lit("."), F.lit("")), F.lit(","), F.lit(".")))
-        .when(both, F.replace(s, F.lit(","), F.lit("")))
-        .otherwise(F.replace(s, F.lit(","), F.lit(".")))
-    )
-    return finite(text.try_cast("double"))
+    s = F.regexp_replace(s, r"\.(?=.*,[^.,]*$)", "")
+    s = F.regexp_replace(s, r",(?=.*\.[^.,]*$)", "")
+    return F.translate(s, ",", ".").try_cast("double")
 
 
 def parse_comma_number(c: Column | str) -> Column:
