@@ -15,7 +15,7 @@ SQL_TABLES["cand"] = """SELECT p.plant_id, p.source_oper, pred_id, truth_id, CAS
    greatest(0, epoch(least(p.ts_end_utc, t.ts_end_utc)) - epoch(greatest(p.ts_start_utc, t.ts_start_utc))) AS ov,
    epoch(p.ts_end_utc) - epoch(p.ts_start_utc) + epoch(t.ts_end_utc) - epoch(t.ts_start_utc) AS tot
    FROM pred_events p JOIN truth_events t ON p.plant_id = t.plant_id AND p.source_oper = t.source_oper AND truth_state = 'confirmed'
-   AND ((p.ts_start_utc < t.ts_end_utc AND t.ts_start_utc < p.ts_end_utc) OR linked_pred_id = pred_id)"""
+   AND (least(p.ts_end_utc, t.ts_end_utc) > greatest(p.ts_start_utc, t.ts_start_utc) OR linked_pred_id = pred_id)"""
 SQL_TABLES["cands"] = "SELECT *, CASE WHEN ov > 0 AND tot - ov > 0 THEN ov / (tot - ov) ELSE 0 END AS iou FROM cand"
 SQL_TABLES["ranked"] = """SELECT *, row_number() OVER (PARTITION BY plant_id, source_oper ORDER BY linked DESC, iou DESC, ov DESC, p0, pred_id, t0, truth_id) AS rk FROM cands"""
 MATCH = """WITH RECURSIVE rr AS MATERIALIZED (SELECT * FROM ranked), g(plant_id, source_oper, rk, pu, tu, hit) AS (
