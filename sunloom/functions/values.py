@@ -60,12 +60,34 @@ def array_mean_nonzero(values: Iterable[Column], min_abs: float) -> Column:
     return F.when(F.size(kept) > 0, total / F.size(kept))
 
 
+def _strip_units(text: Column) -> Column:
+    return F.when(text.rlike(r"[^0-9\-.,]"), F.regexp_replace(text, r"[^0-9\-.,]", "")).otherwise(text)
+
+
+def _local_number(s: Column) -> Column:
+    swap = lambda x, a, b: F.replace(x, F.lit(a), F.lit(b))
+    comma, dot = F.locate(",", F.reverse(s)), F.locate(".", F.reverse(s))
+    number = (
+        F.when(~F.contains(s, F.lit(",")), s).when(~F.contains(s, F.lit(".")), swap(s, ",", "."))
+        .when(comma < dot, swap(swap(s, ".", ""), ",", ".")).otherwise(swap(s, ",", ""))
+    )
+    return number.try_cast("double")
+
+
 def parse_local_number(c: Column | str) -> Column:
     """`1.234,56`, `1234.56`, `20 V` → double: with both marks the rightmost one is the decimal mark."""
-    s = F.regexp_replace(col(c).cast("string"), r"[^0-9\-.,]", "")
-    s = F.regexp_replace(s, r"\.(?=.*,[^.,]*$)", "")
-    s = F.regexp_replace(s, r",(?=.*\.[^.,]*$)", "")
-    return F.translate(s, ",", ".").try_cast("double")
+    return _local_number(_strip_units(F.trim(col(c).cast("string"))))
+
+
+def with_local_numbers(df: DataFrame, texts: dict[str, Column]) -> DataFrame:
+    """Many localised numbers at once.
+
+    One lambda over the array of texts keeps the generated code small; spelled out per column it grows
+    past what the JIT compiles.
+    """
+    words = F.array(*[F.trim(t.cast("string")) for t in texts.values()])
+    df = df.withColumn("_n", F.transform(F.transform(words, _strip_units), _local_number))
+    return df.withColumns({n: F.get("_n", F.lit(i)) for i, n in enumerate(texts)}).drop("_n")
 
 
 def parse_comma_number(c: Column | str) -> Column:

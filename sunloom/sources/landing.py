@@ -74,24 +74,23 @@ def extract_payload(df: DataFrame, provider: str = "provedor", payload: str = "p
     known = F.upper(F.coalesce(F.col(provider), F.lit(""))) == PARSED_VENDOR
     df = df.withColumn("_p", F.when(known, payload_map(payload)))
     p = F.col("_p")
-    volts = {k: V.parse_local_number(F.try_element_at(p, F.lit(MPPT_V_TITLE.format(k=k)))) for k in (1, 2, 3, 4)}
-    amps = {k: V.parse_local_number(F.try_element_at(p, F.lit(MPPT_I_TITLE.format(k=k)))) for k in (1, 2, 3, 4)}
-    df = df.withColumns({**{f"mppt{k}_vdc_v": v for k, v in volts.items()}, **{f"mppt{k}_idc_a": i for k, i in amps.items()}})
-    v = [F.col(f"mppt{k}_vdc_v") for k in volts]
-    i = [F.col(f"mppt{k}_idc_a") for k in amps]
-    vdc, idc = weighted_dc(v, i)
-    phase = lambda titles: [V.parse_local_number(F.try_element_at(p, F.lit(n))) for n in titles]
+    at = lambda title: F.try_element_at(p, F.lit(title))
+    ks = (1, 2, 3, 4)
+    texts = {"p_ac_w": first_title(p, PAC_TITLES), "p_dc_w": first_title(p, PDC_TITLES)}
+    texts |= {f"mppt{k}_vdc_v": at(MPPT_V_TITLE.format(k=k)) for k in ks} | {f"mppt{k}_idc_a": at(MPPT_I_TITLE.format(k=k)) for k in ks}
+    texts |= {f"_v{n}": at(t) for n, t in enumerate(PHASE_V_TITLES)} | {f"_i{n}": at(t) for n, t in enumerate(PHASE_I_TITLES)}
+    df = V.with_local_numbers(df.withColumn("payload_time", at(TIME_TITLE)), texts)
+    volts, amps = [F.col(f"mppt{k}_vdc_v") for k in ks], [F.col(f"mppt{k}_idc_a") for k in ks]
+    vdc, idc = weighted_dc(volts, amps)
+    phases = {"_v": PHASE_V_TITLES, "_i": PHASE_I_TITLES}
+    cols = {n: [F.col(f"{n}{j}") for j in range(len(t))] for n, t in phases.items()}
     return df.withColumns(
         {
-            "p_ac_w": V.parse_local_number(first_title(p, PAC_TITLES)),
-            "p_dc_w": V.parse_local_number(first_title(p, PDC_TITLES)),
             "v_dc_v": vdc, "i_dc_a": idc,
-            "v_ac_v": V.array_mean_nonzero(phase(PHASE_V_TITLES), 5.0),
-            "i_ac_a": V.array_mean_nonzero(phase(PHASE_I_TITLES), 0.05),
-            **{f"mppt{k}_p_dc_w": F.when(F.col(f"mppt{k}_idc_a") > 0, F.col(f"mppt{k}_vdc_v") * F.col(f"mppt{k}_idc_a")) for k in volts},
-            "payload_time": F.try_element_at(p, F.lit(TIME_TITLE)),
+            "v_ac_v": V.array_mean_nonzero(cols["_v"], 5.0), "i_ac_a": V.array_mean_nonzero(cols["_i"], 0.05),
+            **{f"mppt{k}_p_dc_w": F.when(i > 0, v * i) for k, v, i in zip(ks, volts, amps)},
         }
-    ).drop("_p")
+    ).drop("_p", *[c for n, t in phases.items() for c in (f"{n}{j}" for j in range(len(t)))])
 
 
 def extract_candidates(df: DataFrame, payload: str, candidates: dict[str, Sequence[str]]) -> DataFrame:
