@@ -314,7 +314,7 @@ def merged_events(t):
 @query("w12_hysteresis",
        f"""WITH l AS (SELECT plant_id, ts_15, CASE {LEGACY} WHEN 'invalid' THEN -1 WHEN 'normal' THEN 0 WHEN 'degradation' THEN 2 ELSE 3 END AS code FROM bin_state),
        g AS (SELECT *, row_number() OVER (PARTITION BY plant_id ORDER BY ts_15) - row_number() OVER (PARTITION BY plant_id, code ORDER BY ts_15) AS r FROM l)
-       SELECT plant_id, ts_15, CASE WHEN code > 0 AND count(*) OVER (PARTITION BY plant_id, code, r) < 4 THEN 0 ELSE code END AS code_stable FROM g""")
+       SELECT plant_id, ts_15, CASE WHEN code > 0 AND count(*) OVER (PARTITION BY plant_id, code, r) < 4 THEN 0 ELSE code END AS code_stable FROM g""", longs=["code_stable"])
 def hysteresis(t):
     code = V.lookup(F.col("label"), {"invalid": -1, "normal": 0, "degradation": 2}, F.lit(3))
     return D.persistent_faults(legacy(t).withColumn("code", code), SER).select("plant_id", "ts_15", "code_stable")

@@ -196,7 +196,7 @@ def upsert_pair(t):
 
 
 @query("s12_upsert_rows",
-       f"SELECT l_orderkey, l_linenumber, coalesce(n.q, o.q) AS q, coalesce(o.s, n.s) AS s FROM {UPSERT_OLD} o FULL JOIN {UPSERT_NEW} n USING (l_orderkey, l_linenumber)", ["q"])
+       f"SELECT l_orderkey, l_linenumber, coalesce(n.q, o.q) AS q, coalesce(o.s, n.s) AS s FROM {UPSERT_OLD} o FULL JOIN {UPSERT_NEW} n USING (l_orderkey, l_linenumber)", ["q"], longs=["l_linenumber"])
 def upsert(t):
     old, new = upsert_pair(t)
     return TB.merge_rows(old, new, ["l_orderkey", "l_linenumber"], ["q"])
@@ -239,7 +239,7 @@ def drop_totals(t):
 
 
 @query("j05_insert_only_new_keys",
-       f"SELECT l_orderkey, l_linenumber, q FROM {UPSERT_NEW} n ANTI JOIN {UPSERT_OLD} o USING (l_orderkey, l_linenumber)", ["q"])
+       f"SELECT l_orderkey, l_linenumber, q FROM {UPSERT_NEW} n ANTI JOIN {UPSERT_OLD} o USING (l_orderkey, l_linenumber)", ["q"], longs=["l_linenumber"])
 def insert_only(t):
     old, new = upsert_pair(t)
     return TB.insert_only(old, new, ["l_orderkey", "l_linenumber"], [F.col("q")]).select("l_orderkey", "l_linenumber", "q")
@@ -339,7 +339,7 @@ def distinct_devices(t):
 
 
 @query("x01_localised_numbers",
-       "SELECT l_orderkey, l_linenumber, l_partkey, l_extendedprice AS eu, l_extendedprice AS us, l_quantity AS unit, NULL::DOUBLE AS junk FROM lineitem", ["eu", "us", "unit", "junk"])
+       "SELECT l_orderkey, l_linenumber, l_partkey, l_extendedprice AS eu, l_extendedprice AS us, l_quantity AS unit, NULL::DOUBLE AS junk FROM lineitem", ["eu", "us", "unit", "junk"], longs=["l_linenumber"])
 def localised(t):
     d = F.format_number("l_extendedprice", 2)
     eu = F.translate(d, ",.", ".,")
@@ -349,7 +349,7 @@ def localised(t):
         V.parse_local_number(F.lit("--1.2")).alias("junk"))
 
 
-@query("x02_comma_numbers", "SELECT l_orderkey, l_linenumber, l_partkey, l_discount AS v FROM lineitem", ["v"])
+@query("x02_comma_numbers", "SELECT l_orderkey, l_linenumber, l_partkey, l_discount AS v FROM lineitem", ["v"], longs=["l_linenumber"])
 def comma(t):
     return t.raw("lineitem").select("l_orderkey", "l_linenumber", "l_partkey", V.parse_comma_number(F.replace(F.col("l_discount").cast("string"), F.lit("."), F.lit(","))).alias("v"))
 

@@ -56,8 +56,8 @@ def tidy(df: DataFrame) -> DataFrame:
     return clean_doubles(df.select(*out))
 
 
-def query(name: str, sql: str | None = None, doubles: Sequence[str] = (), recursive: bool = False):
-    """Register `fn(tables) -> DataFrame`; `doubles` are rounded in the SQL as `tidy` does here."""
+def query(name: str, sql: str | None = None, doubles: Sequence[str] = (), recursive: bool = False, longs: Sequence[str] = ()):
+    """Register `fn(tables) -> DataFrame`; the SQL's `doubles` are rounded and its `longs` widened as `tidy` does here."""
 
     def register(fn: Callable[[Tables], DataFrame]):
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -67,9 +67,10 @@ def query(name: str, sql: str | None = None, doubles: Sequence[str] = (), recurs
         QUERIES[name] = run
         if sql is not None:
             body = with_tables(sql, recursive)
-            if doubles:
-                rounded = ", ".join(f"floor(CAST({c} AS DOUBLE) * 1e6 + 0.4637) / 1e6 AS {c}" for c in doubles)
-                body = f"SELECT * REPLACE ({rounded}) FROM ({body}) AS answer"
+            fixed = [f"floor(CAST({c} AS DOUBLE) * 1e6 + 0.4637) / 1e6 AS {c}" for c in doubles]
+            fixed += [f"CAST({c} AS BIGINT) AS {c}" for c in longs]
+            if fixed:
+                body = f"SELECT * REPLACE ({', '.join(fixed)}) FROM ({body}) AS answer"
             ORACLES[name] = body
         return fn
 

@@ -38,7 +38,7 @@ def stamp(df, c="day"):
     return df.withColumn(c, F.col(c).cast("timestamp"))
 
 
-@query("d39_report_points", "SELECT plant_id, ts_15, state, label, day, month FROM pts")
+@query("d39_report_points", "SELECT plant_id, ts_15, state, label, day, month FROM pts", longs=["state"])
 def report_points(t):
     return stamp(points(t)).select("plant_id", "ts_15", "state", "label", "day", "month")
 
@@ -126,19 +126,19 @@ def heat(t):
     return RP.heatmap(t.merged, heat_diag(t), cells, P, TZ)
 
 
-@query("d37_coverage_first_heatmap", "SELECT plant_id, day, bin, state, label, event_id FROM heat")
+@query("d37_coverage_first_heatmap", "SELECT plant_id, day, bin, state, label, event_id FROM heat", longs=["state"])
 def heatmap(t):
     return stamp(heat(t))
 
 
-@query("j14_layered_overlay_counts", "SELECT plant_id, state, label, count(*) AS n FROM heat GROUP BY 1, 2, 3")
+@query("j14_layered_overlay_counts", "SELECT plant_id, state, label, count(*) AS n FROM heat GROUP BY 1, 2, 3", longs=["state"])
 def layered(t):
     return heat(t).groupBy("plant_id", "state", "label").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("u06_dense_day_matrix",
        """WITH g AS (SELECT plant_id, unnest(generate_series(range_start, range_end - INTERVAL 1 DAY, INTERVAL 1 DAY)) AS day FROM plant_ranges), m AS (SELECT *, unnest(range(0, 96)) AS bin FROM g)
-       SELECT m.plant_id, m.day, m.bin, coalesce(h.state, 0) AS state, coalesce(h.label, 'sem_diagnostico') AS label FROM m LEFT JOIN heat h ON h.plant_id = m.plant_id AND h.day = m.day AND h.bin = m.bin""")
+       SELECT m.plant_id, m.day, m.bin, coalesce(h.state, 0) AS state, coalesce(h.label, 'sem_diagnostico') AS label FROM m LEFT JOIN heat h ON h.plant_id = m.plant_id AND h.day = m.day AND h.bin = m.bin""", longs=["state"])
 def dense(t):
     return stamp(RP.dense_heatmap(heat(t), t.ranges, P)).select("plant_id", "day", "bin", "state", "label")
 
@@ -174,7 +174,7 @@ CAUSE = "CASE WHEN NOT valid_model THEN 0 WHEN mismatch_rel IS NULL THEN 0 WHEN
 
 
 @query("d38_diagnostic_codes", f"""WITH c AS (SELECT plant_id, ts_15, {CAUSE} AS code FROM bin_state), r AS (SELECT *, row_number() OVER (PARTITION BY plant_id ORDER BY ts_15) - row_number() OVER (PARTITION BY plant_id, code ORDER BY ts_15) AS g FROM c)
-   SELECT plant_id, ts_15, code, CASE WHEN code NOT IN (0, 1) AND count(*) OVER (PARTITION BY plant_id, code, g) < 4 THEN 1 ELSE code END AS code_stable FROM r""")
+   SELECT plant_id, ts_15, code, CASE WHEN code NOT IN (0, 1) AND count(*) OVER (PARTITION BY plant_id, code, g) < 4 THEN 1 ELSE code END AS code_stable FROM r""", longs=["code", "code_stable"])
 def codes(t):
     c = F.col
     none = F.lit(None).cast("double")
@@ -207,7 +207,7 @@ def records(t):
 
 
 @query("d38_scatter_points", f"""SELECT plant_id, ts_15, x AS x_gcv, mismatch_rel AS y_mismatch, {CAUSE} AS code FROM (SELECT *, CASE WHEN row_number() OVER (PARTITION BY plant_id ORDER BY ts_15) >= 4 THEN stddev_pop(g_poa) OVER w / greatest(avg(g_poa) OVER w, 50) END AS x FROM bin_state
-   WINDOW w AS (PARTITION BY plant_id ORDER BY ts_15 ROWS BETWEEN 3 PRECEDING AND CURRENT ROW)) WHERE valid_model AND x IS NOT NULL AND mismatch_rel IS NOT NULL""", ["x_gcv", "y_mismatch"])
+   WINDOW w AS (PARTITION BY plant_id ORDER BY ts_15 ROWS BETWEEN 3 PRECEDING AND CURRENT ROW)) WHERE valid_model AND x IS NOT NULL AND mismatch_rel IS NOT NULL""", ["x_gcv", "y_mismatch"], longs=["code"])
 def scatter(t):
     c = F.col
     none = F.lit(None).cast("double")

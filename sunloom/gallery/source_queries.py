@@ -191,7 +191,7 @@ def inventory(t):
 @query("a33_plant_topology",
        """WITH c AS (SELECT p_partkey // 8 AS plant_id, p_partkey % 4 + 1 AS mppt, p_size % 5 + 1 AS strings_qty, p_size // 30 + 10 AS modules_per_string FROM part)
        SELECT plant_id, CAST(sum(strings_qty) AS BIGINT) AS strings_count, CAST(sum(strings_qty * modules_per_string) AS BIGINT) AS modules_total,
-       CASE WHEN count(DISTINCT modules_per_string) = 1 THEN min(modules_per_string) END AS modules_per_string FROM c GROUP BY 1""")
+       CASE WHEN count(DISTINCT modules_per_string) = 1 THEN min(modules_per_string) END AS modules_per_string FROM c GROUP BY 1""", longs=["modules_per_string"])
 def topology(t):
     return TT.topology(string_configs(t))
 

@@ -129,7 +129,7 @@ def day_vectors(t):
 @query("w18_sliding_day_windows",
        """WITH b AS (SELECT plant_id, ts_15, row_number() OVER (PARTITION BY plant_id ORDER BY ts_15) AS rn, avg(CASE WHEN mppt1_vdc_v * mppt1_idc_a > 0.001 THEN 1 ELSE 0 END) OVER w AS a1, avg(CASE WHEN mppt2_vdc_v * mppt2_idc_a > 0.001 THEN 1 ELSE 0 END) OVER w AS a2,
             avg(CASE WHEN mppt3_vdc_v * mppt3_idc_a > 0.001 THEN 1 ELSE 0 END) OVER w AS a3, sum(mppt1_idc_a) OVER w AS s1 FROM trk_wide WINDOW w AS (PARTITION BY plant_id ORDER BY ts_15 ROWS BETWEEN 95 PRECEDING AND CURRENT ROW))
-       SELECT plant_id, ts_15 AS ts_end, 96 AS n, coalesce(s1, 0) AS i1_sum FROM b WHERE rn >= 96 AND (rn - 96) % 4 = 0 AND (a1 >= 0.1)::INT + (a2 >= 0.1)::INT + (a3 >= 0.1)::INT >= 2""", ["i1_sum"])
+       SELECT plant_id, ts_15 AS ts_end, 96 AS n, coalesce(s1, 0) AS i1_sum FROM b WHERE rn >= 96 AND (rn - 96) % 4 = 0 AND (a1 >= 0.1)::INT + (a2 >= 0.1)::INT + (a3 >= 0.1)::INT >= 2""", ["i1_sum"], longs=["n"])
 def windows(t):
     w = wide(t).withColumns({f"p{k}": F.col(f"mppt{k}_vdc_v") * F.col(f"mppt{k}_idc_a") for k in (1, 2, 3)})
     out = M.sliding_windows(w, SER, ["mppt1_idc_a", "g_poa"], stride=4, active=["p1", "p2", "p3"])
@@ -142,7 +142,7 @@ def windows(t):
            f"count(*) FILTER (sun AND i{k} IS NOT NULL) OVER w AS n{k}, count(*) FILTER (sun AND i{k} <= 0.02) OVER w AS l{k}, count(*) FILTER (sun AND i{k} >= 0.05) OVER w AS h{k}" for k in (1, 2, 3))
        + """ FROM (SELECT *, coalesce(g_poa >= 300, false) AS sun, mppt1_idc_a / 9 AS i1, mppt2_idc_a / 9 AS i2, CASE WHEN d % 3 <> 0 THEN 0.0::DOUBLE ELSE mppt3_idc_a / 9 END AS i3 FROM trk_wide) WINDOW w AS (PARTITION BY plant_id ORDER BY ts_15 ROWS BETWEEN 95 PRECEDING AND CURRENT ROW)),
        l AS (SELECT *, """ + ", ".join(f"coalesce(n{k} >= 12 AND h{k} / n{k} >= 0.5, false) AS o{k}" for k in (1, 2, 3)) + """ FROM f WHERE rn >= 96 AND (rn - 96) % 4 = 0)
-       SELECT plant_id, ts_15 AS ts_end, """ + ", ".join(f"CASE WHEN NOT (s >= 12 AND n{k} >= 12) THEN -100 WHEN ({' OR '.join(f'o{m}' for m in (1, 2, 3) if m != k)}) AND l{k} / n{k} >= 0.7 THEN 1 ELSE 0 END AS y{k}" for k in (1, 2, 3)) + " FROM l")
+       SELECT plant_id, ts_15 AS ts_end, """ + ", ".join(f"CASE WHEN NOT (s >= 12 AND n{k} >= 12) THEN -100 WHEN ({' OR '.join(f'o{m}' for m in (1, 2, 3) if m != k)}) AND l{k} / n{k} >= 0.7 THEN 1 ELSE 0 END AS y{k}" for k in (1, 2, 3)) + " FROM l", longs=["y1", "y2", "y3"])
 def weak(t):
     w = wide(t).withColumns({"i1": F.col("mppt1_idc_a") / 9, "i2": F.col("mppt2_idc_a") / 9, "i3": F.when(F.col("d") % 3 != 0, 0.0).otherwise(F.col("mppt3_idc_a") / 9)})
     return M.weak_labels(w, SER, ["i1", "i2", "i3"], stride=4)
