@@ -65,27 +65,45 @@ def parse_device_key(c: Column | str) -> Column:
     return F.when(value["pn"].isNotNull() & value["devcode"].isNotNull() & address.isNotNull() & value["sn"].isNotNull(), whole)
 
 
+def _substrings(c: Column) -> Column:
+    """All distinct substrings of a short identifier."""
+    starts = F.sequence(F.lit(1), F.greatest(F.length(c), F.lit(1)))
+    parts = F.transform(starts, lambda i: F.transform(F.sequence(F.lit(1), F.greatest(F.length(c) - i + 1, F.lit(1))), lambda n: F.substring(c, i, n)))
+    return F.array_distinct(F.flatten(parts))
+
+
+def _prefixes(c: Column) -> Column:
+    return F.transform(F.sequence(F.lit(1), F.greatest(F.length(c), F.lit(1))), lambda n: F.left(c, n))
+
+
 def match_device_keys(sources: DataFrame, devices: DataFrame, keys: Sequence[str], source: str = "source_oper",
                       device: str = "device_key", order: str = "device_order") -> DataFrame:
     """Best device for every source of a plant.
 
     Exact normalised name first, then containment (0.9 · shorter/longer), then shared prefix share;
-    equal scores go to the first device in order.  Pairs exist only within one plant's device list.
+    equal scores go to the first device in order.  Containment and prefixes are equi-joins on
+    substrings of the short identifiers, so a plant with many devices never forms all pairs.
     """
-    s, d = normal_id(F.col(source)), normal_id(F.col(device))
-    pairs = sources.withColumn("_s", s).join(devices.withColumn("_d", d), list(keys), "left").filter(F.col("_s") != "")
-    a, b = F.col("_s"), F.col("_d")
-    longest = F.greatest(F.length(a), F.length(b))
-    inside = (b != "") & (F.contains(b, a) | F.contains(a, b))
-    width = F.least(F.length(a), F.length(b))
-    prefix = F.coalesce(
-        F.array_max(F.filter(F.sequence(F.lit(0), width), lambda n: F.left(a, n) == F.left(b, n))), F.lit(0)
-    )
-    score = F.when(a == b, 2.0).when(inside, 1.0 + 0.9 * width / longest).otherwise(prefix / longest)
-    best = F.max_by(F.struct(F.col(device)), F.struct(F.col("_score"), -F.col(order)))
-    scored = pairs.withColumn("_score", score).filter(F.col("_score") > 0)
-    won = scored.groupBy(*keys, source).agg(best.alias("_best")).select(*keys, source, F.col(f"_best.{device}").alias(device))
-    return sources.select(*keys, source).distinct().join(won, [*keys, source], "left")
+    keys = list(keys)
+    c = F.col
+    s = sources.select(*keys, source).distinct().withColumn("_s", normal_id(c(source)))
+    named = s.filter("_s <> ''")
+    d = devices.withColumn("_d", normal_id(c(device))).filter("_d <> ''")
+    d = d.groupBy(*keys, "_d").agg(F.min_by(device, order).alias(device), F.min(order).alias("_o"))
+    pick = lambda score: F.struct(score.alias("score"), (-c("_o")).alias("o"), c(device).alias("device"))
+    same = c("_s") == c("_d")
+    longest, shortest = F.greatest(F.length("_s"), F.length("_d")), F.least(F.length("_s"), F.length("_d"))
+    part = F.when(same, 2.0).otherwise(1.0 + 0.9 * shortest / longest)
+    in_source = named.withColumn("_d", F.explode(_substrings(c("_s")))).join(d, [*keys, "_d"])
+    in_device = d.withColumn("_s", F.explode(_substrings(c("_d")))).join(named, [*keys, "_s"])
+    cols = [*keys, source, pick(part).alias("_p")]
+    # devices with one prefix and length score alike: the first of them stands for all
+    stems = d.withColumn("_x", F.explode(_prefixes(c("_d")))).groupBy(*keys, "_x", F.length("_d").alias("_len")).agg(
+        F.min_by(device, "_o").alias(device), F.min("_o").alias("_o"))
+    shared = named.withColumn("_x", F.explode(_prefixes(c("_s")))).join(stems, [*keys, "_x"])
+    prefix = pick(F.length("_x") / F.greatest(F.length("_s"), c("_len"))).alias("_p")
+    best = in_source.select(*cols).union(in_device.select(*cols)).union(shared.select(*keys, source, prefix)).groupBy(*keys, source).agg(F.max("_p").alias("_p"))
+    return s.select(*keys, source).join(best, [*keys, source], "left").select(*keys, source, c("_p.device").alias(device))
 
 
 def dominant(df: DataFrame, keys: Sequence[str], value: Sequence[str], where: Column | None = None,

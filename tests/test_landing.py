@@ -1,6 +1,7 @@
 """Parsers, payloads, catalogue and screening on hand-made rows."""
 import datetime as dt
 import json
+import random
 
 import pytest
 from pyspark.errors import PySparkException
@@ -100,3 +101,33 @@ def test_clock_repair_rounds_and_ignores_small_shifts(spark):
     df = spark.createDataFrame(rows, "plant_id int, tz string, ts_utc timestamp, payload_time string")
     got = {r.plant_id: (r.clock_mode, r.shift_minutes) for r in L.repair_clock(df, ["plant_id"]).collect()}
     assert got == {1: ("utc", 45), 2: ("utc", 0), 3: ("plant_local", 0), 4: ("none", 0)}
+
+
+def test_device_match_equals_brute_force(spark):
+    rnd = random.Random(2)
+    word = lambda: "".join(rnd.choice("ab1") for _ in range(rnd.randrange(1, 7)))
+    dev = [(p, word().upper(), i) for p in (1, 2) for i in range(25)]
+    src = list({(p, word()) for p in (1, 2) for _ in range(60)})
+
+    def prefix(a, b):
+        n = 0
+        while n < min(len(a), len(b)) and a[n] == b[n]:
+            n += 1
+        return n
+
+    def best(s, names):
+        low = [(n, n.lower()) for n in names]
+        exact = [n for n, d in low if d == s]
+        inside = [(min(len(s), len(d)) / max(len(s), len(d)), n) for n, d in low if s in d or d in s]
+        stem = [(prefix(s, d) / max(len(s), len(d)), n) for n, d in low]
+        for group in (inside, stem):
+            if exact:
+                return exact[0]
+            if group and max(group, key=lambda g: g[0])[0] > 0:
+                return max(group, key=lambda g: g[0])[1]
+        return None
+
+    d = spark.createDataFrame(dev, "plant_id int, device_key string, device_order int")
+    s = spark.createDataFrame(src, "plant_id int, source_oper string")
+    got = {(r.plant_id, r.source_oper): r.device_key for r in K.match_device_keys(s, d, ["plant_id"]).collect()}
+    assert got == {(p, x): best(x, [n for q, n, _ in dev if q == p]) for p, x in src}
