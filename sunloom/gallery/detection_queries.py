@@ -8,6 +8,7 @@ from sunloom.functions import labels as LB, timegrid as tg, values as V
 from sunloom.gallery.fixtures import SQL_TABLES
 from sunloom.gallery.registry import query
 from sunloom.operators import confidence as C, detect as D, events as E, quality as Q, rca as RC, residuals as R, series as S
+from sunloom.session import checkpointed
 
 P = ["plant_id"]
 SER = S.Series(("plant_id",), "ts_15")
@@ -379,7 +380,7 @@ def _with_signal(t):
 
 
 def diagnosed(t):
-    b = rca_input(t)
+    b = checkpointed(rca_input(t))      # read by the baseline and by the rules
     ch = {**channels(), "p_ac": (F.col("mismatch_rel"), F.col("c_p_ac"))}
     return RC.diagnose(b.join(RC.rca_baseline(b, P), P), ch)
 
