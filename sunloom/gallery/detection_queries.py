@@ -4,7 +4,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from sunloom.config import DetectConfig
-from sunloom.functions import labels as LB, timegrid as tg, values as V
+from sunloom.functions import labels as LB, values as V
 from sunloom.gallery.fixtures import SQL_TABLES
 from sunloom.gallery.registry import query
 from sunloom.operators import confidence as C, detect as D, events as E, quality as Q, rca as RC, residuals as R, series as S

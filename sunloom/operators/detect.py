@@ -9,7 +9,6 @@ from pyspark.sql import functions as F
 from sunloom.config import DetectConfig, LegacyConfig
 from sunloom.functions import timegrid as tg
 from sunloom.functions import values as V
-from sunloom.operators import keys as K
 from sunloom.operators import residuals as R
 from sunloom.operators import series as S
 from sunloom.session import checkpoint_ready
