@@ -92,3 +92,11 @@ def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from sunloom.llm.exact import exact_duplicates
 
     return exact_duplicates(table(spark, sf_dir, "documents"))
+
+
+@query()
+def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Predicted language of every document, learned from the documents that are not held out."""
+    from sunloom.llm.langid import language_verdict
+
+    return language_verdict(table(spark, sf_dir, "documents"))
