@@ -100,3 +100,22 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     from sunloom.llm.langid import language_verdict
 
     return language_verdict(table(spark, sf_dir, "documents"))
+
+
+@query(
+    """
+WITH p AS (SELECT page_id, octet_length(encode(coalesce(html, ''))) AS payload_bytes, sha1(coalesce(html, '')) AS payload_digest, coalesce(html, '') AS html FROM pages),
+g AS (SELECT *, CASE WHEN payload_bytes >= 1000 THEN max(page_id) OVER (PARTITION BY html) ELSE page_id END AS stored FROM p)
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN stored = page_id THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN stored <> page_id THEN stored END AS refers_to
+FROM g
+"""
+)
+def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page written to archives and read back."""
+    from sunloom.llm.common import scratch_path
+    from sunloom.llm.warc import read_archives, records, write_archives
+
+    path = scratch_path(spark, "archives")
+    write_archives(records(table(spark, sf_dir, "pages")), path)
+    return read_archives(spark, path, payload=False).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
