@@ -162,3 +162,34 @@ def op1_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     odd = spark.range(2).select(F.lit(-1).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(said).alias("text"))
     turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(odd)
     return conversation_digests(parse(render(fold(log_of(turns)))))
+
+
+@query(
+    r"""
+WITH RECURSIVE words AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[ \t\n\x0B\f\r]+'), lambda w: w <> '') AS w
+  FROM documents
+),
+grams AS (
+  SELECT DISTINCT doc_id, array_to_string(w[i:i + 4], ' ') AS g FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 4, 1) + 1)) AS i FROM words WHERE len(w) > 0)
+),
+sizes AS (SELECT w.doc_id, count(g) AS n FROM words w LEFT JOIN grams USING (doc_id) GROUP BY w.doc_id),
+sets AS (SELECT doc_id, list(g ORDER BY g) AS s FROM grams GROUP BY doc_id),
+classes AS (SELECT doc_id, min(doc_id) OVER (PARTITION BY s) AS rep FROM sets),
+rep_grams AS (SELECT doc_id, g FROM grams WHERE doc_id IN (SELECT rep FROM classes)),
+shared_counts AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS inter FROM rep_grams x JOIN rep_grams y ON x.g = y.g AND x.doc_id < y.doc_id GROUP BY ALL),
+links AS (
+  SELECT a, b FROM shared_counts JOIN sizes x ON x.doc_id = a JOIN sizes y ON y.doc_id = b WHERE 100 * inter >= 75 * (x.n + y.n - inter)
+),
+edges AS (SELECT a, b FROM links UNION SELECT b, a FROM links),
+reach AS (SELECT rep AS node, rep AS seen FROM (SELECT DISTINCT rep FROM classes) UNION SELECT r.node, e.b FROM reach r JOIN edges e ON e.a = r.seen),
+roots AS (SELECT node, min(seen) AS root FROM reach GROUP BY node)
+SELECT s.doc_id, s.n AS n_shingles, coalesce(root, s.doc_id) AS component_id
+FROM sizes s LEFT JOIN classes c ON c.doc_id = s.doc_id LEFT JOIN roots ON node = rep
+"""
+)
+def op9_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with the size of its shingle set and its component under the similarity join."""
+    from sunloom.llm.ngram_join import ngram_components
+
+    return ngram_components(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
