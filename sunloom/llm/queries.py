@@ -193,3 +193,13 @@ def op9_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     from sunloom.llm.ngram_join import ngram_components
 
     return ngram_components(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
+
+
+@query()
+def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bytes and tokens of every document."""
+    import public_tokenizers
+
+    from sunloom.llm.tokencount import token_counts
+
+    return token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
