@@ -203,3 +203,11 @@ def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     from sunloom.llm.tokencount import token_counts
 
     return token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
+@query()
+def op2_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of every page."""
+    from sunloom.llm.extract import extracted, labelled_pages, train
+
+    return extracted(table(spark, sf_dir, "pages"), train(labelled_pages(spark)))
