@@ -3,14 +3,23 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from sunloom.llm.common import table, written
 from sunloom.llm.exact import drop_exact_duplicates
+from sunloom.llm.langid import keep_known_languages
+from sunloom.llm.ngram_join import drop_near_duplicates
+from sunloom.llm.packing import packed
 from sunloom.llm.quality import clean_documents
 from sunloom.session import prepare
 
 
+def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents go whose language the dictionaries cannot tell apart, and those without a letter."""
+    return keep_known_languages(docs)
+
+
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Failing lines are cut out of the texts; documents that lose too much, or fail the base rule, go."""
     return clean_documents(docs)
@@ -21,9 +30,22 @@ def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return drop_exact_duplicates(docs)
 
 
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of documents that links of the n-gram join connect, the one with the smallest doc_id stays."""
+    return drop_near_duplicates(docs)
+
+
+def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of sequences of at most 1024 tokens."""
+    return packed(docs, public_tokenizers.path("byte_bpe_50k.json"), with_ids=False)
+
+
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
+    ("language_id", language_id),
     ("quality_rules", quality_rules),
     ("exact_dedup", exact_dedup),
+    ("near_dedup", near_dedup),
+    ("packing", packing),
 ]
 
 #: compression sizes and token ids are beyond SQL; the tests hold run() against a brute-force version instead
