@@ -90,6 +90,11 @@ def with_local_numbers(df: DataFrame, texts: dict[str, Column]) -> DataFrame:
     return df.withColumns({n: F.get("_n", F.lit(i)) for i, n in enumerate(texts)}).drop("_n")
 
 
+def local_number(text: Column) -> Column:
+    """One localised number, units stripped."""
+    return _local_number(_strip_units(F.trim(text.cast("string"))))
+
+
 def parse_comma_number(c: Column | str) -> Column:
     return finite(F.replace(F.trim(col(c).cast("string")), F.lit(","), F.lit(".")).try_cast("double"))
 

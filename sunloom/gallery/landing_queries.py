@@ -273,7 +273,7 @@ def search(t):
     return L.search_catalogue(p, "RING", "BRAND#2", "preco", True, "p_name", "p_brand", "p_partkey", {"preco": "p_retailprice"}).select("p_partkey", "p_name", "p_brand")
 
 
-@query("f13_newest_raw_page", "SELECT event_id, ts_utc FROM telemetry WHERE device_key = 'DEV3' ORDER BY ts_utc DESC, event_id DESC LIMIT 20 OFFSET 20")
+@query("f13_newest_raw_page", "SELECT event_id, ts_utc FROM telemetry WHERE device_key = 'DEV3' ORDER BY ts_utc DESC, event_id DESC LIMIT 5 OFFSET 5")
 def raw_page(t):
     return L.raw_page(t.telemetry.filter("device_key = 'DEV3'"), page=2, size=5).select("event_id", "ts_utc")
 
@@ -393,7 +393,8 @@ def first_key(t):
        """SELECT event_id, CASE WHEN i_dc_a > 0 OR alarm_code > 0 THEN (CASE WHEN i_dc_a > 0 THEN v_dc_v * i_dc_a ELSE 0 END + CASE WHEN alarm_code > 0 THEN v_ac_v * alarm_code ELSE 0 END) /
           (CASE WHEN i_dc_a > 0 THEN i_dc_a ELSE 0 END + CASE WHEN alarm_code > 0 THEN alarm_code ELSE 0 END) END AS v, CASE WHEN i_dc_a > 0 OR alarm_code > 0 THEN (CASE WHEN i_dc_a > 0 THEN i_dc_a ELSE 0 END + CASE WHEN alarm_code > 0 THEN alarm_code ELSE 0 END) END AS i FROM telemetry""", ["v", "i"])
 def weighted(t):
-    v, i = L.weighted_dc([F.col("v_dc_v"), F.col("v_ac_v")], [F.col("i_dc_a"), F.col("alarm_code").cast("double")])
+    pairs = F.array(*[F.struct(F.col(a).alias("v"), F.col(b).cast("double").alias("i")) for a, b in (("v_dc_v", "i_dc_a"), ("v_ac_v", "alarm_code"))])
+    v, i = L.weighted_dc(pairs)
     return t.telemetry.select("event_id", v.alias("v"), i.alias("i"))
 
 
@@ -451,7 +452,7 @@ def to_fetch(t):
 
 @query("i03_ingest_state",
        """WITH d AS (SELECT plant_id, device_key, ts_utc::DATE AS day, CASE WHEN min(event_id) % 5 = 0 THEN repeat('x', 6000) END AS error FROM telemetry GROUP BY 1, 2, 3)
-       SELECT plant_id, device_key, (max(day) FILTER (error IS NULL))::TIMESTAMP AS last_ok_day, CASE WHEN arg_max(coalesce(error, ''), day) = '' THEN 'ok' ELSE 'error' END AS status, CAST(least(length(arg_max(coalesce(error, ''), day)), 5000) AS BIGINT) AS error_chars FROM d GROUP BY 1, 2""")
+       SELECT plant_id, device_key, (max(day) FILTER (error IS NULL))::TIMESTAMP AS last_ok_day, CASE WHEN arg_max(coalesce(error, ''), day) = '' THEN 'ok' ELSE 'error' END AS status, CAST(length(arg_max(coalesce(error, ''), day)) AS BIGINT) AS error_chars FROM d GROUP BY 1, 2""")
 def state(t):
     k = ["plant_id", "device_key"]
     d = t.telemetry.groupBy(*k, F.to_date("ts_utc").alias("day")).agg(F.when(F.min("event_id") % 5 == 0, F.repeat(F.lit("x"), 6000)).alias("error"))

@@ -247,7 +247,7 @@ def side_by_side(t):
        + f" FROM by_source WHERE {MPPT_SQL} GROUP BY 1, 2",
        [f"mppt{k}_{o}" for k in range(1, 9) for o in ("pac_w", "pdc_w", "vdc_v", "idc_a")])
 def tracker_block(t):
-    return TT.tracker_block(t.by_source, P)
+    return TT.tracker_block(t.by_source, P, trackers=range(1, 9))  # the columns of the twin
 
 
 @query("u07_observed_trackers",

@@ -65,4 +65,4 @@ def sessions(t):
           SELECT CAST(r.user_id AS VARCHAR) AS series, event_id AS tie, CASE WHEN ok THEN e END AS ewma_z, CASE WHEN ok THEN greatest(up, dn) END AS cusum_score FROM f JOIN r ON r.user_id = f.user_id AND r.i = f.i""", ["ewma_z", "cusum_score"], recursive=True)
 def filters(t):
     s = live(t).samples.withColumn("z", (F.col("value") - 50) / 50)
-    return J.run_to_table(J.filter_state(s, "user_id", "ts_utc", "z", F.col("event_id") % 10 != 0)).drop("ts_utc")
+    return J.run_to_table(J.filter_state(s, "user_id", "ts_utc", "z", F.col("event_id") % 10 != 0)).drop("ts_utc", "late")

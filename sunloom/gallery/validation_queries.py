@@ -207,7 +207,7 @@ def best_prediction(t):
     return best_preds(t).select("pred_id", "mppt", "pred_label")
 
 
-@query("t05_event_listing", "SELECT e.plant_id, e.pred_id, rank, b.pred_label AS best_label FROM (SELECT *, row_number() OVER (PARTITION BY plant_id ORDER BY ts_start_utc, pred_id) AS rank FROM pred_events) e JOIN bestp b USING (pred_id) WHERE rank <= 180")
+@query("t05_event_listing", "SELECT e.plant_id, e.pred_id, rank, b.pred_label AS best_label FROM (SELECT *, row_number() OVER (PARTITION BY plant_id ORDER BY ts_start_utc, pred_id) AS rank FROM pred_events) e JOIN bestp b USING (pred_id)")
 def listing(t):
     best = best_preds(t).select("pred_id", F.col("pred_label").alias("best_label"))
     return E.event_listing(t.pred_events, best, P, "pred_id").select("plant_id", "pred_id", "rank", "best_label")

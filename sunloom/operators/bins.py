@@ -11,6 +11,7 @@ from sunloom.config import (
 )
 from sunloom.functions import timegrid as tg
 from sunloom.functions.values import flag
+from sunloom.operators import keys as K
 from sunloom.operators import series as S
 
 BIN = "ts_15"
@@ -177,9 +178,9 @@ def coverage(df: DataFrame, ranges: DataFrame, keys: Sequence[str], start: str =
     )
 
 
-def missing_ranges(df: DataFrame, ranges: DataFrame, keys: Sequence[str], limit: int | None = 200,
+def missing_ranges(df: DataFrame, ranges: DataFrame, keys: Sequence[str], limit: int | None = None,
                    start: str = "range_start", end: str = "range_end", minutes: int = BIN_MINUTES) -> DataFrame:
-    """Consecutive missing points as inclusive ranges; `limit` is the report's per-series length."""
+    """Consecutive missing points as inclusive ranges; all of them, or the first `limit` of each series for a page that asks for it."""
     gone = missing_bins(df, ranges, keys, start, end, minutes)
     s = S.Series(tuple(keys), BIN, slice_seconds=30 * 86400)
     marked = S.previous(gone, s, {"_prev": BIN})
@@ -232,11 +233,12 @@ def merge_statistics(df: DataFrame, keys: Sequence[str]) -> DataFrame:
     )
 
 
-def allocate_to_mppt(df: DataFrame, source: str = "source_oper", trackers: Sequence[int] = (1, 2, 3, 4)) -> DataFrame:
+def allocate_to_mppt(df: DataFrame, source: str = "source_oper", trackers: Sequence[int] | None = None) -> DataFrame:
     """Total row → one row per tracker; AC power and energy follow the DC share.
 
-    Without any positive DC power the total row stays as it is.
+    Without any positive DC power the total row stays as it is.  Trackers are those the columns name.
     """
+    trackers = K.trackers_in(df.columns, "p_dc_w") if trackers is None else trackers
     p = [F.col(f"mppt{k}_p_dc_w") for k in trackers]
     positive = [F.when(x > 0, x).otherwise(F.lit(0.0)) for x in p]
     total = sum(positive[1:], positive[0])

@@ -139,8 +139,8 @@ def event_at(instants: DataFrame, events: DataFrame, keys: Sequence[str], time:
     return j.groupBy(*keys, time).agg(best.alias("_b")).select(*keys, time, *[F.col(f"_b.{c}").alias(c) for c in columns])
 
 
-def event_listing(events: DataFrame, predictions: DataFrame, keys: Sequence[str], key: str, limit: int = 180, start: str = "ts_start_utc") -> DataFrame:
-    """First events of each plant with their best prediction (report page length)."""
+def event_listing(events: DataFrame, predictions: DataFrame, keys: Sequence[str], key: str, limit: int | None = None, start: str = "ts_start_utc") -> DataFrame:
+    """Events of each plant in order of start with their best prediction: all, or the first `limit` that a page asks for."""
     top = K.rank_rows(events, keys, [F.col(start), F.col(key)], limit)
     return top.join(predictions, key, "left")
 

@@ -1,6 +1,7 @@
 """Source names: kinds, roots, tracker numbers, device keys and fuzzy matches."""
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -134,8 +135,22 @@ def first_row_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[Column
     return df.groupBy(*keys).agg(F.min_by(F.struct(*rest), F.struct(*order)).alias("_r")).select(*keys, "_r.*")
 
 
-def rank_rows(df: DataFrame, keys: Sequence[str], order: Sequence[Column], limit: int) -> DataFrame:
-    """Top rows per key; two rounds, so a hot key is cut down before it meets in one task."""
+def trackers_seen(df: DataFrame, source: str = "source_oper") -> list[int]:
+    """Tracker numbers of the sources of a table; a plant has a handful."""
+    found = df.select(mppt_number(F.col(source)).alias("k")).filter("k is not null").distinct()
+    return sorted(r["k"] for r in found.collect())
+
+
+def trackers_in(columns: Sequence[str], quantity: str) -> list[int]:
+    """Numbers k of the columns mppt<k>_<quantity>."""
+    found = (re.fullmatch(rf"mppt(\d+)_{quantity}", c) for c in columns)
+    return sorted(int(m[1]) for m in found if m)
+
+
+def rank_rows(df: DataFrame, keys: Sequence[str], order: Sequence[Column], limit: int | None) -> DataFrame:
+    """Top rows per key, all of them without a limit; two rounds, so a hot key is cut down before it meets in one task."""
+    if limit is None:
+        return df.withColumn("rank", F.row_number().over(Window.partitionBy(*keys).orderBy(*order)))
     salt = F.pmod(F.xxhash64(*df.columns), F.lit(64))
     part = Window.partitionBy(*keys, "_salt").orderBy(*order)
     whole = Window.partitionBy(*keys).orderBy(*order)

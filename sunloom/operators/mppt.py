@@ -13,28 +13,37 @@ from sunloom.operators import keys as K
 from sunloom.operators import series as S
 from sunloom.operators.bins import BIN
 
-TRACKERS = (1, 2, 3, 4)
 WINDOW_STEPS = 96
 
 
-def tracker_bins(samples: DataFrame, keys: Sequence[str], time: str = "ts_utc", trackers: Sequence[int] = TRACKERS) -> DataFrame:
-    """Raw samples with mpptK columns → quarter-hour means per device, partial sums before the shuffle."""
+def tracker_bins(samples: DataFrame, keys: Sequence[str], time: str = "ts_utc", trackers: Sequence[int] | None = None) -> DataFrame:
+    """Raw samples with mpptK columns → quarter-hour means per device, partial sums before the shuffle; all trackers by default."""
+    trackers = wide_trackers(samples) if trackers is None else trackers
     cols = [c for k in trackers for c in (f"mppt{k}_vdc_v", f"mppt{k}_idc_a") if c in samples.columns]
     more = [c for c in ("p_dc_w",) if c in samples.columns]
     return samples.groupBy(*keys, tg.floor_to(time).alias(BIN)).agg(*[F.avg(c).alias(c) for c in (*cols, *more)])
 
 
-def long_trackers(wide: DataFrame, keep: Sequence[str], trackers: Sequence[int] = TRACKERS) -> DataFrame:
+def wide_trackers(df: DataFrame) -> list[int]:
+    """Trackers with a current or a voltage column."""
+    return sorted({*K.trackers_in(df.columns, "vdc_v"), *K.trackers_in(df.columns, "idc_a")})
+
+
+def long_trackers(wide: DataFrame, keep: Sequence[str], trackers: Sequence[int] | None = None) -> DataFrame:
+    trackers = wide_trackers(wide) if trackers is None else trackers
     rows = F.array(*[F.struct(F.lit(k).alias("mppt"), F.col(f"mppt{k}_vdc_v").alias("v"), F.col(f"mppt{k}_idc_a").alias("i")) for k in trackers])
     return wide.select(*keep, F.inline(rows))
 
 
 def merge_layouts(canonical: DataFrame, legacy: DataFrame, raw: DataFrame | None, keys: Sequence[str], time: str = BIN,
-                  trackers: Sequence[int] = TRACKERS) -> DataFrame:
+                  trackers: Sequence[int] | None = None) -> DataFrame:
     """One row per instant from the canonical row, else the `|MPPTk` rows.
 
-    Tracker currents come from raw buckets when those have any, else canonical, else legacy.
+    Tracker currents come from raw buckets when those have any, else canonical, else legacy.  Without `trackers` they are
+    those that any of the three tables has.
     """
+    if trackers is None:
+        trackers = sorted({*K.trackers_seen(legacy), *K.trackers_in(canonical.columns, "idc_a"), *K.trackers_in(raw.columns if raw is not None else [], "idc_a")})
     k = K.mppt_number(F.col("source_oper"))
     rows = legacy.withColumn("_k", k).filter(F.col("_k").isin(*trackers))
     sky = [c for c in ("gti", "ghi", "temp_air") if c in legacy.columns and c in canonical.columns]
@@ -45,7 +54,7 @@ def merge_layouts(canonical: DataFrame, legacy: DataFrame, raw: DataFrame | None
     base = canonical.withColumn("_base", F.lit(True))
     j = base.join(old, [*keys, time], "full")
     if raw is not None:
-        r = raw.select(*keys, time, *[F.col(f"mppt{n}_idc_a").alias(f"_r{n}") for n in trackers])
+        r = raw.select(*keys, time, *[(F.col(f"mppt{n}_idc_a") if f"mppt{n}_idc_a" in raw.columns else F.lit(None).cast("double")).alias(f"_r{n}") for n in trackers])
         j = j.join(r, [*keys, time], "left")
     else:
         j = j.withColumns({f"_r{n}": F.lit(None).cast("double") for n in trackers})

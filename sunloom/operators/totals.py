@@ -136,9 +136,11 @@ def reference_row(df: DataFrame, keys: Sequence[str], time: str, rank: Column, c
     )
 
 
-def tracker_block(df: DataFrame, keys: Sequence[str], time: str = BIN, trackers: Sequence[int] = range(1, 9)) -> DataFrame:
-    """One wide row per instant with the values of each `|MPPTk` source."""
+def tracker_block(df: DataFrame, keys: Sequence[str], time: str = BIN, trackers: Sequence[int] | None = None) -> DataFrame:
+    """One wide row per instant with the values of each `|MPPTk` source: the given trackers, or all that occur."""
     k = K.mppt_number(F.col("source_oper"))
+    if trackers is None:
+        trackers = K.trackers_seen(df)
     d = df.withColumn("_k", k).filter(F.col("_k").isin(list(trackers)))
     aggs = []
     for n in trackers:
@@ -147,13 +149,14 @@ def tracker_block(df: DataFrame, keys: Sequence[str], time: str = BIN, trackers:
     return d.groupBy(*keys, time).agg(*aggs)
 
 
-def observed_trackers(df: DataFrame, keys: Sequence[str], most: int = 4) -> DataFrame:
-    """Highest tracker with any value, and the list 1..highest."""
+def observed_trackers(df: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Highest tracker with any value, and the list 1..highest, over all mpptK columns there are."""
+    numbers = sorted({*K.trackers_in(df.columns, "vdc_v"), *K.trackers_in(df.columns, "idc_a")})
     seen = [
         F.max(F.when(F.coalesce(*[F.col(f"mppt{k}_{c}") for c in ("vdc_v", "idc_a") if f"mppt{k}_{c}" in df.columns]).isNotNull(), k))
-        for k in range(1, most + 1)
+        for k in numbers
     ]
-    top = F.coalesce(F.greatest(*seen), F.lit(0))
+    top = F.coalesce(*([F.greatest(*seen)] if len(seen) > 1 else seen), F.lit(0))
     return df.groupBy(*keys).agg(top.alias("n_mppt")).withColumn(
         "mppts", F.when(F.col("n_mppt") > 0, F.sequence(F.lit(1), F.col("n_mppt"))).otherwise(F.array().cast("array<int>"))
     )

@@ -1,6 +1,7 @@
 """Session settings the operators rely on."""
 from __future__ import annotations
 
+import re
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -13,6 +14,8 @@ SETTINGS = {
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     # the one-diode solver expands every row to 60 voltages: keep Arrow batches small
     "spark.sql.execution.arrow.maxRecordsPerBatch": "8192",
+    # whole texts travel in batches too: a few workers with a batch each must fit beside the executor
+    "spark.sql.execution.arrow.maxBytesPerBatch": "16m",
 }
 
 
@@ -25,11 +28,16 @@ def prepare(spark: SparkSession) -> SparkSession:
 
 
 def checkpoint_ready(spark: SparkSession) -> SparkSession:
-    """Use the cluster's shared checkpoint folder; fall back to a local one only if unset."""
+    """Use the cluster's shared checkpoint folder; without that setting only a local session gets a folder of its own."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
         shared = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
-        sc.setCheckpointDir(shared or tempfile.mkdtemp(prefix="sunloom-ckpt-"))
+        if not shared:
+            if not re.match(r"local(\[|$)", sc.master):
+                raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+            # one machine runs everything here, so its own folder is shared
+            shared = tempfile.mkdtemp(prefix="sunloom-ckpt-")
+        sc.setCheckpointDir(shared)
     return spark
 
 

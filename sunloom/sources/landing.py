@@ -57,31 +57,50 @@ def first_present(payload: Column, names: Sequence[str]) -> Column:
     return out
 
 
-def weighted_dc(volts: Sequence[Column], amps: Sequence[Column]) -> tuple[Column, Column]:
-    """Current-weighted voltage and total current over trackers with positive current."""
-    pairs = F.filter(
-        F.array(*[F.struct(v.alias("v"), i.alias("i")) for v, i in zip(volts, amps)]),
-        lambda p: p["v"].isNotNull() & (p["i"] > 0),
-    )
+def weighted_dc(trackers: Column) -> tuple[Column, Column]:
+    """Current-weighted voltage and total current over the (v, i) of trackers with positive current."""
+    pairs = F.filter(trackers, lambda p: p["v"].isNotNull() & (p["i"] > 0))
     amps_sum = F.aggregate(pairs, F.lit(0.0), lambda s, p: s + p["i"])
     power = F.aggregate(pairs, F.lit(0.0), lambda s, p: s + p["v"] * p["i"])
     some = F.size(pairs) > 0
     return F.when(some, power / amps_sum), F.when(some, amps_sum)
 
 
-def extract_payload(df: DataFrame, provider: str = "provedor", payload: str = "payload") -> DataFrame:
-    """Raw payload → canonical metrics; payloads of other vendors give NULLs."""
+def payload_trackers(df: DataFrame, payload: str = "payload") -> list[int]:
+    """Numbers of the trackers that the payloads name: what `trackers` of `extract_payload` can be."""
+    found = df.select(F.explode(_tracker_numbers(payload_map(payload))).alias("k")).distinct()
+    return sorted(int(r["k"]) for r in found.collect())
+
+
+def _tracker_numbers(p: Column) -> Column:
+    """Digits after the tracker voltage title, for every such key of a payload."""
+    shape = f"^{MPPT_V_TITLE.format(k='([0-9]+)')}$"
+    return F.filter(F.transform(F.map_keys(p), lambda name: F.regexp_extract(name, shape, 1)), lambda k: k != F.lit(""))
+
+
+def tracker_pairs(p: Column) -> Column:
+    """(v, i) of every tracker that a payload names, however many there are."""
+    at = lambda title, k: V.local_number(F.try_element_at(p, F.concat(F.lit(title.format(k="")), k)))
+    return F.transform(_tracker_numbers(p), lambda k: F.struct(at(MPPT_V_TITLE, k).alias("v"), at(MPPT_I_TITLE, k).alias("i")))
+
+
+def extract_payload(df: DataFrame, provider: str = "provedor", payload: str = "payload", trackers: Sequence[int] = (1, 2, 3, 4)) -> DataFrame:
+    """Raw payload → canonical metrics; payloads of other vendors give NULLs.
+
+    The DC totals are over all trackers of the payload; `trackers` only says which get columns of their own
+    (`payload_trackers` finds those that are there).
+    """
     known = F.upper(F.coalesce(F.col(provider), F.lit(""))) == PARSED_VENDOR
     df = df.withColumn("_p", F.when(known, payload_map(payload)))
     p = F.col("_p")
     at = lambda title: F.try_element_at(p, F.lit(title))
-    ks = (1, 2, 3, 4)
+    ks = tuple(trackers)
     texts = {"p_ac_w": first_title(p, PAC_TITLES), "p_dc_w": first_title(p, PDC_TITLES)}
     texts |= {f"mppt{k}_vdc_v": at(MPPT_V_TITLE.format(k=k)) for k in ks} | {f"mppt{k}_idc_a": at(MPPT_I_TITLE.format(k=k)) for k in ks}
     texts |= {f"_v{n}": at(t) for n, t in enumerate(PHASE_V_TITLES)} | {f"_i{n}": at(t) for n, t in enumerate(PHASE_I_TITLES)}
-    df = V.with_local_numbers(df.withColumn("payload_time", at(TIME_TITLE)), texts)
+    df = V.with_local_numbers(df.withColumns({"payload_time": at(TIME_TITLE), "_t": tracker_pairs(p)}), texts)
     volts, amps = [F.col(f"mppt{k}_vdc_v") for k in ks], [F.col(f"mppt{k}_idc_a") for k in ks]
-    vdc, idc = weighted_dc(volts, amps)
+    vdc, idc = weighted_dc(F.col("_t"))
     phases = {"_v": PHASE_V_TITLES, "_i": PHASE_I_TITLES}
     cols = {n: [F.col(f"{n}{j}") for j in range(len(t))] for n, t in phases.items()}
     return df.withColumns(
@@ -90,7 +109,7 @@ def extract_payload(df: DataFrame, provider: str = "provedor", payload: str = "p
             "v_ac_v": V.array_mean_nonzero(cols["_v"], 5.0), "i_ac_a": V.array_mean_nonzero(cols["_i"], 0.05),
             **{f"mppt{k}_p_dc_w": F.when(i > 0, v * i) for k, v, i in zip(ks, volts, amps)},
         }
-    ).drop("_p", *[c for n, t in phases.items() for c in (f"{n}{j}" for j in range(len(t)))])
+    ).drop("_p", "_t", *[c for n, t in phases.items() for c in (f"{n}{j}" for j in range(len(t)))])
 
 
 def extract_candidates(df: DataFrame, payload: str, candidates: dict[str, Sequence[str]]) -> DataFrame:
@@ -328,9 +347,9 @@ def search_catalogue(df: DataFrame, text: str = "", maker: str = "", sort: str =
 
 
 def raw_page(df: DataFrame, time: str = "ts_utc", page: int = 1, size: int = 200, tie: str = "event_id") -> DataFrame:
-    """Newest-first page; the size is clamped to 20..1000 (a bounded top-k, not a full sort)."""
-    size = max(20, min(1000, int(size)))
-    page = max(1, int(page))
+    """Newest-first page of exactly the asked size (a bounded top-k, not a full sort)."""
+    if page < 1 or size < 1:
+        raise ValueError(f"page and size count from 1: {page}, {size}")
     order = [F.col(time).desc(), F.col(tie).desc()]
     return df.orderBy(*order).offset((page - 1) * size).limit(size)
 

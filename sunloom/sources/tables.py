@@ -84,13 +84,17 @@ def days_to_fetch(requests: DataFrame, stored: DataFrame, keys: Sequence[str], t
     return days.join(have, [*keys, "day"], "left_anti")
 
 
-def ingest_state(results: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Latest outcome per series: last good day, status, error text cut to 5000 characters."""
+def ingest_state(results: DataFrame, keys: Sequence[str], attempt: str | None = None) -> DataFrame:
+    """Latest outcome per series: last good day, status, the whole error text.
+
+    Of several results for a day the last `attempt` counts; without that column an error counts before a success.
+    """
     ok = F.col("error").isNull()
+    last = F.struct("day", F.col(attempt) if attempt else F.lit(0), F.coalesce("error", F.lit("")))
     return results.groupBy(*keys).agg(
         F.max(F.when(ok, F.col("day"))).alias("last_ok_day"),
-        F.max_by(F.when(ok, "ok").otherwise("error"), "day").alias("status"),
-        F.left(F.coalesce(F.max_by(F.coalesce("error", F.lit("")), "day"), F.lit("")), F.lit(5000)).alias("error"),
+        F.max_by(F.when(ok, "ok").otherwise("error"), last).alias("status"),
+        F.coalesce(F.max_by(F.coalesce("error", F.lit("")), last), F.lit("")).alias("error"),
     )
 
 
@@ -102,34 +106,65 @@ def write_partitions(df: DataFrame, path: str, partitions: Sequence[str]) -> Non
 def _stored(spark: SparkSession, path: str, like: DataFrame) -> DataFrame | None:
     try:
         return spark.read.schema(like.schema).parquet(path)
-    except AnalysisException:
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
         return None
 
 
-def upsert_table(updates: DataFrame, path: str, keys: Sequence[str], partitions: Sequence[str], columns: Sequence[str] | None = None) -> dict[str, int]:
+def _latest_updates(updates: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
+    """One update per key: the last one by `order`, then by its values."""
+    rest = [c for c in updates.columns if c not in keys]
+    if not rest:
+        return updates.distinct()
+    rank = F.struct(*order, F.xxhash64(*rest), *[F.col(c).cast("string") for c in rest])
+    return updates.groupBy(*keys).agg(F.max_by(F.struct(*rest), rank).alias("_u")).select(*keys, "_u.*").select(*updates.columns)
+
+
+def upsert_table(updates: DataFrame, path: str, keys: Sequence[str], partitions: Sequence[str], columns: Sequence[str] | None = None,
+                 order: Sequence[str] = ()) -> dict[str, int]:
     """Merge into a partitioned Parquet table, rewriting only touched partitions; returns both counts.
 
-    The merged rows are checkpointed before the overwrite, because they are read from the same folder.
+    A key that is updated several times takes its last update by `order`.  Where the partition is no part of the key,
+    a key whose partition changes leaves its old one.  The merged rows are checkpointed before the overwrite, because
+    they are read from the same folder.
     """
     spark = checkpoint_ready(updates.sparkSession)
+    updates = _latest_updates(updates, keys, order).checkpoint(eager=True)
     seen = Observation()
     target = _stored(spark, path, updates)
     if target is None:
         counted = updates.observe(seen, F.count(F.lit(1)).alias("insert"))
         write_partitions(counted, path, partitions)
         return {"insert": int(seen.get["insert"]), "update": 0}
-    touched = target.join(updates.select(*partitions).distinct(), list(partitions), "left_semi")
+    places = updates.select(*partitions)
+    if not set(partitions) <= set(keys):
+        places = places.union(target.join(updates.select(*keys), list(keys), "left_semi").select(*partitions))
+    touched = target.join(places.distinct(), list(partitions), "left_semi")
+    before = touched.select(*partitions).distinct().checkpoint(eager=True)
     labelled = split_upsert(touched, updates, keys).observe(
         seen, F.count_if(F.col("action") == "insert").alias("insert"), F.count_if(F.col("action") == "update").alias("update")
     )
     merged = merge_rows(touched, labelled.drop("action"), keys, columns).checkpoint(eager=True)
     write_partitions(merged, path, partitions)
+    _drop_partitions(before.join(merged.select(*partitions).distinct(), list(partitions), "left_anti"), path, partitions)
     return {k: int(v) for k, v in seen.get.items()}
 
 
+def _drop_partitions(gone: DataFrame, path: str, partitions: Sequence[str]) -> None:
+    """Remove the folders of partitions without rows left, through the file system that Spark itself uses for the path."""
+    spark = gone.sparkSession
+    jvm = spark.sparkContext._jvm
+    root = jvm.org.apache.hadoop.fs.Path(path)
+    fs = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    escape = jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils.getPartitionPathString
+    for row in gone.select(*[F.col(c).cast("string").alias(c) for c in partitions]).toLocalIterator():
+        fs.delete(jvm.org.apache.hadoop.fs.Path(root, "/".join(escape(c, row[c]) for c in partitions)), True)
+
+
 def replace_range_table(new: DataFrame, ranges: DataFrame, path: str, keys: Sequence[str], time: str, partitions: Sequence[str],
                         end_time: str | None = None) -> None:
-    """Rewrite the partitions the range touches; the whole table only when one of them ends up empty."""
+    """Rewrite the partitions the range touches; those that end up empty go."""
     spark = checkpoint_ready(new.sparkSession)
     target = _stored(spark, path, new)
     if target is None:
@@ -140,12 +175,10 @@ def replace_range_table(new: DataFrame, ranges: DataFrame, path: str, keys: Sequ
     end = F.col(end_time or time)
     hit = target.join(r, list(keys)).filter((F.col(time) < F.col("_hi")) & (end >= F.col("_lo")))
     touched = hit.select(*parts).union(new.select(*parts)).distinct()
-    rows = replace_range(target.join(touched, parts, "left_semi"), new, ranges, keys, time, end_time).checkpoint(eager=True)
-    if touched.join(rows.select(*parts).distinct(), parts, "left_anti").isEmpty():
-        write_partitions(rows, path, partitions)
-        return
-    whole = replace_range(target, new, ranges, keys, time, end_time).checkpoint(eager=True)
-    whole.write.mode("overwrite").option("partitionOverwriteMode", "static").partitionBy(*parts).parquet(path)
+    before = touched.checkpoint(eager=True)
+    rows = replace_range(target.join(before, parts, "left_semi"), new, ranges, keys, time, end_time).checkpoint(eager=True)
+    write_partitions(rows, path, partitions)
+    _drop_partitions(before.join(rows.select(*parts).distinct(), parts, "left_anti"), path, partitions)
 
 
 def append_provenance(spark: SparkSession, path: str, record: dict[str, object]) -> None:
