@@ -1,8 +1,10 @@
 """Session settings the operators rely on."""
 from __future__ import annotations
 
+import pathlib
 import re
 import tempfile
+import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -19,8 +21,26 @@ SETTINGS = {
 }
 
 
+_SHIPPED: set[str] = set()
+
+
+def ship(spark: SparkSession) -> SparkSession:
+    """Give the executors this package once per application, so that no worker needs it on its path."""
+    sc = spark.sparkContext
+    if sc.applicationId not in _SHIPPED:
+        _SHIPPED.add(sc.applicationId)
+        root = pathlib.Path(__file__).resolve().parent
+        archive = pathlib.Path(tempfile.mkdtemp(prefix="sunloom-code-")) / f"{root.name}.zip"
+        with zipfile.ZipFile(archive, "w", zipfile.ZIP_DEFLATED) as out:
+            for path in sorted(root.rglob("*.py")):
+                out.write(path, path.relative_to(root.parent))
+        sc.addPyFile(str(archive))
+    return spark
+
+
 def prepare(spark: SparkSession) -> SparkSession:
-    """Pin the run-time settings (all are per-session, none needs a restart)."""
+    """Hand out the package and pin the run-time settings (all are per-session, none needs a restart)."""
+    ship(spark)
     for key, value in SETTINGS.items():
         if spark.conf.get(key, None) != value:
             spark.conf.set(key, value)
