@@ -27,6 +27,14 @@ def apply_bounds(df: DataFrame) -> DataFrame:
     return df
 
 
+def _frame_median(c: Column, frame, least: int) -> Column:
+    """Median of the values of a short frame, NULL where there are fewer than `least`: a sorted array instead of a map of counts."""
+    values = F.sort_array(F.collect_list(c).over(frame))
+    n = F.size(values)
+    middle = (F.get(values, F.floor((n - 1) / 2).cast("int")) + F.get(values, F.floor(n / 2).cast("int"))) / 2
+    return F.when(n >= least, middle)
+
+
 def hampel(c: str, w, sigma: float, floor: float, window: int, only: Column | None = None) -> tuple[dict[str, Column], Column]:
     """Median and median deviation over a centred frame; outlier when the distance beats both limits.
 
@@ -36,11 +44,8 @@ def hampel(c: str, w, sigma: float, floor: float, window: int, only: Column | No
     frame = w.rowsBetween(-half, half)
     med, dev = f"_med_{c}", f"_mad_{c}"
     steps = {
-        med: F.when(F.count(c).over(frame) >= least, F.percentile(c, 0.5).over(frame)),
-        dev: F.when(
-            F.count(F.abs(F.col(c) - F.col(med))).over(frame) >= least,
-            F.percentile(F.abs(F.col(c) - F.col(med)), 0.5).over(frame),
-        ),
+        med: _frame_median(F.col(c), frame, least),
+        dev: _frame_median(F.abs(F.col(c) - F.col(med)), frame, least),
     }
     limit = F.greatest(F.col(dev) * 1.4826 * sigma, F.lit(floor))
     test = F.col(med).isNotNull() & F.col(dev).isNotNull() & (F.abs(F.col(c) - F.col(med)) > limit)

@@ -147,7 +147,41 @@ def for_ewma(s: Series, lam: float) -> Series:
     q = 1.0 - lam
     if not 0.0 < q < 1.0:
         return s
-    return replace(s, block_rows=max(16, min(s.block_rows, int(250 / -math.log10(q)))))
+    return replace(s, block_rows=max(16, min(s.block_rows, int(200 / -math.log10(q)))))
+
+
+def _carried_ewma(ends: DataFrame, s: Series, q: float) -> DataFrame:
+    """`_in`: what a block receives, from the (n, end, first) of the blocks before it.
+
+    The state after a block is end + q^n · what it received, so what is received is a geometric sum over earlier ends.  Blocks
+    are taken together by the span of eligible rows in which they begin, so long that powers of q stay finite and that what is
+    a whole span away is below the precision of a double: only the sums of the two spans before still count.
+    """
+    rows = max(1, int(50 / -math.log10(q)))
+    order = Window.partitionBy(*s.keys).orderBy(BLOCK)
+    n = F.coalesce("_b.n", F.lit(0))
+    total = F.sum(n).over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    d = ends.withColumns({"_upto": total, "_here_n": n}).withColumn("_span", F.floor((F.col("_upto") - F.col("_here_n")) / rows))
+    # q^-N, measured from the begin of the span
+    grown = F.pow(F.lit(1.0 / q), F.col("_upto") - F.col("_span") * rows)
+    seed = Window.partitionBy(*s.keys).orderBy(BLOCK).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    d = d.withColumn("_first", F.first("_b.first", ignorenulls=True).over(seed))
+    inside = Window.partitionBy(*s.keys, "_span").orderBy(BLOCK)
+    d = d.withColumn("_sum", F.sum(F.coalesce("_b.end", F.lit(0.0)) * grown).over(inside.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    d = d.withColumn("_before", F.coalesce(F.lag("_sum").over(inside), F.lit(0.0)))
+    last = d.groupBy(*s.keys, "_span").agg(F.max("_upto").alias("_end_N"), F.max_by("_sum", BLOCK).alias("_end_sum"))
+    last = last.withColumn("_level", F.col("_end_sum") * F.pow(F.lit(q), F.col("_end_N") - F.col("_span") * rows))
+    spans = Window.partitionBy(*s.keys).orderBy("_span")
+    back = {f"{name}_{k}": F.lag(name, k).over(spans) for name in ("_level", "_end_N") for k in (1, 2)}
+    last = last.select(*s.keys, "_span", *[e.alias(n) for n, e in back.items()])
+    d = _join(d, last, [*s.keys, "_span"])
+    here = F.col("_upto") - F.col("_here_n")
+    inner = F.col("_before") * F.pow(F.lit(q), here - F.col("_span") * rows)
+    # the first eligible row of the series stands for everything before it
+    outer = sum(F.coalesce(F.col(f"_level_{k}") * F.pow(F.lit(q), here - F.col(f"_end_N_{k}")), F.lit(0.0)) for k in (1, 2))
+    start = F.coalesce(F.col("_first") * F.pow(F.lit(q), here), F.lit(0.0))
+    out = d.withColumn("_in", F.when(F.col("_first").isNotNull(), inner + outer + start))
+    return out.drop("_upto", "_here_n", "_span", "_first", "_sum", "_before", *back)
 
 
 def _ewma_local(d: DataFrame, s: Series, value: str, ok: Column, lam: float) -> DataFrame:
@@ -199,10 +233,8 @@ def add_filters(df: DataFrame, s: Series, value: str, eligible: Column, lam: flo
     order = Window.partitionBy(*s.keys).orderBy(BLOCK)
     entry = {}
     if smooth:
-        earlier = order.rowsBetween(Window.unboundedPreceding, -1)
-        past = F.collect_list(F.when(F.col("_b.n") > 0, F.col("_b"))).over(earlier)
-        state = F.aggregate(past, F.lit(None).cast("double"), lambda e, b: b["end"] + F.pow(F.lit(q), b["n"]) * F.coalesce(e, b["first"]))
-        entry["_in"] = F.coalesce(state, F.col("_b.first"))
+        ends = _carried_ewma(ends, s, q)
+        entry["_in"] = F.col("_in")
     if sums:
         reset = F.col("_resets") > 0
         ends = ends.withColumn("_run", F.sum(F.when(reset, 1).otherwise(0)).over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow)))

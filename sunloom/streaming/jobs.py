@@ -104,7 +104,10 @@ def record_state(keys: Sequence[str], path: str) -> Callable[[DataFrame, int], N
     """foreachBatch writer keeping the ingest state table up to date."""
 
     def write(batch: DataFrame, _: int) -> None:
-        TB.upsert_table(TB.ingest_state(batch, keys).withColumn("part", F.pmod(F.xxhash64(*keys), F.lit(16))), path, keys, ["part"])
+        state = TB.ingest_state(batch, keys).withColumn("part", F.pmod(F.xxhash64(*keys), F.lit(16))).checkpoint(eager=True)
+        TB.upsert_table(state.filter("last_ok_day is not null"), path, keys, ["part"])
+        # without a good day in the batch the stored one stays
+        TB.upsert_table(state.filter("last_ok_day is null"), path, keys, ["part"], columns=["status", "error"])
 
     return write
 

@@ -120,3 +120,46 @@ def test_holdout_size(spark, n, held):
     df = spark.createDataFrame([(1, d) for d in range(n)], "plant_id int, day int")
     got = M.temporal_split(df, ["plant_id"])
     assert got.filter("split = 'validation'").count() == held and got.count() == n
+
+
+def test_listings_drop_nothing_by_default(spark):
+    from sunloom.operators import bins as B
+    from sunloom.operators import events as E
+
+    events = spark.range(181).selectExpr("1 as plant_id", "id as pred_id", "timestamp_seconds(id * 900) as ts_start_utc")
+    best = events.selectExpr("pred_id", "'x' as label")
+    assert E.event_listing(events, best, ["plant_id"], "pred_id").count() == 181
+    assert E.event_listing(events, best, ["plant_id"], "pred_id", limit=7).count() == 7
+    have = spark.range(0, 404, 2).selectExpr("1 as plant_id", "timestamp_seconds(id * 900) as ts_15")
+    span = spark.sql("select 1 as plant_id, timestamp_seconds(0) as range_start, timestamp_seconds(403 * 900) as range_end")
+    assert B.missing_ranges(have, span, ["plant_id"]).count() == 201
+
+
+def test_a_sixth_tracker_counts(spark):
+    import json
+
+    from sunloom.operators import bins as B
+    from sunloom.operators import mppt as M
+    from sunloom.operators import totals as TT
+    from sunloom.sources import landing as L
+
+    payload = json.dumps({"Tensão CC MPPT1": "300 V", "Corrente CC MPPT1": "2 A", "Tensão CC MPPT6": "600 V", "Corrente CC MPPT6": "4 A"}, ensure_ascii=False)
+    raw = spark.createDataFrame([(1, "RENOVIGI", payload)], "plant_id int, provedor string, payload string").selectExpr("*", "timestamp_seconds(0) as ts_utc")
+    assert L.payload_trackers(raw) == [1, 6]
+    row = L.extract_payload(raw, trackers=L.payload_trackers(raw))
+    r = row.first()
+    assert (r.i_dc_a, r.v_dc_v, r.mppt6_p_dc_w) == (6.0, 500.0, 2400.0) and L.extract_payload(raw).first().i_dc_a == 6.0
+    assert "mppt6_idc_a" in M.tracker_bins(row, ["plant_id"]).columns and TT.observed_trackers(row, ["plant_id"]).first().n_mppt == 6
+    whole = row.selectExpr("*", "ts_utc as ts_15", "'INV' as source_oper", "3000.0D as e_ac_wh_15").withColumn("p_dc_w", row.mppt1_p_dc_w + row.mppt6_p_dc_w).drop("p_ac_w").selectExpr("*", "2700.0D as p_ac_w")
+    assert sorted((x.mppt, x.p_ac_w) for x in B.allocate_to_mppt(whole).collect() if x.p_dc_w) == [(1, 540.0), (6, 2160.0)]
+
+
+def test_pages_have_the_asked_size(spark):
+    import pytest
+
+    from sunloom.sources import landing as L
+
+    rows = spark.range(12).selectExpr("id as event_id", "timestamp_seconds(id) as ts_utc")
+    assert [r.event_id for r in L.raw_page(rows, page=2, size=5).collect()] == [6, 5, 4, 3, 2]
+    with pytest.raises(ValueError):
+        L.raw_page(rows, size=0)

@@ -108,4 +108,30 @@ def test_ingest_state_writer(spark, tmp_path):
     write(make([(1, dt.date(2024, 5, 1), None)]), 0)
     write(make([(1, dt.date(2024, 5, 2), "x" * 6000)]), 1)
     r = spark.read.parquet(path).first()
-    assert r.status == "error" and len(r.error) == 5000
+    assert r.status == "error" and len(r.error) == 6000 and r.last_ok_day == dt.date(2024, 5, 1)
+
+
+def test_upsert_takes_the_last_update_and_moves_partitions(spark, tmp_path):
+    path = str(tmp_path / "t")
+    make = lambda items: spark.createDataFrame(items, "id int, day string, v double, seq int")
+    TB.upsert_table(make([(1, "a", 1.0, 1), (2, "a", 2.0, 1), (3, "b", 3.0, 1)]), path, ["id"], ["day"])
+    counts = TB.upsert_table(make([(3, "a", 7.0, 3), (3, "c", 9.0, 2), (4, "c", 4.0, 1)]), path, ["id"], ["day"], order=["seq"])
+    got = sorted((r.id, r.day, r.v) for r in spark.read.parquet(path).collect())
+    assert counts == {"insert": 1, "update": 1} and got == [(1, "a", 1.0), (2, "a", 2.0), (3, "a", 7.0), (4, "c", 4.0)]
+    assert not (tmp_path / "t" / "day=b").exists()
+
+
+def test_replaced_range_drops_only_the_empty_partition(spark, tmp_path):
+    path = str(tmp_path / "r")
+    at = lambda d, h: dt.datetime(2024, 5, d, h)
+    make = lambda items: spark.createDataFrame([(1, t, str(t.date()), v) for t, v in items], "plant_id int, ts timestamp, day string, v double")
+    TB.write_partitions(make([(at(1, 1), 1.0), (at(2, 1), 2.0), (at(3, 1), 3.0)]), path, ["day"])
+    before = {p: p.stat().st_mtime_ns for p in (tmp_path / "r" / "day=2024-05-03").iterdir()}
+    r = spark.createDataFrame([(1, at(2, 0), at(2, 23))], "plant_id int, range_start timestamp, range_end timestamp")
+    TB.replace_range_table(make([(at(1, 5), 5.0)]), r, path, ["plant_id"], "ts", ["day"])
+    assert sorted(x.v for x in spark.read.parquet(path).collect()) == [1.0, 3.0, 5.0] and not (tmp_path / "r" / "day=2024-05-02").exists()
+    assert before == {p: p.stat().st_mtime_ns for p in (tmp_path / "r" / "day=2024-05-03").iterdir()}
+
+
+def test_only_a_missing_path_is_an_absent_table(spark, tmp_path):
+    assert TB._stored(spark, str(tmp_path / "none"), spark.range(1)) is None
