@@ -8,8 +8,9 @@ How the work is laid out:
    classes each n-gram is and answers only for those in two or more: no other n-gram can be part of an intersection.
 3. Per class, its shared n-grams in rare-first order. N-grams of one class only come first in that order and match nothing, so
    the prefix is what the rest of it reaches into the shared ones; most classes end here.
-4. Prefix n-grams are joined. A first round links each class with the commonest smallest class of its prefix lists, which
-   settles groups of near copies in as many pairs as they have members; a second round joins what is still apart.
+4. Prefix n-grams are joined. First rounds link each class with one central class of its prefix lists, which settles groups of
+   near copies in as many pairs as they have members. Then the classes of a list that are still apart from its largest
+   part are held against the list in blocks of bounded size, and only pairs whose prefixes agree enough come out.
 5. Pairs pass the length, positional and suffix filters, are made distinct and verified by intersecting the shared n-grams.
 """
 from __future__ import annotations
@@ -33,6 +34,10 @@ GRAM_BITS = 48
 #: n-grams that a task packs together, and that a bucket holds on average
 CHUNK_GRAMS = 1 << 21
 BUCKET_GRAMS = 3 << 20
+#: rows of a prefix list that are compared at a time
+BLOCK_ROWS = 1024
+#: n-grams in more classes than this come last in an order of their own
+MOST_CLASSES = (1 << 15) - 1
 #: fixed pivots of the suffix filter: the hash space in so many ranges
 RANGES = 16
 
@@ -180,7 +185,8 @@ def _unpack(table: pa.Table, base: int):
 
 
 def shared_grams(docs: DataFrame, config: JoinConfig, buckets: int, common: np.ndarray, common_classes: np.ndarray) -> DataFrame:
-    """(key, n, grams): classes of which enough n-grams are shared, those in rare-first order as 8-byte integers.
+    """(key, n, grams): classes of which enough n-grams are shared, those as 8-byte integers (classes, n-gram): sorted, they are
+    in rare-first order.
 
     Common n-grams do not travel through a bucket: their order is known beforehand, and a class sends its own to where its
     answers arrive.
@@ -244,7 +250,8 @@ def shared_grams(docs: DataFrame, config: JoinConfig, buckets: int, common: np.n
 
     def gather(table: pa.Table) -> pa.Table:
         grams, keys, sizes, classes = _unpack(table, 0)
-        order = np.lexsort((grams, classes, keys))
+        grams |= np.minimum(classes, MOST_CLASSES).astype(np.int64) << GRAM_BITS
+        order = np.lexsort((grams, keys))
         grams, keys, sizes = grams[order], keys[order], sizes[order]
         # common n-grams of a class arrive from every task that saw it
         again = np.append(False, (grams[1:] == grams[:-1]) & (keys[1:] == keys[:-1]))
@@ -263,7 +270,7 @@ def shared_grams(docs: DataFrame, config: JoinConfig, buckets: int, common: np.n
 
 
 def prefixes(shared: DataFrame, config: JoinConfig) -> DataFrame:
-    """(gram, key, n, pos): the shared n-grams in each class's prefix; pos is the place in its rare-first order."""
+    """(gram, key, n, own): the shared n-grams in each class's prefix, which follow its `own` ones in rare-first order."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -271,11 +278,11 @@ def prefixes(shared: DataFrame, config: JoinConfig) -> DataFrame:
             for key, n, raw in zip(*[batch.column(k).to_pylist() for k in range(3)], strict=True):
                 own = n - len(raw) // 8
                 count = n - config.least_shared(n) + 1 - own
-                out.append((np.frombuffer(raw, np.int64, count), np.full(count, key), np.full(count, n), own + np.arange(count)))
+                out.append((np.frombuffer(raw, np.int64, count), np.full(count, key), np.full(count, n), np.full(count, own)))
             if out:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c), pa.int64()) for c in zip(*out, strict=True)], ["gram", "key", "n", "pos"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c), pa.int64()) for c in zip(*out, strict=True)], ["gram", "key", "n", "own"])
 
-    return shared.select("key", "n", "grams").mapInArrow(run, "gram long, key long, n long, pos long")
+    return shared.select("key", "n", "grams").mapInArrow(run, "gram long, key long, n long, own long")
 
 
 def _ranges(shared: DataFrame) -> DataFrame:
@@ -285,7 +292,7 @@ def _ranges(shared: DataFrame) -> DataFrame:
         for batch in batches:
             keys, own, ranges = [], [], []
             for key, n, raw in zip(*[batch.column(k).to_pylist() for k in range(3)], strict=True):
-                grams = np.frombuffer(raw, np.int64)
+                grams = np.frombuffer(raw, np.int64) & ((1 << GRAM_BITS) - 1)
                 keys.append(key)
                 own.append(n - len(grams))
                 ranges.append(np.bincount(grams >> (GRAM_BITS - 4), minlength=RANGES).tolist())
@@ -329,33 +336,120 @@ def _near_enough(n: str, m: str, config: JoinConfig):
     return (100 * F.least(n, m) >= config.percent * F.greatest(n, m))
 
 
-def candidate_links(shared: DataFrame, config: JoinConfig) -> DataFrame:
-    """Verified links (a, b, inter) between classes, enough of them to connect whatever is connected."""
-    spark = shared.sparkSession
-    posts = written(prefixes(shared, config), "prefixes")
-    ranges = written(_ranges(shared), "ranges")
-    # first round: a class and the smallest class of a prefix list, the one that most of its lists agree on
-    lists = posts.groupBy("gram").agg(F.min("key").alias("b"), F.count(F.lit(1)).alias("members")).filter("members > 1").drop("members")
-    sizes = ranges.join(shared.select("key", "n"), "key").select(F.col("key").alias("b"), F.col("n").alias("n_b"))
-    agreed = posts.join(written(lists, "lists"), "gram").filter("key <> b").groupBy("key", "b").agg(F.count(F.lit(1)).alias("votes"), F.first("n").alias("n"))
+def _pivot_links(posts: DataFrame, shared: DataFrame, sizes: DataFrame, ranges: DataFrame, config: JoinConfig) -> DataFrame:
+    """Verified links of each class of `posts` (gram, key, n, own) with one central class of its lists.
+
+    The class with the smallest share of own n-grams stands for a list: in a group of near copies it is the one that most
+    resemble. Of the classes that stand for its lists, each class is held against the one that most of them agree on.
+    """
+    central = F.struct((F.col("own") / F.col("n")).alias("share"), "key")
+    lists = posts.groupBy("gram").agg(F.min(central).alias("c"), F.count(F.lit(1)).alias("members")).filter("members > 1").select("gram", F.col("c.key").alias("b"))
+    agreed = posts.join(written(lists, "lists"), "gram").filter("key <> b").groupBy("key", "b").agg(F.count(F.lit(1)).alias("votes"), F.max("n").alias("n"))
     agreed = agreed.join(sizes, "b").filter(_near_enough("n", "n_b", config))
     best = agreed.groupBy("key").agg(F.max_by(F.struct("b", "n", "n_b"), F.struct("votes", -F.col("b"))).alias("best"))
-    first = best.select(F.col("key").alias("a"), "best.b", F.col("best.n").alias("n_a"), "best.n_b")
-    links = written(verified(filtered(first, ranges, config), shared, config), "links")
-    # second round: pairs over what the first one has not connected
+    pairs = best.select(F.col("key").alias("a"), "best.b", F.col("best.n").alias("n_a"), "best.n_b")
+    return written(verified(filtered(pairs, ranges, config), shared, config), "links")
+
+
+def _open_lists(posts: DataFrame, links: DataFrame) -> DataFrame:
+    """Lists that links do not connect yet: (gram, key, n, own, root, main, size, minor); main is the root of a list's largest part."""
     groups = components(links.select(F.col("a").alias("u"), F.col("b").alias("v")))
     placed = written(posts.join(groups.withColumnRenamed("node", "key"), "key", "left").withColumn("root", F.coalesce("root", "key")), "placed")
     parts = placed.groupBy("gram", "root").agg(F.count(F.lit(1)).alias("members"))
-    main = parts.groupBy("gram").agg(F.max_by("root", F.struct("members", "root")).alias("main"), F.count(F.lit(1)).alias("parts")).filter("parts > 1").drop("parts")
-    open_posts = written(placed.join(written(main, "main-parts"), "gram"), "open")
-    x = open_posts.filter("root <> main").select("gram", *[F.col(c).alias(f"{c}_a") for c in ("key", "n", "pos", "root")])
-    y = open_posts.select("gram", "main", *[F.col(c).alias(f"{c}_b") for c in ("key", "n", "pos", "root")])
-    # positional filter: what comes after the first common n-gram bounds the intersection from above
-    ahead = 1 + F.least(F.col("n_a") - F.col("pos_a"), F.col("n_b") - F.col("pos_b")) - 1
-    reach = (100 + config.percent) * ahead >= config.percent * (F.col("n_a") + F.col("n_b"))
-    once = (F.col("root_b") == F.col("main")) | (F.col("key_a") < F.col("key_b"))
-    pairs = x.join(y, "gram").filter((F.col("root_a") != F.col("root_b")) & once & _near_enough("n_a", "n_b", config) & reach)
-    pairs = pairs.select(F.least("key_a", "key_b").alias("a"), F.greatest("key_a", "key_b").alias("b"), F.when(F.col("key_a") < F.col("key_b"), F.col("n_a")).otherwise(F.col("n_b")).alias("n_a"), F.when(F.col("key_a") < F.col("key_b"), F.col("n_b")).otherwise(F.col("n_a")).alias("n_b")).distinct()
+    main = parts.groupBy("gram").agg(F.max(F.struct("members", "root")).alias("most"), F.sum("members").alias("size"), F.count(F.lit(1)).alias("parts")).filter("parts > 1")
+    main = main.select("gram", F.col("most.root").alias("main"), "size", (F.col("size") - F.col("most.members")).alias("minor"))
+    return written(placed.join(written(main, "main-parts"), "gram"), "open-lists")
+
+
+def agreeing(x: list[tuple], y: list[tuple], config: JoinConfig) -> list[tuple]:
+    """Pairs (a, b, n_a, n_b) of two blocks of a list, rows (key, n, own, root, in_main, prefix), whose intersection can be large
+    enough.
+
+    Positional filter over whole prefixes: up to the end of the shorter-reaching prefix all common n-grams are counted, and
+    what follows cannot add more than either set has left. Pairs that links connect already, and one of both orders of a
+    pair outside the main part, are left out.
+    """
+    tokens = [r[5] for r in x] + [r[5] for r in y]
+    names, at = np.unique(np.concatenate(tokens), return_inverse=True)
+    rows = np.repeat(np.arange(len(tokens)), [len(t) for t in tokens])
+    has = np.zeros((len(tokens), len(names)), np.float32)
+    has[rows, at] = 1
+    common = has[: len(x)] @ has[len(x) :].T
+    key, n, own, root, in_main = (np.array([r[k] for r in x + y]) for k in range(5))
+    cut = len(x)
+    ends = np.array([t[-1] for t in tokens])
+    seen_x = np.array([np.searchsorted(t, ends[cut:], side="right") for t in tokens[:cut]])
+    seen_y = np.array([np.searchsorted(t, ends[:cut], side="right") for t in tokens[cut:]]).T
+    left = np.minimum((n - own)[:cut, None] - seen_x, (n - own)[None, cut:] - seen_y)
+    both = n[:cut, None] + n[None, cut:]
+    keep = (common > 0) & ((100 + config.percent) * (common.astype(np.int64) + left) >= config.percent * both)
+    keep &= (root[:cut, None] != root[None, cut:]) & (in_main[None, cut:] | (key[:cut, None] < key[None, cut:]))
+    keep &= 100 * np.minimum(n[:cut, None], n[None, cut:]) >= config.percent * np.maximum(n[:cut, None], n[None, cut:])
+    return [(min((key[i], n[i]), (key[cut + j], n[cut + j])), max((key[i], n[i]), (key[cut + j], n[cut + j]))) for i, j in np.argwhere(keep)]
+
+
+def _block_pairs(open_lists: DataFrame, shared: DataFrame, config: JoinConfig) -> DataFrame:
+    """Distinct pairs (a, b, n_a, n_b) that the prefixes of open lists leave.
+
+    The classes outside a list's main part are dealt into blocks, and so are all its classes; a block of either kind meets
+    every block of the other, so that no task holds more than two blocks however long a list is.
+    """
+
+    def prefix(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            key, n, raw = (batch.column(k).to_pylist() for k in range(3))
+            heads = [r[: 8 * (m - config.least_shared(m) + 1 - (m - len(r) // 8))] for m, r in zip(n, raw, strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array(key, pa.int64()), pa.array(heads, pa.binary())], ["key", "prefix"])
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group: tuple | None = None
+        blocks: tuple[list[tuple], list[tuple]] = ([], [])
+        found: list[tuple] = []
+
+        def close() -> None:
+            if blocks[0] and blocks[1]:
+                found.extend(agreeing(*blocks, config))
+            blocks[0].clear()
+            blocks[1].clear()
+
+        def out() -> pa.RecordBatch:
+            rows = [(int(a), int(b), int(n), int(m)) for (a, n), (b, m) in found]
+            found.clear()
+            return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows, strict=True)], ["a", "b", "n_a", "n_b"])
+
+        for batch in batches:
+            for gram, i, j, small, key, n, own, root, in_main, head in zip(*[batch.column(k).to_pylist() for k in range(10)], strict=True):
+                if (gram, i, j) != group:
+                    close()
+                    group = (gram, i, j)
+                blocks[0 if small else 1].append((key, n, own, root, in_main, np.frombuffer(head, np.int64)))
+                if len(found) >= 100_000:
+                    yield out()
+        close()
+        if found:
+            yield out()
+
+    heads = shared.select("key", "n", "grams").mapInArrow(prefix, "key long, prefix binary")
+    rows = open_lists.join(heads, "key").withColumn("in_main", F.col("root") == F.col("main"))
+    deal = lambda size: F.pmod(F.xxhash64("key", F.lit(1)), F.ceil(size / BLOCK_ROWS)).cast("int")
+    every = lambda size: F.sequence(F.lit(0), F.ceil(size / BLOCK_ROWS).cast("int") - 1)
+    columns = ["key", "n", "own", "root", "in_main", "prefix"]
+    small = rows.filter(~F.col("in_main")).select("gram", deal(F.col("minor")).alias("i"), F.explode(every(F.col("size"))).alias("j"), F.lit(True).alias("small"), *columns)
+    large = rows.select("gram", F.explode(every(F.col("minor"))).alias("i"), deal(F.col("size")).alias("j"), F.lit(False).alias("small"), *columns)
+    dealt = small.unionByName(large).repartition("gram", "i", "j").sortWithinPartitions("gram", "i", "j")
+    return dealt.mapInArrow(compare, "a long, b long, n_a long, n_b long").distinct()
+
+
+def candidate_links(shared: DataFrame, config: JoinConfig) -> DataFrame:
+    """Verified links (a, b, inter) between classes, enough of them to connect whatever is connected."""
+    posts = written(prefixes(shared, config), "prefixes")
+    ranges = written(_ranges(shared), "ranges")
+    sizes = shared.select(F.col("key").alias("b"), F.col("n").alias("n_b"))
+    links = _pivot_links(posts, shared, sizes, ranges, config)
+    # what the first central classes leave may have centres of its own
+    apart = _open_lists(posts, links).filter("root <> main").select("gram", "key", "n", "own")
+    links = links.unionByName(_pivot_links(apart, shared, sizes, ranges, config))
+    pairs = _block_pairs(_open_lists(posts, links), shared, config)
     return links.unionByName(written(verified(filtered(pairs, ranges, config), shared, config), "links"))
 
 
