@@ -285,6 +285,19 @@ def prefixes(shared: DataFrame, config: JoinConfig) -> DataFrame:
     return shared.select("key", "n", "grams").mapInArrow(run, "gram long, key long, n long, own long")
 
 
+def prefix_lists(shared: DataFrame, config: JoinConfig) -> DataFrame:
+    """Rows of `prefixes` whose n-gram several classes have; of n-grams with the very same classes only one is left.
+
+    N-grams of one passage mostly have the same classes and would only give the same pairs again. Classes of a list are
+    told from others by their number and two exclusive-ors of hashes.
+    """
+    posts = written(prefixes(shared, config), "prefixes")
+    same = [F.bit_xor(F.xxhash64("key", F.lit(k))).alias(f"x{k}") for k in (1, 2)]
+    lists = posts.groupBy("gram").agg(F.count(F.lit(1)).alias("members"), *same).filter("members > 1")
+    kept = lists.groupBy("members", "x1", "x2").agg(F.min("gram").alias("gram")).select("gram")
+    return written(posts.join(written(kept, "lists"), "gram"), "prefix-lists")
+
+
 def _ranges(shared: DataFrame) -> DataFrame:
     """(key, own, ranges): n-grams that no other class has, and the counts of the shared ones by range of the hash space."""
 
@@ -307,6 +320,7 @@ def filtered(pairs: DataFrame, ranges: DataFrame, config: JoinConfig) -> DataFra
     Linked sets differ in at most n_a + n_b - 2 * (least intersection) n-grams. They differ in all n-grams that only one class
     has, and in each range of the hash space by no less than the difference of the counts.
     """
+    pairs = written(pairs, "pairs")
     a, b = (ranges.select(F.col("key").alias(x), F.col("own").alias(f"own_{x}"), F.col("ranges").alias(f"ranges_{x}")) for x in "ab")
     apart = F.aggregate(F.zip_with("ranges_a", "ranges_b", lambda x, y: F.abs(x - y)), F.lit(0), lambda s, x: s + x)
     least = F.ceil(config.percent * (F.col("n_a") + F.col("n_b")) / (100 + config.percent))
@@ -327,6 +341,8 @@ def verified(pairs: DataFrame, shared: DataFrame, config: JoinConfig) -> DataFra
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows, strict=True)], ["a", "b", "inter"])
 
+    # written, so that few pairs are known to be few and the sets stay where they are
+    pairs = written(pairs, "pairs")
     a, b = (shared.select(F.col("key").alias(x), F.col("grams").alias(f"grams_{x}")) for x in "ab")
     return pairs.join(a, "a").join(b, "b").select("a", "b", "n_a", "n_b", "grams_a", "grams_b").mapInArrow(run, "a long, b long, inter long")
 
@@ -442,7 +458,7 @@ def _block_pairs(open_lists: DataFrame, shared: DataFrame, config: JoinConfig) -
 
 def candidate_links(shared: DataFrame, config: JoinConfig) -> DataFrame:
     """Verified links (a, b, inter) between classes, enough of them to connect whatever is connected."""
-    posts = written(prefixes(shared, config), "prefixes")
+    posts = prefix_lists(shared, config)
     ranges = written(_ranges(shared), "ranges")
     sizes = shared.select(F.col("key").alias("b"), F.col("n").alias("n_b"))
     links = _pivot_links(posts, shared, sizes, ranges, config)
