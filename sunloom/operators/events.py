@@ -35,7 +35,11 @@ def sessions(df: DataFrame, s: S.Series, cfg: EventConfig = EventConfig(), dt: s
 
 def fault_events(diag: DataFrame, s: S.Series, cfg: EventConfig = EventConfig()) -> DataFrame:
     """Anomalous bins → events with scores, energy loss, preliminary label, domain and state."""
-    rows = sessions(diag.filter(V.flag("anomaly_flag")), s, cfg)
+    return events_of(sessions(diag.filter(V.flag("anomaly_flag")), s, cfg), s, cfg).drop("island")
+
+
+def events_of(rows: DataFrame, s: S.Series, cfg: EventConfig = EventConfig()) -> DataFrame:
+    """Bins with their session number `island` → one row per session that is long enough."""
     name = V.first_filled("diagnosis_label")
     text = lambda c: V.normal_label(F.col(c))
     loss = F.greatest(F.col("pac_model_w") - F.col("pac_real_w"), F.lit(0.0)) * F.when(
@@ -49,7 +53,7 @@ def fault_events(diag: DataFrame, s: S.Series, cfg: EventConfig = EventConfig())
         F.mode(text("domain_label"), True).alias("domain_prelim"), F.mode(text("state_label"), True).alias("state_prelim"),
     ).filter(F.col("n_bins") >= cfg.min_bins)
     return events.withColumns({"event_label_prelim": LB.coarse_event(F.col("_fault")), "status": F.lit("open"),
-                               "known_vs_unknown": F.lit("pending")}).drop("_fault", "island")
+                               "known_vs_unknown": F.lit("pending")}).drop("_fault")
 
 
 def day_cells(df: DataFrame, start: str, end: str, name: str = "_cell", seconds: int = DAY_SECONDS) -> DataFrame:
