@@ -78,7 +78,10 @@ def _judged(rows: DataFrame, rules: LineRules) -> DataFrame:
     size = lambda lines: F.aggregate(lines, F.lit(0).cast("long"), lambda s, x: s + F.length(x))
     rows = rows.withColumn("all_chars", size("lines")).withColumn("lost_chars", F.col("all_chars") - size("left"))
     rows = rows.withColumn("base_failed", (F.col("n_words") < rules.min_words) | (100 * F.col("n_repeat_words") > rules.most_repeated_pct * F.col("n_words")))
-    return rows.withColumn("kept", ~F.col("base_failed") & (100 * F.col("lost_chars") <= rules.most_lost_pct * F.col("all_chars"))).withColumn("cleaned", F.array_join("left", "\n"))
+    # a filter on the verdict must not be moved below the arrays it is made of: they would be built anew inside every lambda;
+    # a row number, which is never negative, keeps it above
+    rows = rows.withColumn("mark", F.monotonically_increasing_id())
+    return rows.withColumn("kept", (F.col("mark") >= 0) & ~F.col("base_failed") & (100 * F.col("lost_chars") <= rules.most_lost_pct * F.col("all_chars"))).withColumn("cleaned", F.array_join("left", "\n"))
 
 
 def quality_verdict(docs: DataFrame, rules: LineRules = LineRules(), key: str = "doc_id", text: str = "text") -> DataFrame:
