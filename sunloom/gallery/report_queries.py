@@ -244,7 +244,7 @@ def mismatch_summary(t):
 
 @query("d24_parameter_search")
 def parameter_search(t):
-    return SW.parameter_search(runtime_input(t), SER, channels(), SW.trials(6), tz=TZ)
+    return SW.parameter_search(runtime_input(t), SER, channels(), SW.trials(), tz=TZ)
 
 
 @query("t04_top_trials", """SELECT p_brand, p_partkey, rank FROM (SELECT p_brand, p_partkey, row_number() OVER (PARTITION BY p_brand ORDER BY p_retailprice % 7 DESC, p_partkey) AS rank FROM part) WHERE rank <= 10""")
