@@ -30,7 +30,8 @@ class DigestIndex:
 
     def add(self, signed: DataFrame) -> None:
         """Append the digests of `signed` (doc_id, digest) that are new. Safe to repeat: a second run finds nothing new."""
-        batch = signed.groupBy("digest").agg(F.max("doc_id").alias("keep_id"))
+        # written: otherwise the optimizer moves the anti-join below the aggregation, and all copies of a text meet in one task
+        batch = written(signed.groupBy("digest").agg(F.max("doc_id").alias("keep_id")), "batch-digests")
         fresh = batch.hint("merge").join(self.rows(), "digest", "left_anti")
         # the new rows are settled before the table they were compared with is written to
         fresh = written(fresh, "fresh-digests")
