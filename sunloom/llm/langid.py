@@ -11,6 +11,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from sunloom.llm.common import written
+
 UNDETERMINED = "und"
 #: ASCII characters other than letters become spaces; the rest of Unicode stays
 _PLAIN = {i: " " for i in range(128) if not chr(i).isalpha()}
@@ -53,8 +55,12 @@ def _word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def train(docs: DataFrame, config: LanguageConfig = LanguageConfig(), key: str = "doc_id", text: str = "text", lang: str = "lang") -> LanguageModel:
     """Learn from at most `docs_per_language` rows of each non-null language: a bounded sample by hash of the id."""
     rows = docs.select(F.col(f"`{key}`").alias("k"), F.col(f"`{text}`").alias("text"), F.col(f"`{lang}`").cast("string").alias("lang")).filter("lang is not null and text is not null and k is not null")
+    hashed = rows.select("lang", "k", F.xxhash64("k").alias("h"))
+    # by its count, a language first keeps about four times the rows it may use, so that no ranking is larger
+    share = F.ceil(4 * config.docs_per_language * (1 << 20) / F.col("count"))
+    drawn = hashed.join(written(hashed.groupBy("lang").count(), "languages"), "lang").filter(F.pmod(F.xxhash64("k", F.lit(1)), F.lit(1 << 20)) < share)
     first = Window.partitionBy("lang").orderBy("h", "k")
-    chosen = rows.select("lang", "k", F.xxhash64("k").alias("h")).withColumn("nth", F.row_number().over(first)).filter(F.col("nth") <= config.docs_per_language)
+    chosen = drawn.withColumn("nth", F.row_number().over(first)).filter(F.col("nth") <= config.docs_per_language)
     # bounded: at most docs_per_language ids for each language
     chosen = F.broadcast(chosen.select("lang", "k"))
     sample = rows.join(chosen, ["lang", "k"], "left_semi").select("lang", "text")
