@@ -8,12 +8,16 @@ from dataclasses import dataclass, field
 
 #: fixed values: what HTML says about elements
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-SILENT = frozenset("script style title noscript template iframe svg math object canvas audio video select textarea button datalist head".split())
+SILENT = frozenset("script style title noscript template iframe svg object canvas audio video select textarea button datalist head".split())
 RAW = frozenset("script style title textarea noscript iframe template".split())
 INLINE = frozenset(
     "a abbr acronym b bdi bdo big br cite code data del dfn em font i img input ins kbd label mark meter nobr output progress q rp rt ruby s samp "
-    "small span strike strong sub sup time tt u var wbr".split()
+    "small span strike strong sub sup time tt u var wbr "
+    "math annotation menclose merror mfenced mfrac mi mmultiscripts mn mo mover mpadded mphantom mprescripts mroot mrow ms mspace msqrt mstyle msub "
+    "msubsup msup mtable mtd mtext mtr munder munderover semantics".split()
 )
+#: what an open head can hold; any other element, or text, ends it, as </head> may be left out
+IN_HEAD = frozenset("base link meta title style script noscript template".split())
 #: an element that begins ends an open element of these names before it
 ENDS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}, "tbody": {"thead", "tbody", "tr", "td", "th"}, "tfoot": {"tbody", "tr", "td", "th"}}
 #: elements that an implied end does not reach over
@@ -57,7 +61,7 @@ def parse(page: str) -> tuple[list[Block], list[tuple[int, str]]]:
     """(blocks in page order with a root first, text runs as (block, text)); character references decoded, white space made one.
 
     A text run is what stands in one block between two of its block children, inline elements included. Elements that end
-    nowhere end with their parent, and unknown elements are blocks.
+    nowhere end with their parent, a head with the first thing that it cannot hold; unknown elements are blocks.
     """
     blocks = [Block("#root", -1)]
     runs: list[tuple[int, str]] = []
@@ -92,6 +96,8 @@ def parse(page: str) -> tuple[list[Block], list[tuple[int, str]]]:
 
     def text(piece: str) -> None:
         nonlocal linked
+        if stack[-1][0] == "head" and piece.strip():
+            pop_to(len(stack) - 1)
         if piece and not silent:
             parts.append(piece)
             if links:
@@ -116,6 +122,8 @@ def parse(page: str) -> tuple[list[Block], list[tuple[int, str]]]:
                 if tag in INLINE and stack[depth][0] not in INLINE:
                     break
             continue
+        if stack[-1][0] == "head" and tag not in IN_HEAD:
+            pop_to(len(stack) - 1)
         if tag in VOID:
             if tag in ("br", "hr", "wbr"):
                 text(" " if tag != "wbr" else "")

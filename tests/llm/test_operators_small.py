@@ -116,6 +116,21 @@ def test_extraction_of_odd_pages(spark, page_model):
     assert extracted(df.limit(0), page_model).count() == 0
 
 
+def test_pages_with_optional_tags_left_out(page_model):
+    from sunloom.llm.extract import main_text
+
+    article = "<article><p>One sentence of the article here.</p><p>Another sentence, with <math><mi>x</mi><mo>=</mo><mn>2</mn></math> in it.</p></article>"
+    want = "One sentence of the article here.\nAnother sentence, with x=2 in it."
+    for page in (
+        f"<html><head><title>x</title></head><body>{article}</body></html>", f"<html><head><title>x</title><body>{article}", f"<html><head><title>x</title>{article}",
+        f"<head><meta charset=utf-8><link href=x><script>var a='<p>';</script>\n<noscript>y</noscript><style>p{{}}</style><template><p>z</p></template>{article}",
+        f"<html><title>x</title><body>{article}</body></html>", f"<title>x</title>{article}", f"<head><img src=x>{article}",
+    ):
+        assert main_text(page, page_model) == want, page
+    assert main_text("<head><title>x</title>\n Only <b>text</b>.", page_model) == "Only text."
+    assert main_text("<head><title>x</title><a href=y>Only</a> text.", page_model) == "Only text."
+
+
 # ---- packing and BPE ------------------------------------------------------------------------------------------------
 
 
