@@ -13,7 +13,19 @@ NOTICES = (
     "all rights reserved", "cookie policy", "cookies", "privacy policy", "terms of use", "terms of service", "javascript",
     "lorem ipsum", "licensed under", "released under", "subscribe", "sign in", "log in", "read more", "click here",
 )
+#: one of these beside such a phrase makes a line a notice
+NOTICE_SIGNS = (
+    "\u00a9", "\\(c\\)", "copyright", "https?:", "www\\.", "licen[cs]es?", "cc by", "public domain", "newsletter", "dolor", "we use", "by using", "continuing",
+    "(?:our|this) (?:web)?site", "your (?:browser|account|e-?mail|inbox|consent|preferences|password)",
+)
 SYMBOLS = "#*$%&|<>"
+#: characters that end a sentence, in any script
+ENDS = (
+    "!.?\u0589\u061d-\u061f\u06d4\u0700-\u0702\u07f9\u0837\u0839\u083d\u083e\u0964\u0965\u104a\u104b\u1362\u1367\u1368\u166e\u1735"
+    "\u1736\u17d4\u17d5\u1803\u1809\u1944\u1945\u1aa8-\u1aab\u1b4e\u1b4f\u1b5a\u1b5b\u1b5e\u1b5f\u1b7d-\u1b7f\u1c3b\u1c3c\u1c7e\u1c7f"
+    "\u2025\u2026\u203c\u203d\u2047-\u2049\u2cf9-\u2cfb\u2e2e\u2e3c\u2e53\u2e54\u2e60\u2e61\u3002\ua4ff\ua60e\ua60f\ua6f3\ua6f7\ua876"
+    "\ua877\ua8ce\ua8cf\ua92f\ua9c8\ua9c9\uaa5d-\uaa5f\uaaf0\uaaf1\uabeb\ufe12\ufe15\ufe16\ufe52\ufe56\ufe57\uff01\uff0e\uff1f\uff61"
+)
 
 
 @dataclass(frozen=True)
@@ -24,6 +36,8 @@ class LineRules:
     unended_words: int = 5
     notice_words: int = 30
     most_lost_pct: int = 30
+    notice_alone_words: int = 3
+    wrap_columns: int = 120
 
 
 def _without(text: Column, characters: str) -> Column:
@@ -37,14 +51,54 @@ def _symbols(text: Column) -> Column:
     return (F.octet_length(text) - F.octet_length(_without(text, SYMBOLS))).cast("long")
 
 
+def _ended(text: Column) -> Column:
+    return text.rlike(f"[{ENDS}]")
+
+
+def _phrase(*choices: str) -> str:
+    return rf"(?<![\p{{L}}\p{{N}}])(?:{'|'.join(choices)})(?![\p{{L}}\p{{N}}])"
+
+
+def _words(line: Column) -> Column:
+    return F.octet_length(line) - F.octet_length(F.replace(line, F.lit(" "), F.lit(""))) + 1
+
+
 def line_fails(line: Column, rules: LineRules = LineRules()) -> Column:
-    """True for a line of noise or navigation, for shouting, for a run of words without a sentence end, for a short notice."""
-    words = F.octet_length(line) - F.octet_length(F.replace(line, F.lit(" "), F.lit(""))) + 1
+    """True for a line of noise or navigation, for shouting, for a short notice: a phrase of NOTICES that is nearly all of the line, or
+    stands beside a second one or a sign of NOTICE_SIGNS."""
+    words = _words(line)
     noise = 100 * _symbols(line) > rules.most_symbols_per_100_words * words
     shouting = ~line.rlike(r"\p{Ll}") & line.rlike(r"\p{Lu}.*\p{Lu}") & (words > 1)
-    unended = ~line.rlike("[.!?\u2026\u3002]") & (words >= rules.unended_words)
-    notice = (words <= rules.notice_words) & line.rlike("(?i)" + "|".join(NOTICES))
-    return noise | shouting | unended | notice
+    one = _phrase(*NOTICES)
+    signs = "|".join(x if x[0] in "\u00a9\\" else _phrase(x) if x[-1] not in ":." else rf"(?<![\p{{L}}\p{{N}}]){x}" for x in NOTICE_SIGNS)
+    second = (words <= rules.notice_alone_words) | line.rlike(f"(?is){one}.*{one}") | line.rlike(f"(?iu){signs}")
+    notice = (words <= rules.notice_words) & line.rlike(f"(?i){one}") & second
+    return noise | shouting | notice
+
+
+def _with_unended(rows: DataFrame, rules: LineRules) -> DataFrame:
+    """Adds unended: lines of many words in paragraphs without a sentence end; null for texts whose lines all have one.
+
+    A paragraph is a line with those that go on from it. The next line goes on if this one does not stop at a sentence end and it
+    begins with a letter that is not a capital, or if the text is no wider than `wrap_columns` and its first word had no place here.
+    A line that stands in several paragraphs is unended if all of them are.
+    """
+    doubtful = lambda line: ~_ended(line) & (_words(line) >= rules.unended_words)
+    rows = rows.withColumn("raw", F.when(F.exists("lines", doubtful), F.split("text", "\n")))
+    rows = rows.withColumn("widest", F.array_max(F.transform("raw", lambda line: F.length(line))))
+
+    def glued(line: Column, i: Column) -> Column:
+        after = F.get("raw", i + 1)
+        first = F.length(F.regexp_extract(after, r"^\s*(\S+)", 1))
+        full = (F.col("widest") <= rules.wrap_columns) & (first > 0) & (F.length(line) + 1 + first > F.col("widest"))
+        on = ~line.rlike(rf"[{ENDS}][\p{{Pe}}\p{{Pf}}\"']*\s*$") & (after.rlike(r"^\s*[\p{Ll}\p{Lo}]") | full)
+        return F.when(~line.rlike(r"[^ \t\n\x0B\f\r]"), "").otherwise(F.concat(line, F.when(on, "\n").otherwise("\n\n")))
+
+    # no line holds a line feed, so two of them part paragraphs
+    rows = rows.withColumn("paragraphs", F.split(F.array_join(F.transform("raw", glued), ""), "\n\n"))
+    of = lambda keep: F.flatten(F.transform(F.filter("paragraphs", keep), lambda p: F.split(p, "\n")))
+    never = F.filter(of(lambda p: ~_ended(p)), lambda line: _words(line) >= rules.unended_words)
+    return rows.withColumn("unended", F.array_except(never, of(_ended))).drop("raw", "widest", "paragraphs")
 
 
 def _measured(rows: DataFrame) -> DataFrame:
@@ -67,14 +121,15 @@ def _measured(rows: DataFrame) -> DataFrame:
     added = F.zip_with("at", F.slice("at", F.lit(2), F.size("at")), lambda a, b: F.least(F.coalesce(b - a, F.lit(3)), F.lit(3)))
     none = F.lit(0).cast("long")
     return rows.select(
-        "carry", "lines", F.size("w").cast("long").alias("n_words"), F.length(_without(text, BLANKS)).cast("long").alias("word_chars"),
+        "carry", "text", "lines", F.size("w").cast("long").alias("n_words"), F.length(_without(text, BLANKS)).cast("long").alias("word_chars"),
         _symbols(text).alias("n_symbols"), (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"),
         F.coalesce(F.aggregate(added, none, lambda s, x: s + x), none).alias("n_repeat_words"),
     )
 
 
 def _judged(rows: DataFrame, rules: LineRules) -> DataFrame:
-    rows = _measured(rows).withColumn("left", F.filter(F.array_distinct("lines"), lambda line: ~line_fails(line, rules)))
+    rows = _with_unended(_measured(rows), rules).withColumn("once", F.coalesce(F.array_except("lines", "unended"), F.array_distinct("lines")))
+    rows = rows.withColumn("left", F.filter("once", lambda line: ~line_fails(line, rules)))
     size = lambda lines: F.aggregate(lines, F.lit(0).cast("long"), lambda s, x: s + F.length(x))
     rows = rows.withColumn("all_chars", size("lines")).withColumn("lost_chars", F.col("all_chars") - size("left"))
     rows = rows.withColumn("base_failed", (F.col("n_words") < rules.min_words) | (100 * F.col("n_repeat_words") > rules.most_repeated_pct * F.col("n_words")))
@@ -88,8 +143,8 @@ def quality_verdict(docs: DataFrame, rules: LineRules = LineRules(), key: str =
     """Verdict on every document, with the lines that are left.
 
     Columns: doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words (all long), base_failed, lost_chars (code
-    points of removed lines), cleaned (the lines left, joined by a line feed), kept. Lines that fail `line_fails` or equal an
-    earlier line of the text are removed. A null, empty or blank text has no words, fails the base rule and is not kept;
+    points of removed lines), cleaned (the lines left, joined by a line feed), kept. Lines that fail `line_fails`, are
+    unended or equal an earlier line of the text are removed. A null, empty or blank text has no words, fails the base rule and is not kept;
     repeated rows and null ids are judged like any other; an empty table gives an empty result.
     One pass over the rows: no shuffle, no Python.
     """

@@ -306,6 +306,26 @@ def test_quality_on_odd_rows(docs_of, odd_texts):
     assert quality_verdict(docs.limit(0)).count() == 0
 
 
+def test_quality_keeps_wrapped_prose_and_plain_uses_of_notice_words(docs_of):
+    import textwrap
+
+    from sunloom.llm.quality import quality_verdict
+
+    def prose(n, end=".", noun="Word"):
+        return " ".join(" ".join(f"{noun if j % 4 == 3 else 'term'}{k}x{j}" for j in range(14)).capitalize() + end for k in range(n))
+
+    wrapped = textwrap.fill(prose(20), 72)
+    assert sum("." not in x for x in wrapped.split("\n")) > 10
+    scripts = ["\n".join(prose(6).replace(".", e).split(f"{e} ")) + e for e in "\u0964\u06d4\u061f\uff01\uff1f"]
+    plain = ["We design in wood, and they catalog in ink.", "The film was released under another title in 1950.", "She baked cookies for the whole school on Friday."]
+    notices = ["All rights reserved.", "Released under the MIT License.", "Click here to read more", "We use cookies to improve things.", "\u00a9 2020 Someone, all rights reserved."]
+    menu = "home about contact help more\nnews sports weather world local\nHome and garden and much besides"
+    docs = [wrapped, *scripts, "\n".join([prose(9), *plain]), "\n".join([prose(9), *notices]), prose(9) + "\n\n" + menu, textwrap.fill(prose(12), 60) + "\n\n" + textwrap.fill(prose(5, noun="Thing"), 60)]
+    got = [r["cleaned"] for r in sorted(rows(quality_verdict(docs_of(enumerate(docs)))), key=lambda r: r["doc_id"]) if r["kept"]]
+    assert len(got) == len(docs)
+    assert got[:7] == docs[:7] and got[7] == prose(9) == got[8] and got[9] == docs[9].replace("\n\n", "\n")
+
+
 def test_exact_copies(spark, docs_of):
     from sunloom.llm.common import scratch_path
     from sunloom.llm.exact import DigestIndex, drop_exact_duplicates, exact_duplicates
