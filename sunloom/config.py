@@ -11,7 +11,7 @@ BIN_SECONDS = 900
 BINS_PER_DAY = 96
 
 METER_COLS = ("p_ac_w", "p_dc_w", "v_dc_v", "i_dc_a", "v_ac_v", "i_ac_a", "freq_hz")
-MPPT_COLS = tuple(f"mppt{k}_{c}" for k in (1, 2, 3, 4) for c in ("vdc_v", "idc_a", "p_dc_w"))
+MPPT_KINDS = ("vdc_v", "idc_a", "p_dc_w")
 WEATHER_COLS = ("ghi", "dni", "dhi", "gti", "temp_air", "wind_speed", "rh", "pressure")
 WEATHER_SCORE = "meteo_qc_score"
 WEATHER_FLAGS = (
@@ -21,7 +21,7 @@ WEATHER_FLAGS = (
 
 @dataclass(frozen=True)
 class BucketConfig:
-    mean_cols: tuple[str, ...] = METER_COLS + MPPT_COLS
+    mean_cols: tuple[str, ...] | None = None  # the meter's and those of every tracker that the table has
     sampling_minutes: int = 5
     max_dt_minutes: int = 15
     energy_dt: str = "fixed"            # or "next"

@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sunloom.config import (
-    BIN_MINUTES, BIN_SECONDS, METER_COLS, WEATHER_COLS, WEATHER_FLAGS, WEATHER_SCORE, BucketConfig, WeatherConfig,
+    BIN_MINUTES, BIN_SECONDS, METER_COLS, MPPT_KINDS, WEATHER_COLS, WEATHER_FLAGS, WEATHER_SCORE, BucketConfig, WeatherConfig,
 )
 from sunloom.functions import timegrid as tg
 from sunloom.functions.values import flag
@@ -17,6 +17,15 @@ from sunloom.operators import series as S
 BIN = "ts_15"
 
 
+def mean_columns(df: DataFrame, cfg: BucketConfig) -> list[str]:
+    """Columns of the table that a bucket takes the mean of."""
+    names = cfg.mean_cols
+    if names is None:
+        trackers = sorted({k for c in MPPT_KINDS for k in K.trackers_in(df.columns, c)})
+        names = (*METER_COLS, *[f"mppt{k}_{c}" for k in trackers for c in MPPT_KINDS])
+    return [c for c in names if c in df.columns]
+
+
 def sample_energy_fixed(pac: Column, cfg: BucketConfig) -> Column:
     return pac * (cfg.sampling_minutes / 60.0)
 
@@ -50,7 +59,7 @@ def bucket_power(
         energy = sample_energy_fixed(F.col("p_ac_w"), cfg)
     else:
         energy = F.lit(None).cast("double")
-    means = [F.avg(c).alias(c) for c in cfg.mean_cols if c in df.columns]
+    means = [F.avg(c).alias(c) for c in mean_columns(df, cfg)]
     more = [e.alias(n) for n, e in (extra or {}).items()]
     out = (
         df.filter(F.col(time).isNotNull())

@@ -27,7 +27,7 @@ def effectively_active(p_dc: Column, p_ac: Column, i_dc: Column, v_dc: Column) -
 def useful_merged(df: DataFrame) -> Column:
     """Any operative value, or a positive coverage, unless the bin says the inverter is missing."""
     names = ("p_ac_w", "p_dc_w", "v_ac_v", "i_ac_a", "v_dc_v", "i_dc_a", "e_ac_wh_15",
-             *[f"mppt{k}_{c}" for k in (1, 2, 3, 4) for c in ("vdc_v", "idc_a")])
+             *[f"mppt{k}_{c}" for c in ("vdc_v", "idc_a") for k in K.trackers_in(df.columns, c)])
     have = [F.col(n) for n in names if n in df.columns]
     value = F.coalesce(*have).isNotNull() if have else F.lit(False)
     covered = F.coalesce(F.col("inv_coverage") > 0, F.lit(False)) if "inv_coverage" in df.columns else F.lit(False)

@@ -18,6 +18,8 @@ PHASE_V_TITLES = ("Tensão de fase R", "Tensão de fase S", "Tensão de fase T")
 PHASE_I_TITLES = ("Corrente de fase A", "Corrente de fase B", "Corrente de fase C")
 TIME_TITLE = "Data E Hora"
 PARSED_VENDOR = "RENOVIGI"
+# have columns even if no payload names them
+USUAL_TRACKERS = (1, 2, 3, 4)
 
 # fixed values: weather service arrays → table columns
 WEATHER_ARRAYS = {
@@ -84,13 +86,17 @@ def tracker_pairs(p: Column) -> Column:
     return F.transform(_tracker_numbers(p), lambda k: F.struct(at(MPPT_V_TITLE, k).alias("v"), at(MPPT_I_TITLE, k).alias("i")))
 
 
-def extract_payload(df: DataFrame, provider: str = "provedor", payload: str = "payload", trackers: Sequence[int] = (1, 2, 3, 4)) -> DataFrame:
+def extract_payload(df: DataFrame, provider: str = "provedor", payload: str = "payload", trackers: Sequence[int] | None = None) -> DataFrame:
     """Raw payload → canonical metrics; payloads of other vendors give NULLs.
 
-    The DC totals are over all trackers of the payload; `trackers` only says which get columns of their own
-    (`payload_trackers` finds those that are there).
+    The DC totals are over all trackers of the payload; `trackers` only says which get columns of their own. By default they are
+    1 to 4 and all others that the payloads name, found by a pass over the table; a stream has to be told.
     """
     known = F.upper(F.coalesce(F.col(provider), F.lit(""))) == PARSED_VENDOR
+    if trackers is None:
+        if df.isStreaming:
+            raise ValueError("extract_payload: name the trackers of a stream")
+        trackers = sorted({*USUAL_TRACKERS, *payload_trackers(df.filter(known), payload)})
     df = df.withColumn("_p", F.when(known, payload_map(payload)))
     p = F.col("_p")
     at = lambda title: F.try_element_at(p, F.lit(title))
@@ -155,11 +161,12 @@ def repair_clock(df: DataFrame, keys: Sequence[str], tz: str = "tz", time: str =
     )
 
 
-def scan_telemetry(df: DataFrame, start: Column, end: Column, keys: Sequence[str], tz: str = "tz", buffer_hours: int = 6) -> DataFrame:
-    """Buffered range, payload extraction, clock repair, then the exact range."""
+def scan_telemetry(df: DataFrame, start: Column, end: Column, keys: Sequence[str], tz: str = "tz", buffer_hours: int = 6,
+                   trackers: Sequence[int] | None = None) -> DataFrame:
+    """Buffered range, payload extraction, clock repair, then the exact range; trackers as in `extract_payload`."""
     pad = buffer_hours * 3600
     wide = in_range(df, tg.plus_seconds(start, -pad), tg.plus_seconds(end, pad))
-    return in_range(repair_clock(extract_payload(wide), keys, tz), start, end)
+    return in_range(repair_clock(extract_payload(wide, trackers=trackers), keys, tz), start, end)
 
 
 def weather_blocks(df: DataFrame, payload: str = "payload", block: str = "minutely_15") -> DataFrame:

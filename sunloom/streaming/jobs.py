@@ -11,7 +11,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from sunloom.config import BucketConfig, DetectConfig, EventConfig
 from sunloom.functions import values as V
-from sunloom.operators.bins import BIN
+from sunloom.operators.bins import BIN, mean_columns
 from sunloom.session import checkpoint_ready
 from sunloom.sources import tables as TB
 
@@ -25,7 +25,7 @@ def drop_repeats(stream: DataFrame, keys: Sequence[str], time: str = "ts_utc", d
 
 def bucket_power(stream: DataFrame, keys: Sequence[str], cfg: BucketConfig = BucketConfig(), time: str = "ts_utc", delay: str = LATE) -> DataFrame:
     """Quarter-hours with coverage; rows later than the watermark are dropped and counted by the query metrics."""
-    means = [F.avg(c).alias(c) for c in cfg.mean_cols if c in stream.columns]
+    means = [F.avg(c).alias(c) for c in mean_columns(stream, cfg)]
     energy = F.sum(F.col("p_ac_w") * (cfg.sampling_minutes / 60.0)).alias("e_ac_wh_15")
     g = stream.withWatermark(time, delay).groupBy(*keys, F.window(time, "15 minutes").alias("w")).agg(*means, energy, F.count(F.lit(1)).alias("inv_n"))
     g = g.select(*keys, F.col("w.start").alias(BIN), *[c for c in g.columns if c not in (*keys, "w")])

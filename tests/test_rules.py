@@ -154,6 +154,26 @@ def test_a_sixth_tracker_counts(spark):
     assert sorted((x.mppt, x.p_ac_w) for x in B.allocate_to_mppt(whole).collect() if x.p_dc_w) == [(1, 540.0), (6, 2160.0)]
 
 
+def test_a_sixth_tracker_comes_through_without_arguments(spark):
+    import json
+
+    from pyspark.sql import functions as F
+
+    from sunloom.operators import bins as B
+    from sunloom.operators import totals as TT
+    from sunloom.sources import landing as L
+    from sunloom.streaming import jobs as J
+
+    payload = json.dumps({"Tensão CC MPPT1": "300 V", "Corrente CC MPPT1": "2 A", "Tensão CC MPPT6": "600 V", "Corrente CC MPPT6": "4 A"}, ensure_ascii=False)
+    raw = spark.createDataFrame([(1, "UTC", "RENOVIGI", payload)], "plant_id int, tz string, provedor string, payload string").selectExpr("*", "timestamp_seconds(86400) as ts_utc")
+    rows = L.scan_telemetry(raw, *[F.timestamp_seconds(F.lit(t)) for t in (0, 172800)], ["plant_id"])
+    for bins in (B.bucket_power(rows, ["plant_id"]), J.bucket_power(rows, ["plant_id"])):
+        r = bins.first()
+        assert (r.mppt1_p_dc_w, r.mppt6_vdc_v, r.mppt6_idc_a, r.mppt6_p_dc_w) == (600.0, 600.0, 4.0, 2400.0)
+    only = rows.selectExpr("mppt6_idc_a", "false as flag_inv_missing")
+    assert only.select(TT.useful_merged(only).alias("u")).first().u
+
+
 def test_pages_have_the_asked_size(spark):
     import pytest
 
