@@ -233,7 +233,7 @@ def days(t):
 
 @query("d33_fault_injection")
 def injected(t):
-    f = M.inject_faults(trackers(t), P, copies=2)
+    f = M.inject_faults(trackers(t), P)
     return f.groupBy("plant_id", "day", "copy", "mppt", "fault").agg(F.max("y").alias("y"), F.avg("mismatch_rel").alias("mm_mean"), F.sum("i").alias("i_sum"), F.count(F.lit(1)).alias("n"))
 
 
@@ -261,6 +261,6 @@ def train_and_score(t):
 
     tr = trackers(t).withColumn("i_ac_a", F.lit(None).cast("double"))
     sc = M.scalers(t.bin_state, tr, P).withColumn("iac_p99", F.lit(1.0))
-    days = CL.labelled_days(tr, sc, P, copies=1)
-    _, report = CL.train_and_report(days, P, 1824, CL.ClassifierConfig(kind="forest", trees=10))
+    days = CL.labelled_days(tr, sc, P)
+    _, report = CL.train_and_report(days, P, 1824)
     return report

@@ -174,6 +174,18 @@ def test_a_sixth_tracker_comes_through_without_arguments(spark):
     assert only.select(TT.useful_merged(only).alias("u")).first().u
 
 
+def test_fault_queries_run_the_default_job(spark, monkeypatch):
+    from sunloom.gallery import QUERIES
+    from sunloom.plans import classifier as CL
+
+    assert QUERIES["d33_fault_injection"](spark, "/root/testdata/sf0.001").select("copy").distinct().count() == 6
+    seen = {}
+    monkeypatch.setattr(CL, "labelled_days", lambda tr, sc, keys, copies=6: seen.update(copies=copies) or tr)
+    monkeypatch.setattr(CL, "train_and_report", lambda d, keys, width, cfg=CL.ClassifierConfig(): (seen.update(cfg=cfg), d))
+    QUERIES["d35_train_and_score"](spark, "/root/testdata/sf0.001")
+    assert seen == {"copies": 6, "cfg": CL.ClassifierConfig()}
+
+
 def test_pages_have_the_asked_size(spark):
     import pytest
 
