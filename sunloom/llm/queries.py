@@ -211,3 +211,13 @@ def op2_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     from sunloom.llm.extract import extracted, labelled_pages, train
 
     return extracted(table(spark, sf_dir, "pages"), train(labelled_pages(spark)))
+
+
+@query()
+def op11_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's tokens in as few sequences of at most 4096 as best fit in levels finds."""
+    import public_tokenizers
+
+    from sunloom.llm.bestfit import best_fit_packed
+
+    return best_fit_packed(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
