@@ -221,3 +221,40 @@ def op11_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from sunloom.llm.bestfit import best_fit_packed
 
     return best_fit_packed(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
+def cluster_sql(clusters: int, rounds: int) -> str:
+    """Every round a table of assignments and one of centroids; distance and number are compared as one integer."""
+    nearest = """a{t} AS MATERIALIZED (
+  SELECT rid, any_value(vec_id) AS vec_id, any_value(v) AS v, (min(m) % 1024)::INT AS k, (min(m) // 1024)::BIGINT AS d
+  FROM (SELECT rid, vec_id, v, list_sum(list_transform(range(1, 65), lambda i: (v[i] - c[i]) * (v[i] - c[i])))::HUGEINT * 1024 + c{t}.k AS m FROM kept, c{t})
+  GROUP BY rid
+)"""
+    means = """c{n} AS MATERIALIZED (
+  SELECT c{t}.k, coalesce(w.c, c{t}.c) AS c FROM c{t} LEFT JOIN (
+    SELECT k, list(((s - (((s % n) + n) % n)) // n)::BIGINT ORDER BY i) AS c
+    FROM (SELECT k, i, sum(v[i]::HUGEINT) AS s, count(*) AS n FROM a{t}, range(1, 65) d(i) GROUP BY k, i) GROUP BY k
+  ) w ON w.k = c{t}.k
+)"""
+    steps = [x for t in range(rounds) for x in (nearest.format(t=t), means.format(t=t, n=t + 1))] + [nearest.format(t=rounds)]
+    return f"""
+WITH kept AS MATERIALIZED (
+  SELECT row_number() OVER () AS rid, vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS v
+  FROM embeddings WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = 64
+),
+c0 AS MATERIALIZED (
+  SELECT nth - 1 AS k, v AS c FROM (SELECT v, row_number() OVER (ORDER BY sha256('2:' || vec_id) NULLS LAST, v) AS nth FROM kept) WHERE nth <= {clusters}
+),
+{", ".join(steps)}
+SELECT vec_id, a.k AS cluster, d AS distance, (sum(d) OVER (PARTITION BY a.k))::BIGINT AS cluster_inertia, (sum(d) OVER ())::BIGINT AS inertia,
+  sha256(array_to_string(c.c, ',')) AS centroid_sha256
+FROM a{rounds} a JOIN c{rounds} c ON c.k = a.k
+"""
+
+
+@query(cluster_sql(40, 5))
+def op12_centroid_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every kept vector with its cluster after five rounds."""
+    from sunloom.llm.centroids import clustered
+
+    return clustered(table(spark, sf_dir, "embeddings"))
