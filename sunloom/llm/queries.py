@@ -258,3 +258,69 @@ def op12_centroid_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     from sunloom.llm.centroids import clustered
 
     return clustered(table(spark, sf_dir, "embeddings"))
+
+
+
+
+def counted_sql(column: str) -> str:
+    return f"coalesce(octet_length(encode({column}::VARCHAR)) || ':' || {column}::VARCHAR, '-')"
+
+
+#: CRC-32 of a decimal number, bit by bit: each character is mixed in (its code) and shifted out (eight times -1)
+CRC_SQL = """xor(4294967295, list_reduce(
+    [4294967295] || flatten(list_transform(string_split(doc_id::VARCHAR, ''), lambda ch: [ascii(ch)::BIGINT, -1, -1, -1, -1, -1, -1, -1, -1])),
+    lambda crc, e: CASE WHEN e >= 0 THEN xor(crc, e) WHEN crc % 2 = 1 THEN xor(crc >> 1, 3988292384) ELSE crc >> 1 END))"""
+
+MANIFEST_SQL = f"""
+WITH RECURSIVE docs AS (
+  SELECT row_number() OVER () AS rid, doc_id, source, text, {" || ".join(map(counted_sql, ("doc_id", "source", "lang", "n_chars")))} AS head,
+    CASE WHEN {CRC_SQL} % 2 = 0 THEN replace(text, chr(10), '') ELSE text END AS struck
+  FROM documents
+),
+hashed AS (SELECT rid, doc_id, source, sha256(head || {counted_sql("text")}) AS leaf, sha256(head || {counted_sql("struck")}) AS tampered FROM docs),
+leaves AS (
+  SELECT *, dense_rank() OVER (ORDER BY source NULLS FIRST) - 1 AS rank,
+    row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos, count(*) OVER (PARTITION BY source) AS size
+  FROM hashed
+),
+inner_tree AS (
+  SELECT rank AS tree, 0 AS level, pos AS idx, leaf AS digest, size FROM leaves
+  UNION ALL
+  SELECT tree, level + 1, idx // 3, sha256(string_agg(digest, '' ORDER BY idx)), (any_value(size) + 2) // 3 FROM inner_tree WHERE size > 1 GROUP BY tree, level, idx // 3
+),
+subroots AS (SELECT tree AS rank, digest AS subroot FROM inner_tree WHERE size = 1),
+outer_tree AS (
+  SELECT -1::BIGINT AS tree, 0 AS level, rank AS idx, subroot AS digest, count(*) OVER () AS size FROM subroots
+  UNION ALL
+  SELECT tree, level + 1, idx // 3, sha256(string_agg(digest, '' ORDER BY idx)), (any_value(size) + 2) // 3 FROM outer_tree WHERE size > 1 GROUP BY tree, level, idx // 3
+),
+nodes AS (SELECT * FROM inner_tree WHERE size > 1 UNION ALL SELECT * FROM outer_tree WHERE size > 1),
+beside AS (
+  SELECT a.tree, a.level, a.idx, coalesce(string_agg(b.digest, '' ORDER BY b.idx) FILTER (WHERE b.idx < a.idx), '') AS l,
+    coalesce(string_agg(b.digest, '' ORDER BY b.idx) FILTER (WHERE b.idx > a.idx), '') AS r
+  FROM nodes a JOIN nodes b ON a.tree = b.tree AND a.level = b.level AND a.idx // 3 = b.idx // 3 GROUP BY ALL
+),
+steps AS (
+  SELECT rid, level AS step, l, r FROM leaves JOIN beside ON tree = rank AND idx = pos // (3 ** level)::BIGINT
+  UNION ALL
+  SELECT rid, 1000 + level, l, r FROM leaves JOIN beside ON tree = -1 AND idx = rank // (3 ** level)::BIGINT
+),
+way AS (SELECT rid, row_number() OVER (PARTITION BY rid ORDER BY step) AS nth, count(*) OVER (PARTITION BY rid) AS total, l, r FROM steps),
+folds AS (
+  SELECT rid, 0::BIGINT AS nth, tampered AS digest FROM leaves
+  UNION ALL
+  SELECT w.rid, w.nth, sha256(l || digest || r) FROM folds f JOIN way w ON w.rid = f.rid AND w.nth = f.nth + 1
+),
+folded AS (SELECT rid, max_by(digest, nth) AS folded_root FROM folds GROUP BY rid),
+proof AS (SELECT rid, string_agg(l || r, '' ORDER BY nth) AS proof FROM way GROUP BY rid)
+SELECT doc_id, leaf, subroot, root, sha256(coalesce(proof, '')) AS proof_sha256, folded_root, folded_root = root AS verified
+FROM leaves JOIN subroots USING (rank) JOIN folded USING (rid) LEFT JOIN proof USING (rid) CROSS JOIN (SELECT digest AS root FROM outer_tree WHERE size = 1)
+"""
+
+
+@query(MANIFEST_SQL)
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's leaf, proof and the root that its row folds to after tampering with some."""
+    from sunloom.llm.manifest import manifest_proofs
+
+    return manifest_proofs(table(spark, sf_dir, "documents"))
