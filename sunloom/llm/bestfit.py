@@ -5,6 +5,7 @@ import os
 import re
 import zlib
 from collections.abc import Iterator
+from itertools import filterfalse
 
 import pyarrow as pa
 from pyspark import TaskContext
@@ -26,7 +27,7 @@ FAN = 8
 LEAST_SAVED = 0.001
 BATCH_BYTES = 2 << 20
 #: bytes of words and ids that a task remembers between batches
-REMEMBERED_BYTES = 48 << 20
+REMEMBERED_BYTES = 96 << 20
 #: about what two short objects and their place in a dict take besides their content
 _ENTRY_BYTES = 200
 #: words of letters that stay one lower-case letter each: the library makes one run of tokens of them, closed by a word end
@@ -57,8 +58,9 @@ class WordBpe:
         size = self._library.get_vocab_size()
         self._closes = np.array([(self._library.id_to_token(i) or "").endswith("</w>") for i in range(size)])
         # the library finds these strings before it cuts words
-        special = [t.content for t in self._library.get_added_tokens_decoder().values()]
-        self._special = re.compile("|".join(map(re.escape, special)) or "(?!)").search
+        self._strings = [t.content for t in self._library.get_added_tokens_decoder().values()]
+        probe = self._library.encode("A À", add_special_tokens=False).ids
+        self._folds = probe == self._library.encode("a à", add_special_tokens=False).ids
         self._room = remembered
         self._used = 0
         self._ids: dict[str, bytes] = {"": b""}
@@ -73,18 +75,36 @@ class WordBpe:
         probes = ["a", "Won't", "été", "12", "#*", "ab12,", "日本", "\u0301x", *(t.content for t in library.get_added_tokens_decoder().values())]
         return all(ids(x + gap + y) == ids(x) + ids(y) for x in probes for y in probes for gap in (" ", "\n", "  \n "))
 
-    def _learn(self, new: set[str]) -> None:
+    def _special(self, text: str) -> bool:
+        return any(x in text for x in self._strings)
+
+    def _folded(self, text: str) -> str:
+        """The text in lower case where that is sure to give the same ids: one byte to a character, no special string arises."""
+        try:
+            text.encode("latin-1")
+        except UnicodeEncodeError:
+            return text
+        lower = text.lower()
+        return text if self._special(lower) else lower
+
+    def _learn(self, new: set[str], special: bool) -> None:
         """Add the ids of new words; one between marks is put together from the word and the marks."""
         import numpy as np
 
-        marked = {w: m.groups() for w in new if not _PLAIN_WORD(w) and (m := _MARKED_WORD(w)) and not self._special(w)}
-        parts = {x for found in marked.values() for x in found if x not in self._ids}
-        missing = sorted(new.difference(marked) | parts)
-        plain = [w for w in missing if _PLAIN_WORD(w)]
-        other = [w for w in missing if not _PLAIN_WORD(w)]
+        ids = self._ids
+        plain, other, marked = [], [], []
+        for word in new:
+            if _PLAIN_WORD(word):
+                plain.append(word)
+            elif (found := _MARKED_WORD(word)) and not (special and self._special(word)):
+                marked.append((word, *found.groups()))
+            else:
+                other.append(word)
+        parts = {x for _, *found in marked for x in found if x not in ids and x not in new}
+        for part in parts:
+            (plain if _PLAIN_WORD(part) else other).append(part)
         calls = [plain[i : i + 512] for i in range(0, len(plain), 512)]
         found = self._library.encode_batch_fast([" ".join(c) for c in calls] + other, add_special_tokens=False)
-        ids = self._ids
         for words, encoding in zip(calls, found, strict=False):
             tokens = np.array(encoding.ids, dtype="<u4")
             ends = (np.flatnonzero(self._closes[tokens]) + 1) * 4
@@ -94,24 +114,27 @@ class WordBpe:
                 start = end
         for word, encoding in zip(other, found[len(calls) :], strict=True):
             ids[word] = np.array(encoding.ids, dtype="<u4").tobytes()
-        for word, (before, inner, after) in marked.items():
+        for word, before, inner, after in marked:
             ids[word] = ids[before] + ids[inner] + ids[after]
-        self._used += sum(_ENTRY_BYTES + len(w) + len(ids[w]) for group in (missing, marked) for w in group)
+        fresh = new | parts
+        self._used += sum(map(len, fresh)) + sum(map(len, map(ids.__getitem__, fresh))) + _ENTRY_BYTES * len(fresh)
 
     def encode_texts(self, texts: list[str]) -> list[bytes]:
         """The ids of each text as little-endian 32-bit integers."""
+        if self._folds:
+            texts = list(map(self._folded, texts))
         cut = [text.replace("\n", " ").split(" ") for text in texts]
-        wanted = {w for words in cut for w in words}
-        new = wanted - self._ids.keys()
-        if new:
-            self._learn(new)
-        known = self._ids.__getitem__
-        out = [b"".join(map(known, words)) for words in cut]
         if self._used > self._room:
-            # words met again in this batch are the frequent ones
-            self._ids = {w: self._ids[w] for w in wanted - new} | {"": b""}
+            # words that this batch has again are the frequent ones
+            again = {w for words in cut for w in words} & self._ids.keys()
+            self._ids = {"": b""} | {w: self._ids[w] for w in again}
             self._used = sum(_ENTRY_BYTES + len(w) + len(x) for w, x in self._ids.items())
-        return out
+        new: set[str] = set()
+        for words in cut:
+            new.update(filterfalse(self._ids.__contains__, words))
+        if new:
+            self._learn(new, any(map(self._special, texts)))
+        return [b"".join(map(self._ids.__getitem__, words)) for words in cut]
 
 
 def best_fit(sizes: list[int], window: int) -> tuple[list[int], list[int], list[int]]:
