@@ -23,13 +23,57 @@ OUTER, OTHER, CONTENT = range(3)
 STATES = range(3)
 
 
-def features(block: Block, last: str) -> list[tuple[str, str]]:
-    """(kind, value) of what the model sees of a block by itself; `last` is its last text run."""
-    seen = [("tag", block.tag), ("chars", str(0 if not block.chars else min(4, 1 + int(math.log10(block.chars) * 1.5))))]
-    if block.chars:
-        seen.append(("linked", str(int(4 * block.linked / block.chars))))
-        seen.append(("ended", str(last[-1:] in ".!?\u2026:;")))
-    return seen + [("mark", m) for m in block.marks]
+LISTS = frozenset(("ul", "ol"))
+#: elements that sites give names to
+GROUPS = frozenset("div section main article aside header footer nav form".split())
+
+
+def features(blocks: list[Block], runs: list[tuple[int, str]]) -> list[list[tuple[str, str]]]:
+    """(kind, value) of what the model sees of each block by itself.
+
+    A list is seen as a whole: its items say the same thing again, so their tags, lengths and links count once, as the list's.
+    """
+    chars, linked = [b.chars for b in blocks], [b.linked for b in blocks]
+    for k in range(len(blocks) - 1, 0, -1):
+        # text goes up to the innermost list around it
+        if blocks[k].tag not in LISTS:
+            chars[blocks[k].parent] += chars[k]
+            linked[blocks[k].parent] += linked[k]
+    listed = [False] * len(blocks)
+    out: list[list[tuple[str, str]]] = [[]]
+    for k, b in enumerate(blocks[1:], 1):
+        up = blocks[b.parent]
+        listed[k] = listed[b.parent] or up.tag in LISTS
+        seen = [("mark", m) for m in b.marks]
+        if not listed[k]:
+            if not seen and b.tag in GROUPS:
+                seen.append(("nameless", b.tag))
+            seen.append(("tag", b.tag))
+        if b.tag in LISTS:
+            n, m = chars[k], linked[k]
+            seen.append(("list", f"{0 if not n else min(4, 1 + int(math.log10(n) * 1.5))} {int(4 * m / n) if n else 0}"))
+        elif not listed[k]:
+            seen.append(("chars", str(0 if not b.chars else min(4, 1 + int(math.log10(b.chars) * 1.5)))))
+            if b.chars:
+                seen.append(("linked", str(int(4 * b.linked / b.chars))))
+                seen.append(("ended", str(runs[b.texts[-1]][1][-1:] in ".!?\u2026:;")))
+        out.append(seen)
+    return out
+
+
+#: siblings that look the same count in full up to this many, then the k-th by ALIKE / k: they say little that is new
+ALIKE = 3
+
+
+def weights(blocks: list[Block], seen: list[list[tuple[str, str]]]) -> list[float]:
+    """How much the features of each block count."""
+    met: Counter = Counter()
+    out = []
+    for b, own in zip(blocks, seen, strict=True):
+        key = (b.parent, *own)
+        met[key] += 1
+        out.append(min(1.0, ALIKE / met[key]))
+    return out
 
 
 @dataclass(frozen=True)
@@ -57,10 +101,11 @@ def _observations(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         for page in batch.column(0).to_pylist():
             blocks, runs = parse(page or "")
             known = states(blocks)
+            seen = features(blocks, runs)
             for k, b in enumerate(blocks[1:], 1):
                 pair = 3 * known[b.parent] + known[k]
                 found["pair", "", pair] += 1
-                for kind, value in features(b, runs[b.texts[-1]][1] if b.texts else ""):
+                for kind, value in seen[k]:
                     found[kind, value, pair] += 1
         columns = list(zip(*found, strict=True)) if found else [(), (), ()]
         yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.string()), pa.array(columns[1], pa.string()), pa.array(columns[2], pa.int32()), pa.array(list(found.values()), pa.int64())], ["kind", "value", "pair", "n"])
@@ -108,11 +153,14 @@ def content_marginals(blocks: list[Block], runs: list[tuple[int, str]], model: T
     """Probability of content for each block by sum-product: messages from the leaves to the root, then back down."""
     n = len(blocks)
     potential: list[list[list[float]]] = [[]]
-    for b in blocks[1:]:
+    seen = features(blocks, runs)
+    for own_features, weight in zip(seen[1:], weights(blocks, seen)[1:], strict=True):
         own = [list(row) for row in model.pair]
-        for f in features(b, runs[b.texts[-1]][1] if b.texts else ""):
+        for f in own_features:
             known = model.feature.get(f)
             if known is not None:
+                if weight < 1:
+                    known = [[x**weight for x in row] for row in known]
                 for row, factor in zip(own, known, strict=True):
                     row[0] *= factor[0]
                     row[1] *= factor[1]

@@ -23,7 +23,8 @@ ENDS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td",
 #: elements that an implied end does not reach over
 WALLS = frozenset("ul ol dl table".split())
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.DOTALL)
+_NAME = re.compile(r"(/?)([a-zA-Z][^\s/>]*)")
+_STOP = re.compile("[>\"']")
 _ATTRIBUTE = re.compile(r"([^\s=\"'/]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"']+)))?")
 _CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])|[^A-Za-z]+")
 
@@ -57,15 +58,85 @@ def _marks(attributes: str) -> tuple[tuple[str, ...], bool | None]:
     return tuple(found), label
 
 
+class Tags:
+    """The tags of a page in order, in one pass: no part of a page is looked at again however broken its markup is."""
+
+    def __init__(self, page: str):
+        self.page = page
+        self.last = page.rfind(">")
+        self.absent: dict[str, bool] = {}  # quotes that do not occur any more
+
+    def _closing(self, position: int) -> int:
+        """Where the tag ends that `position` is in: at a `>` outside quotes, else at the next one at all."""
+        page, at = self.page, position
+        while stop := _STOP.search(page, at):
+            mark, at = stop.group(), stop.end()
+            if mark == ">":
+                return stop.start()
+            if not self.absent.get(mark):
+                end = page.find(mark, at)
+                if end < 0:
+                    self.absent[mark] = True
+                else:
+                    at = end + 1
+        return page.find(">", position)
+
+    def next(self, position: int) -> tuple[int, int, str | None, bool, str] | None:
+        """(begin, end, name or None, is it an end tag, attributes) of the next tag or comment from `position`."""
+        page = self.page
+        while 0 <= (begin := page.find("<", position)):
+            after = page[begin + 1 : begin + 2]
+            if page.startswith("<!--", begin):
+                end = page.find("-->", begin + 4)
+                return begin, len(page) if end < 0 else end + 3, None, False, ""
+            if begin > self.last:
+                return None  # nothing is closed any more
+            if after in ("!", "?"):
+                return begin, page.find(">", begin) + 1, None, False, ""
+            if name := _NAME.match(page, begin + 1):
+                end = self._closing(name.end())
+                return begin, end + 1, name.group(2).lower(), name.group(1) == "/", page[name.end() : end]
+            position = begin + 1
+        return None
+
+
+class Open:
+    """Open elements, with the places of each name and of those that are no inline elements."""
+
+    def __init__(self) -> None:
+        self.stack: list[tuple[str, int]] = [("#root", 0)]
+        self.places: dict[str, list[int]] = {}
+        self.blocks = [0]
+
+    def push(self, tag: str, block: int) -> None:
+        self.places.setdefault(tag, []).append(len(self.stack))
+        if tag not in INLINE:
+            self.blocks.append(len(self.stack))
+        self.stack.append((tag, block))
+
+    def pop(self) -> None:
+        tag, _ = self.stack.pop()
+        self.places[tag].pop()
+        if tag not in INLINE:
+            self.blocks.pop()
+
+    def last(self, names) -> int:
+        """Place of the innermost open element of these names, 0 without one."""
+        return max((p[-1] for n in names if (p := self.places.get(n))), default=0)
+
+
 def parse(page: str) -> tuple[list[Block], list[tuple[int, str]]]:
     """(blocks in page order with a root first, text runs as (block, text)); character references decoded, white space made one.
 
     A text run is what stands in one block between two of its block children, inline elements included. Elements that end
-    nowhere end with their parent, a head with the first thing that it cannot hold; unknown elements are blocks.
+    nowhere end with their parent, a head with the first thing that it cannot hold; unknown elements are blocks. An end tag
+    without an open element is nothing, a tag that is not closed by the page's end is text. Time and memory grow with the
+    page, whatever is nested in it or left open.
     """
     blocks = [Block("#root", -1)]
     runs: list[tuple[int, str]] = []
-    stack: list[tuple[str, int]] = [("#root", 0)]  # open elements, with their block
+    opened = Open()
+    stack = opened.stack
     silent = 0  # open elements without visible text
     parts: list[str] = []
     linked = 0
@@ -87,10 +158,10 @@ def parse(page: str) -> tuple[list[Block], list[tuple[int, str]]]:
     def pop_to(depth: int) -> None:
         nonlocal silent, links
         while len(stack) > depth:
-            tag, at = stack[-1]
+            tag = stack[-1][0]
             if tag not in INLINE:
                 close_run()
-            stack.pop()
+            opened.pop()
             silent -= tag in SILENT
             links -= tag == "a"
 
@@ -103,24 +174,22 @@ def parse(page: str) -> tuple[list[Block], list[tuple[int, str]]]:
             if links:
                 linked += len(piece.strip())
 
-    position, size = 0, len(page)
+    tags, position, size = Tags(page), 0, len(page)
     while position < size:
-        m = _TOKEN.search(page, position)
-        if m is None:
+        found = tags.next(position)
+        if found is None:
             text(page[position:])
             break
-        text(page[position : m.start()])
-        position = m.end()
-        if m.group(2) is None:
+        begin, end, tag, ending, attributes = found
+        text(page[position:begin])
+        position = end
+        if tag is None:
             continue
-        tag, ending = m.group(2).lower(), m.group(1) == "/"
         if ending:
-            for depth in range(len(stack) - 1, 0, -1):
-                if stack[depth][0] == tag:
-                    pop_to(depth)
-                    break
-                if tag in INLINE and stack[depth][0] not in INLINE:
-                    break
+            depth = opened.last((tag,))
+            # an inline element ends inside its block only
+            if depth and not (tag in INLINE and depth < opened.blocks[-1]):
+                pop_to(depth)
             continue
         if stack[-1][0] == "head" and tag not in IN_HEAD:
             pop_to(len(stack) - 1)
@@ -130,29 +199,30 @@ def parse(page: str) -> tuple[list[Block], list[tuple[int, str]]]:
                 if tag == "hr":
                     close_run()
             continue
-        if tag not in INLINE:
-            for depth in range(len(stack) - 1, 0, -1):
+        if tag in ENDS:
+            over = ("p", *ENDS[tag])
+            while (depth := opened.last(over)) > opened.last(WALLS):
                 name = stack[depth][0]
-                if name == "p" and tag not in SILENT or name in ENDS.get(tag, ()):
-                    pop_to(depth)
-                    if name == "p":
-                        break
-                elif name in WALLS or (name not in INLINE and tag not in ENDS):
+                pop_to(depth)
+                if name == "p":
                     break
+        elif tag not in INLINE and tag not in SILENT and stack[opened.blocks[-1]][0] == "p":
+            pop_to(opened.blocks[-1])
         if tag in RAW:
-            end = re.compile(f"</{re.escape(tag)}\\b[^>]*>", re.IGNORECASE).search(page, position)
-            position = end.end() if end else size
+            close = re.compile(f"</{re.escape(tag)}\\b", re.IGNORECASE).search(page, position)
+            after = page.find(">", close.end()) if close else -1
+            position = after + 1 if after >= 0 else size
             continue
         if tag in INLINE or tag in SILENT:
-            stack.append((tag, stack[-1][1]))
+            opened.push(tag, stack[-1][1])
             silent += tag in SILENT
             links += tag == "a"
             continue
         close_run()
-        marks, label = _marks(m.group(3)) if m.group(3) else ((), None)
+        marks, label = _marks(attributes) if attributes else ((), None)
         parent = stack[-1][1]
         blocks.append(Block(tag, parent, marks, blocks[parent].label if label is None else label))
-        stack.append((tag, len(blocks) - 1))
+        opened.push(tag, len(blocks) - 1)
     pop_to(1)
     close_run()
     return blocks, runs
@@ -195,7 +265,9 @@ class _Maker:
 
     def paragraph(self) -> str:
         open_bold = self.rng.random() < 0.1
-        body = self.sentences()
+        draw = self.rng.random()
+        # some authors end no sentence, some go on for long
+        body = self.words(1, 40) if draw < 0.08 else self.words(100, 400) if draw < 0.11 else self.sentences(40) if draw < 0.16 else self.sentences()
         if self.rng.random() < 0.15:
             body += f' <a href="#">{self.words(1, 4)}</a> {self.sentences(1)}'
         return f"<p>{'<b>' if open_bold else ''}{body}{'<br>' if open_bold else '</p>' if self.rng.random() < 0.9 else ''}"
@@ -204,7 +276,7 @@ class _Maker:
         """A part that is not content."""
         pick = self.rng
         body = {
-            "nav": lambda: self.links(3, 9), "header": lambda: f"<div>{self.words(1, 4)}</div>" + (self.links(2, 6) if pick.random() < 0.5 else ""),
+            "nav": lambda: pick.choice(["", "", f"<h{(n := pick.randint(2, 6))}>{self.words(1, 3)}</h{n}>"]) + self.links(3, 9), "header": lambda: f"<div>{self.words(1, 4)}</div>" + (self.links(2, 6) if pick.random() < 0.5 else ""),
             "footer": lambda: f"&copy; {self.words(1, 6)} " + pick.choice(["", self.sentences(2), self.links(2, 6), f"<p>{self.sentences(2)}</p>"]),
             "aside": lambda: pick.choice([f"<h3>{self.words(1, 3)}</h3>", ""]) + pick.choice([self.links(2, 8), f"<p>{self.sentences(2)}</p>", f"<ul><li>{self.words(2, 8)}</li></ul>"]),
             "ad": lambda: pick.choice([self.sentences(3), f"<p>{self.sentences(2)}</p>", f'<a href="#">{self.words(2, 8)}</a>']),
@@ -223,21 +295,45 @@ class _Maker:
             tag, names = pick.choice(["div", "div", "section"]), f' {pick.choice(["class", "class", "id"])}="{name}"'
         return f'<{tag}{names} data-content="0">{body}</{tag}>'
 
+    def items(self, tag: str) -> str:
+        """A list of an article: of phrases, sentences, paragraphs or links."""
+        pick = self.rng
+        kind = pick.randint(0, 3)
+        item = (lambda: self.words(1, 15), lambda: self.sentences(2), lambda: f"<p>{self.sentences(2)}</p>", lambda: f'<a href="/{self.words(1, 1)}">{self.words(1, 6)}</a>')[kind]
+        return f"<{tag}>" + "".join(f"<li>{item()}{'</li>' if pick.random() < 0.8 else ''}" for _ in range(pick.randint(1, 6))) + f"</{tag}>"
+
+    def element(self) -> str:
+        """A part of an article other than a paragraph, of any kind that HTML has for it."""
+        pick = self.rng
+        rows = lambda cell: "".join("<tr>" + "".join(f"<{cell}>{self.words(1, 3)}</{cell}>" for _ in range(3)) + "</tr>" for _ in range(pick.randint(1, 3)))
+        return pick.choice([
+            lambda: f"<h{(n := pick.randint(2, 6))}>{self.words(1, 6)}</h{n}>", lambda: f"<h{(n := pick.randint(2, 4))}>{self.words(1, 6)}</h{n}>{self.paragraph()}",
+            lambda: self.items("ul"), lambda: self.items("ol"), lambda: f"<p>{self.words(2, 6)}:</p>{self.items(pick.choice(['ul', 'ol']))}",
+            lambda: "<dl>" + "".join(f"<dt>{self.words(1, 3)}<dd>{self.sentences(2)}" for _ in range(pick.randint(1, 4))) + "</dl>",
+            lambda: f"<pre>{self.words(2, 20)}</pre>", lambda: f"<pre><code>{self.words(2, 9)}\n  {self.words(2, 9)}</code></pre>",
+            lambda: f"<figure><img src=x alt=y><figcaption>{pick.choice([self.words(2, 8), self.sentences(1)])}</figcaption></figure>",
+            lambda: f"<details><summary>{self.words(1, 6)}</summary>{self.paragraph()}</details>",
+            lambda: f"<blockquote>{pick.choice([self.sentences(2), f'<p>{self.sentences(2)}</p>'])}{pick.choice(['', f'<cite>{self.words(1, 3)}</cite>'])}</blockquote>",
+            lambda: f"<table>{rows('th') if pick.random() < 0.4 else ''}{rows('td')}</table>", lambda: f"<address>{self.words(2, 8)}</address>",
+            self.section, self.section, self.section, lambda: f"<div>{pick.choice([self.sentences(2), self.paragraph() + self.paragraph()])}</div>", lambda: f"<hr>{self.paragraph()}",
+        ])()
+
+    def section(self, depth: int = 0) -> str:
+        """A section of an article, with sections of its own at times."""
+        pick = self.rng
+        title = pick.choice(["", f"<h{(n := pick.randint(2, 4))}>{self.words(1, 5)}</h{n}>"])
+        inner = self.section(depth + 1) if depth < 2 and pick.random() < 0.4 else pick.choice(["", "", self.items("ul"), self.paragraph()])
+        return f"<section>{title}{self.paragraph()}{inner}</section>"
+
     def article(self) -> str:
         pick = self.rng
-        body = [f"<h1>{self.words(2, 12)}</h1>"] if pick.random() < 0.8 else []
+        body = [f"<h1>{self.words(2, 12) if pick.random() < 0.6 else self.sentences(1)}</h1>"] if pick.random() < 0.8 else []
         for _ in range(pick.randint(1, 12)):
             draw = pick.random()
-            if draw < 0.78:
+            if draw < 0.62:
                 body.append(self.paragraph())
-            elif draw < 0.84:
-                body.append(f"<h2>{self.words(1, 6)}</h2>")
-            elif draw < 0.89:
-                body.append("<ul>" + "".join(f"<li>{self.words(2, 15)}</li>" for _ in range(pick.randint(2, 5))) + "</ul>")
-            elif draw < 0.92:
-                body.append(f"<blockquote><p>{self.sentences(2)}</p></blockquote>")
             elif draw < 0.94:
-                body.append("<table><tr>" + "".join(f"<td>{self.words(1, 3)}</td>" for _ in range(3)) + "</tr></table>")
+                body.append(self.element())
             else:
                 body.append(self.part(pick.choice(["ad", "ad", "aside", "notice", "form"])))
         if pick.random() < 0.25:
