@@ -1,7 +1,6 @@
 """Language by compression: each language's commonest words are a zstandard raw-content dictionary; the smallest result wins."""
 from __future__ import annotations
 
-import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -16,7 +15,13 @@ from sunloom.llm.common import written
 UNDETERMINED = "und"
 #: ASCII characters other than letters become spaces; the rest of Unicode stays
 _PLAIN = {i: " " for i in range(128) if not chr(i).isalpha()}
-_LETTER = re.compile(r"[^\W\d_]")
+
+
+def has_letter(text: str) -> bool:
+    """Letters are the characters of the Unicode categories L*: no digits, number forms or marks."""
+    import regex
+
+    return regex.search(r"\p{L}", text) is not None
 
 
 @dataclass(frozen=True)
@@ -39,15 +44,15 @@ class LanguageModel:
 
 
 def plain_words(text: str) -> list[str]:
-    """Distinct lower-case words in order: repeats say nothing more about the language."""
-    return list(dict.fromkeys(text.lower().translate(_PLAIN).split()))
+    """The words of a text in lower case, ASCII digits and marks taken for white space: the plain text that is compressed."""
+    return text.lower().translate(_PLAIN).split()
 
 
 def _word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         counts: dict[str, Counter] = {}
         for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            counts.setdefault(lang, Counter()).update(plain_words(text or ""))
+            counts.setdefault(lang, Counter()).update(set(plain_words(text or "")))  # documents with the word
         rows = [(lang, w, n) for lang, c in counts.items() for w, n in c.items()]
         yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.string()), pa.array([r[2] for r in rows], pa.int64())], ["lang", "word", "n"])
 
@@ -90,7 +95,7 @@ class Classifier:
 
         self.config = model.config
         self.languages = [name for name, _ in model.dictionaries]
-        self.compressors = []
+        self.compressors = []  # made once a task
         for _, content in model.dictionaries:
             shared = zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
             shared.precompute_compress(level=self.config.level)
@@ -98,7 +103,7 @@ class Classifier:
 
     def __call__(self, text: str | None) -> tuple[str, float, bool]:
         """(language, score, rejected)"""
-        if not self.languages or not text or not _LETTER.search(text):
+        if not self.languages or not text or not has_letter(text):
             return UNDETERMINED, 0.0, True
         data = (" " + " ".join(plain_words(text)) + " ").encode()
         blocks = [data[i : i + self.config.block_bytes] for i in range(0, len(data), self.config.block_bytes)]
@@ -109,26 +114,27 @@ class Classifier:
         return self.languages[best], score, score < self.config.least_margin
 
 
-OUT = "lang_pred string, score double, rejected boolean"
+VERDICT = "struct<lang_pred: string, score: double, rejected: boolean>"
 
 
 def classify(docs: DataFrame, model: LanguageModel, text: str = "text") -> DataFrame:
-    """`docs` with a struct column `__language` (lang_pred, score, rejected); every other column passes through untouched.
+    """(row, language): the rows of `docs`, untouched in one struct, and their (lang_pred, score, rejected).
 
-    score is the share of bytes that the best dictionary saves over the second. Null or letterless text, and any text where
-    nothing was learned, is `und` with score 0 and rejected; with one known language every other text has score 1.
-    Equal sizes go to the language with more words in the sample, then by name, and are rejected as their margin is 0.
+    The whole plain text is compressed, in blocks, with each dictionary; score is the share of bytes that the best one saves
+    over the second. Null or letterless text, and any text where nothing was learned, is `und` with score 0 and rejected; with
+    one known language every other text has score 1. Equal sizes go to the language with more words in the sample, then by
+    name, and are rejected as their margin is 0. Repeated rows get equal verdicts, no rows none. Only texts go to Python.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded: dictionary_bytes for each language
 
-    @F.pandas_udf(OUT)
-    def predicted(texts):
-        import pandas as pd
-
+    def predicted(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         decide = Classifier(shared.value)
-        return pd.DataFrame([decide(t) for t in texts], columns=["lang_pred", "score", "rejected"])
+        for texts in batches:
+            names, scores, rejected = zip(*map(decide, texts.to_pylist()), strict=True) if len(texts) else ((), (), ())
+            yield pa.StructArray.from_arrays([pa.array(names, pa.string()), pa.array(scores, pa.float64()), pa.array(rejected, pa.bool_())], ["lang_pred", "score", "rejected"])
 
-    return docs.withColumn("__language", predicted(F.col(f"`{text}`")))
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    return docs.select(row.alias("row"), F.arrow_udf(predicted, VERDICT, F.ArrowUDFType.SCALAR_ITER)(F.col(f"`{text}`").cast("string")).alias("language"))
 
 
 def held_out(key: str = "doc_id"):
@@ -140,10 +146,10 @@ def language_verdict(docs: DataFrame, config: LanguageConfig = LanguageConfig())
     """(doc_id, held_out, lang_pred, score, rejected) for every row; learned from the rows that are not held out."""
     model = train(docs.filter(~held_out()), config)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out().alias("held_out"), F.col("text"))
-    return classify(rows, model).select("doc_id", "held_out", "__language.lang_pred", "__language.score", "__language.rejected")
+    return classify(rows, model).select("row.doc_id", "row.held_out", "language.*")
 
 
 def keep_known_languages(docs: DataFrame, config: LanguageConfig = LanguageConfig()) -> DataFrame:
     """`docs` without the rejected rows, all columns as they were."""
     model = train(docs.filter(~held_out()), config)
-    return classify(docs, model).filter(~F.col("__language.rejected")).drop("__language")
+    return classify(docs, model).filter(~F.col("language.rejected")).select("row.*")
