@@ -9,20 +9,32 @@ from pyspark.sql import functions as F
 from sunloom.llm.common import ids_and_text, scratch_path, written
 
 
+def stored_buckets(spark: SparkSession, path: str) -> int | None:
+    """The bucket number that is kept beside an index; None if there is no index yet."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(f"{path}-buckets")
+    if not place.getFileSystem(spark._jsc.hadoopConfiguration()).exists(place):
+        return None
+    return int(spark.read.text(f"{path}-buckets").first()[0])
+
+
 class DigestIndex:
     """A table (digest, keep_id) with one row per distinct text ever seen, stored in buckets that are sorted by digest.
 
     `add` finds the texts of a batch that the index does not hold by a sort-merge anti-join, whose index side is neither
     shuffled nor gathered, and appends them. Within a batch the row with the largest id stands for its text; across
-    batches the earlier batch wins. The table outlives the session at `path`; opening the path again continues it.
+    batches the earlier batch wins. The table outlives the session at `path`; opening the path again continues it, with
+    the bucket number it was made with, whatever is asked for then.
     """
 
     def __init__(self, spark: SparkSession, path: str, buckets: int):
-        self.spark, self.path, self.buckets = spark, path, buckets
+        known = stored_buckets(spark, path)
+        if known is None:
+            spark.range(1).select(F.lit(str(buckets)).alias("value")).write.mode("overwrite").text(f"{path}-buckets")
+        self.spark, self.path, self.buckets = spark, path, known or buckets
         self.name = f"digest_index_{uuid.uuid4().hex}"
         spark.sql(
             f"CREATE TABLE {self.name} (digest BINARY, keep_id BIGINT) USING parquet "
-            f"CLUSTERED BY (digest) SORTED BY (digest) INTO {buckets} BUCKETS LOCATION '{path}'"
+            f"CLUSTERED BY (digest) SORTED BY (digest) INTO {self.buckets} BUCKETS LOCATION '{path}'"
         )
 
     def rows(self) -> DataFrame:
@@ -76,17 +88,28 @@ def exact_duplicates(docs: DataFrame, index: DigestIndex | None = None, key: str
     rows = signed.join(groups, "digest")
     stays = F.col("doc_id").eqNullSafe(F.col("keep_id"))
     # rows with the same id and text come back as often as they were there, the first of them kept
-    return rows.select("doc_id", "keep_id", "group_size", stays.alias("stays"), F.lower(F.hex("digest")).alias("text_sha256"), F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))).alias("copy")).select(
+    return rows.select("doc_id", "keep_id", "group_size", stays.alias("stays"), F.lower(F.hex("digest")).alias("text_sha256"), F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))).alias("copy")).select(
         "doc_id", "keep_id", "group_size", (F.col("stays") & (F.col("copy") == 1)).alias("kept"), "text_sha256"
     )
 
 
 def drop_exact_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """`docs` without the rows that `exact_duplicates` drops, all columns kept."""
-    verdict = exact_duplicates(docs, key=key, text=text)
+    """`docs` without the rows that `exact_duplicates` drops, all columns kept.
+
+    Rows are found again by id and digest. Only where a row repeats both are rows themselves compared by a shuffle: any one
+    of them stays. Without such rows no row is gathered with another.
+    """
     # a row without id goes by the number below all ids
     known = lambda c: F.coalesce(c.cast("long"), F.lit(-(2**63)))
-    kept = verdict.filter("kept").select(known(F.col("doc_id")).alias("__id"), F.col("text_sha256").alias("__sha"))
-    here = docs.withColumns({"__id": known(F.col(f"`{key}`")), "__sha": F.sha2(F.coalesce(F.col(f"`{text}`"), F.lit("")).cast("binary"), 256)})
-    # rows that repeat id and text: one of them
-    return here.join(kept, ["__id", "__sha"], "left_semi").dropDuplicates(["__id", "__sha"]).select(*[F.col(f"`{c}`") for c in docs.columns])
+    verdict = exact_duplicates(docs, key=key, text=text)
+    pairs = verdict.groupBy(known(F.col("doc_id")).alias("id"), F.unhex("text_sha256").alias("digest"))
+    kept = written(pairs.agg(F.max("kept").alias("kept"), F.count(F.lit(1)).alias("copies")).filter("kept"), "kept-digests")
+    digest = F.unhex(F.sha2(F.coalesce(F.col(f"`{text}`"), F.lit("")).cast("binary"), 256))
+    here = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), known(F.col(f"`{key}`")).alias("id"), digest.alias("digest"))
+    repeats = kept.filter("copies > 1").select("id", "digest")
+    if repeats.isEmpty():
+        out = here.join(kept.select("id", "digest"), ["id", "digest"], "left_semi")
+    else:
+        single = here.join(kept.filter("copies = 1").select("id", "digest"), ["id", "digest"], "left_semi")
+        out = single.unionByName(here.join(repeats, ["id", "digest"], "left_semi").dropDuplicates(["id", "digest"]))
+    return out.select("row.*")
