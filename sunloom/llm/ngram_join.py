@@ -503,5 +503,6 @@ def ngram_components(docs: DataFrame, config: JoinConfig = JoinConfig(), key: st
 
 def drop_near_duplicates(docs: DataFrame, config: JoinConfig = JoinConfig(), key: str = "doc_id", text: str = "text") -> DataFrame:
     """`docs` with one document of each component, that with the smallest id; all columns as they were. Rows without id stay."""
-    dropped = ngram_components(docs, config, key, text).filter("doc_id <> component_id").select(F.col("doc_id").alias("__dropped")).distinct()
-    return docs.join(written(dropped, "dropped"), F.col(f"`{key}`").cast("long") == F.col("__dropped"), "left_anti")
+    dropped = ngram_components(docs, config, key, text).filter("doc_id <> component_id").select(F.col("doc_id").alias("id")).distinct()
+    here = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(f"`{key}`").cast("long").alias("id"))
+    return here.join(written(dropped, "dropped"), "id", "left_anti").select("row.*")
