@@ -17,7 +17,7 @@ SETTINGS = {
     # the one-diode solver expands every row to 60 voltages: keep Arrow batches small
     "spark.sql.execution.arrow.maxRecordsPerBatch": "8192",
     # whole texts travel in batches too: a few workers with a batch each must fit beside the executor
-    "spark.sql.execution.arrow.maxBytesPerBatch": "16m",
+    "spark.sql.execution.arrow.maxBytesPerBatch": "4m",
 }
 
 
