@@ -12,7 +12,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sunloom.llm.common import batches_of, ids_and_text, written
+from sunloom.llm.common import batches_of, ids_and_text, lean, written
 
 WINDOW = 4096
 #: a bin with at most this many free places is emitted as it is
@@ -211,7 +211,7 @@ def local_bins(docs: DataFrame, path: str, window: int, chunk: int) -> DataFrame
         if rows:
             yield _columns(rows, PIECES)
 
-    return docs.mapInArrow(run, PIECES)
+    return docs.mapInArrow(lean(run), PIECES)
 
 
 def merge_level(bins: DataFrame, window: int) -> DataFrame:

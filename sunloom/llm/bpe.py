@@ -6,15 +6,21 @@ import json
 import re
 from array import array
 from collections.abc import Iterable, Iterator
+from contextlib import contextmanager
+from itertools import filterfalse
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from sunloom.llm.common import batches_of, ids_and_text
+from sunloom.llm.common import batches_of, ids_and_text, lean
 
-#: words and space-cut pieces a worker remembers between batches; beyond it keeps those of the batch at hand
-REMEMBERED = 600_000
-BATCH_BYTES = 4 << 20
+#: bytes of pieces, and of words, that a task remembers between batches; beyond it keeps those of the batch at hand
+REMEMBERED_BYTES = 64 << 20
+#: about what two short objects and their place in a dict take besides their content
+ENTRY_BYTES = 200
+#: pairs of tokens of which a task remembers whether they stay apart
+REMEMBERED_PAIRS = 200_000
+BATCH_BYTES = 1 << 20
 #: characters whose class is the same in every Unicode version; other pieces are cut by the library itself
 STEADY = re.compile(r"[\t\n\r\x20-\x7e¡-ɏ]*").fullmatch
 _LOOSE_SPACE = re.compile(r"\s | \s").search
@@ -28,13 +34,23 @@ def byte_alphabet() -> dict[str, int]:
     return {chr(b): b for b in own} | {chr(256 + k): b for k, b in enumerate(moved)}
 
 
+def entry_bytes(memo: dict, names) -> int:
+    """About what these names and their ids take in a memo."""
+    return sum(map(len, names)) + sum(len(memo[n]) for n in names) + ENTRY_BYTES * len(names)
+
+
 class PieceMemo:
     """Cuts texts at spaces that always begin a pre-token and remembers the ids of the pieces; a subclass encodes new ones."""
 
     def __init__(self, special: dict[str, int]):
         self.special = special
         self._special = re.compile("(" + "|".join(map(re.escape, sorted(special, key=len, reverse=True))) + ")") if special else None
+        self.forget()
+
+    def forget(self) -> None:
+        """Give back what was remembered: a worker may go on to other work."""
         self.pieces: dict[str, bytes] = {}
+        self._held = 0
 
     def _learn(self, new: set[str]) -> None:
         raise NotImplementedError
@@ -53,13 +69,22 @@ class PieceMemo:
                     parts.append((first, [" " + p for p in rest]))
             cut.append(parts)
         out = []
-        wanted = {p for parts in cut for x in parts if type(x) is tuple for p in (x[0], *x[1])}
-        wanted.discard("")
-        new = {p for p in wanted if p not in self.pieces}
+        if self._held > REMEMBERED_BYTES:
+            # pieces that this batch has again are the frequent ones
+            again = {p for parts in cut for x in parts if type(x) is tuple for p in (x[0], *x[1])} & self.pieces.keys()
+            self.pieces = {p: self.pieces[p] for p in again}
+            self._held = entry_bytes(self.pieces, again)
+        new: set[str] = set()
+        for parts in cut:
+            for x in parts:
+                if type(x) is tuple:
+                    if x[0] not in self.pieces:
+                        new.add(x[0])
+                    new.update(filterfalse(self.pieces.__contains__, x[1]))
+        new.discard("")
         if new:
-            if len(self.pieces) + len(new) > REMEMBERED:
-                self.pieces = {p: self.pieces[p] for p in wanted - new}
             self._learn(new)
+            self._held += entry_bytes(self.pieces, new)
         pieces = self.pieces
         for parts in cut:
             done = []
@@ -98,12 +123,16 @@ class TrieBpe(PieceMemo):
             self.rank[a, b] = r
             self.parts.setdefault(self.ids[left + right], (a, b, r))
         self.longest = max(map(len, self.ids))
-        self._allowed: dict[int, bool] = {}
         self._edges: dict[tuple[int, bool], list[tuple[int, int]]] = {}
         self.usable = {t: i for t, i in self.ids.items() if self._builds_itself(i)}
         self._cut = regex.compile(public_tokenizers.PATTERN).findall
         self._library = Tokenizer.from_file(path)
+
+    def forget(self) -> None:
+        super().forget()
         self.words: dict[str, bytes] = {}
+        self._held_words = 0
+        self._allowed: dict[int, bool] = {}
 
     def _builds_itself(self, token: int) -> bool:
         """A token that its own bytes never merge into cannot be part of an encoding."""
@@ -141,7 +170,7 @@ class TrieBpe(PieceMemo):
     def _stay_apart(self, a: int, b: int) -> bool:
         key = a << 20 | b
         if (known := self._allowed.get(key)) is None:
-            if len(self._allowed) >= REMEMBERED:
+            if len(self._allowed) >= REMEMBERED_PAIRS:
                 self._allowed.clear()
             known = self._allowed[key] = self._first_crossing(a, b) is None
         return known
@@ -195,11 +224,13 @@ class TrieBpe(PieceMemo):
         """Encode the pieces of a batch that are not remembered."""
         cut = {p: self._cut_piece(p) for p in new}
         words = {w for ws in cut.values() for w in ws} - self.words.keys()
-        if len(self.words) + len(words) > REMEMBERED:
+        if self._held_words > REMEMBERED_BYTES:
             self.words = {w: self.words[w] for ws in cut.values() for w in ws if w in self.words}
+            self._held_words = entry_bytes(self.words, self.words.keys())
         plain = {w.encode(): w for w in words}
         for word, ids in self.encode_words(plain):
             self.words[plain[word]] = ids
+        self._held_words += entry_bytes(self.words, words)
         known = self.words
         for p, ws in cut.items():
             self.pieces[p] = known[ws[0]] if len(ws) == 1 else b"".join([known[w] for w in ws])
@@ -214,49 +245,54 @@ class TrieBpe(PieceMemo):
 _LOADED: dict[str, TrieBpe] = {}
 
 
-def loaded(path: str) -> TrieBpe:
-    """One encoder per worker process, with what it remembers."""
+@contextmanager
+def loaded(path: str) -> Iterator[TrieBpe]:
+    """The vocabulary stays with the worker process, what a task remembers goes with the task."""
     if path not in _LOADED:
         _LOADED[path] = TrieBpe(path)
-    return _LOADED[path]
+    try:
+        yield _LOADED[path]
+    finally:
+        _LOADED[path].forget()
 
 
 def encoded(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, ids binary) of every row: the whole text, null as empty, ids as little-endian 32-bit integers.
 
     Row by row in Arrow batches, no shuffle; repeated rows and null ids come out as they went in. `path` is the place of the
-    vocabulary on the workers. A worker holds a few MB of text and at most `REMEMBERED` words and pieces at a time.
+    vocabulary on the workers. A task holds a few MB of text and about twice `REMEMBERED_BYTES` of words and
+    pieces, which go when it ends.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe = loaded(path)
-        for batch in batches_of(batches, 1, BATCH_BYTES):
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(bpe.encode_texts(batch.column(1).to_pylist()), pa.binary())], ["doc_id", "ids"])
+        with loaded(path) as bpe:
+            for batch in batches_of(batches, 1, BATCH_BYTES):
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(bpe.encode_texts(batch.column(1).to_pylist()), pa.binary())], ["doc_id", "ids"])
 
-    return ids_and_text(docs, key, text).mapInArrow(run, "doc_id long, ids binary")
+    return ids_and_text(docs, key, text).mapInArrow(lean(run), "doc_id long, ids binary")
 
 
 def decoded(ids: DataFrame, path: str) -> DataFrame:
     """(doc_id, text) of rows (doc_id, ids); null ids are empty."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe = loaded(path)
-        for batch in batches_of(batches, 1, BATCH_BYTES):
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([bpe.decode(x or b"") for x in batch.column(1).to_pylist()], pa.string())], ["doc_id", "text"])
+        with loaded(path) as bpe:
+            for batch in batches_of(batches, 1, BATCH_BYTES):
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([bpe.decode(x or b"") for x in batch.column(1).to_pylist()], pa.string())], ["doc_id", "text"])
 
-    return ids.select("doc_id", "ids").mapInArrow(run, "doc_id long, text string")
+    return ids.select("doc_id", "ids").mapInArrow(lean(run), "doc_id long, text string")
 
 
 def round_trip(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, n_tokens, ids_sha256, decoded_sha256): encode, decode again, and digest both, in one pass over each batch."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe = loaded(path)
-        for batch in batches_of(batches, 1, BATCH_BYTES):
-            ids = bpe.encode_texts(batch.column(1).to_pylist())
-            yield pa.RecordBatch.from_arrays([
-                batch.column(0), pa.array([len(x) // 4 for x in ids], pa.int64()),
-                pa.array([hashlib.sha256(x).hexdigest() for x in ids]), pa.array([hashlib.sha256(bpe.decode(x).encode()).hexdigest() for x in ids]),
-            ], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
-
-    return ids_and_text(docs, key, text).mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+        with loaded(path) as bpe:
+            for batch in batches_of(batches, 1, BATCH_BYTES):
+                ids = bpe.encode_texts(batch.column(1).to_pylist())
+                yield pa.RecordBatch.from_arrays([
+                    batch.column(0), pa.array([len(x) // 4 for x in ids], pa.int64()),
+                    pa.array([hashlib.sha256(x).hexdigest() for x in ids]), pa.array([hashlib.sha256(bpe.decode(x).encode()).hexdigest() for x in ids]),
+                ], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+
+    return ids_and_text(docs, key, text).mapInArrow(lean(run), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")

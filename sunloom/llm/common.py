@@ -2,7 +2,7 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -43,6 +43,39 @@ def words_of(text: Column) -> Column:
     return F.array_remove(F.split(text, BLANK_RUN), "")
 
 
+def give_back() -> None:
+    """Hand freed memory back to the system: a worker process outlives its task and may idle beside others."""
+    import ctypes
+    import gc
+
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):
+        pass  # another C library, with other habits
+
+
+def lean(work: Callable):
+    """The function of a task, with `give_back` after it: of an iterator once that is read to its end, else at once."""
+
+    def run(rows):
+        found = work(rows)
+        if not isinstance(found, Iterator):
+            give_back()
+            return found
+        return _read(found)
+
+    def _read(found: Iterator) -> Iterator:
+        try:
+            yield from found
+        finally:
+            found.close()
+            give_back()
+
+    return run
+
+
 def batches_of(batches: Iterable[pa.RecordBatch], column: int, limit: int) -> Iterator[pa.RecordBatch]:
     """Cut record batches so that the strings or bytes of one column stay near `limit`; one longer value stays whole."""
     import numpy as np

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from sunloom.llm.common import written
+from sunloom.llm.common import lean, written
 
 UNDETERMINED = "und"
 #: ASCII characters other than letters become spaces; the rest of Unicode stays
@@ -69,7 +69,7 @@ def train(docs: DataFrame, config: LanguageConfig = LanguageConfig(), key: str =
     # bounded: at most docs_per_language ids for each language
     chosen = F.broadcast(chosen.select("lang", "k"))
     sample = rows.join(chosen, ["lang", "k"], "left_semi").select("lang", "text")
-    counts = sample.mapInArrow(_word_counts, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
+    counts = sample.mapInArrow(lean(_word_counts), "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
     ranked = counts.withColumn("nth", F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "word"))).filter(F.col("nth") <= config.dictionary_bytes // 4)
     weight: Counter = Counter()
     words: dict[str, list[tuple[int, str]]] = {}

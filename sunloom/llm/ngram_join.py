@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sunloom.llm.common import batches_of, ids_and_text, scratch_path, written
+from sunloom.llm.common import batches_of, ids_and_text, lean, scratch_path, written
 from sunloom.llm.components import components
 
 BATCH_BYTES = 4 << 20
@@ -136,7 +136,7 @@ def signatures(docs: DataFrame, config: JoinConfig) -> DataFrame:
                 rows += [(True, None, g, c) for g, c in zip(grams[starts[often]].tolist(), counts[often].tolist(), strict=True)]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.bool_(), pa.int64(), pa.int64(), pa.int64()), strict=True)], ["common", "doc_id", "key", "n"])
 
-    return docs.mapInArrow(run, "common boolean, doc_id long, key long, n long")
+    return docs.mapInArrow(lean(run), "common boolean, doc_id long, key long, n long")
 
 
 def _steps(grams: np.ndarray, base: int) -> bytes:
@@ -264,9 +264,9 @@ def shared_grams(docs: DataFrame, config: JoinConfig, buckets: int, common: np.n
             "grams": pa.array([grams[a : a + c].tobytes() for a, c in zip(starts.tolist(), counts.tolist(), strict=True)], pa.binary()),
         })
 
-    sent = docs.mapInArrow(send, PACKED_DDL)
-    answered = sent.groupBy("place").applyInArrow(answer, PACKED_DDL)
-    return answered.groupBy("place").applyInArrow(gather, "key long, n long, grams binary")
+    sent = docs.mapInArrow(lean(send), PACKED_DDL)
+    answered = sent.groupBy("place").applyInArrow(lean(answer), PACKED_DDL)
+    return answered.groupBy("place").applyInArrow(lean(gather), "key long, n long, grams binary")
 
 
 def prefixes(shared: DataFrame, config: JoinConfig) -> DataFrame:
@@ -282,7 +282,7 @@ def prefixes(shared: DataFrame, config: JoinConfig) -> DataFrame:
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c), pa.int64()) for c in zip(*out, strict=True)], ["gram", "key", "n", "own"])
 
-    return shared.select("key", "n", "grams").mapInArrow(run, "gram long, key long, n long, own long")
+    return shared.select("key", "n", "grams").mapInArrow(lean(run), "gram long, key long, n long, own long")
 
 
 def prefix_lists(shared: DataFrame, config: JoinConfig) -> DataFrame:
@@ -311,7 +311,7 @@ def _ranges(shared: DataFrame) -> DataFrame:
                 ranges.append(np.bincount(grams >> (GRAM_BITS - 4), minlength=RANGES).tolist())
             yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(own, pa.int64()), pa.array(ranges, pa.list_(pa.int32()))], ["key", "own", "ranges"])
 
-    return shared.select("key", "n", "grams").mapInArrow(run, "key long, own long, ranges array<int>")
+    return shared.select("key", "n", "grams").mapInArrow(lean(run), "key long, own long, ranges array<int>")
 
 
 def filtered(pairs: DataFrame, ranges: DataFrame, config: JoinConfig) -> DataFrame:
@@ -344,7 +344,7 @@ def verified(pairs: DataFrame, shared: DataFrame, config: JoinConfig) -> DataFra
     # written, so that few pairs are known to be few and the sets stay where they are
     pairs = written(pairs, "pairs")
     a, b = (shared.select(F.col("key").alias(x), F.col("grams").alias(f"grams_{x}")) for x in "ab")
-    return pairs.join(a, "a").join(b, "b").select("a", "b", "n_a", "n_b", "grams_a", "grams_b").mapInArrow(run, "a long, b long, inter long")
+    return pairs.join(a, "a").join(b, "b").select("a", "b", "n_a", "n_b", "grams_a", "grams_b").mapInArrow(lean(run), "a long, b long, inter long")
 
 
 def _near_enough(n: str, m: str, config: JoinConfig):
@@ -377,6 +377,10 @@ def _open_lists(posts: DataFrame, links: DataFrame) -> DataFrame:
     return written(placed.join(written(main, "main-parts"), "gram"), "open-lists")
 
 
+#: distinct n-grams of two blocks that are counted at a time
+SLICE_GRAMS = 4096
+
+
 def agreeing(x: list[tuple], y: list[tuple], config: JoinConfig) -> list[tuple]:
     """Pairs (a, b, n_a, n_b) of two blocks of a list, rows (key, n, own, root, in_main, prefix), whose intersection can be large
     enough.
@@ -388,9 +392,15 @@ def agreeing(x: list[tuple], y: list[tuple], config: JoinConfig) -> list[tuple]:
     tokens = [r[5] for r in x] + [r[5] for r in y]
     names, at = np.unique(np.concatenate(tokens), return_inverse=True)
     rows = np.repeat(np.arange(len(tokens)), [len(t) for t in tokens])
-    has = np.zeros((len(tokens), len(names)), np.float32)
-    has[rows, at] = 1
-    common = has[: len(x)] @ has[len(x) :].T
+    order = np.argsort(at, kind="stable")
+    at, rows = at[order], rows[order]
+    common = np.zeros((len(x), len(y)), np.float32)
+    # so many n-grams at a time: however long prefixes are, the matrices stay of one size
+    for first in range(0, len(names), SLICE_GRAMS):
+        a, z = np.searchsorted(at, (first, first + SLICE_GRAMS))
+        has = np.zeros((len(tokens), min(SLICE_GRAMS, len(names) - first)), np.float32)
+        has[rows[a:z], at[a:z] - first] = 1
+        common += has[: len(x)] @ has[len(x) :].T
     key, n, own, root, in_main = (np.array([r[k] for r in x + y]) for k in range(5))
     cut = len(x)
     ends = np.array([t[-1] for t in tokens])
@@ -445,7 +455,7 @@ def _block_pairs(open_lists: DataFrame, shared: DataFrame, config: JoinConfig) -
         if found:
             yield out()
 
-    heads = shared.select("key", "n", "grams").mapInArrow(prefix, "key long, prefix binary")
+    heads = shared.select("key", "n", "grams").mapInArrow(lean(prefix), "key long, prefix binary")
     rows = open_lists.join(heads, "key").withColumn("in_main", F.col("root") == F.col("main"))
     deal = lambda size: F.pmod(F.xxhash64("key", F.lit(1)), F.ceil(size / BLOCK_ROWS)).cast("int")
     every = lambda size: F.sequence(F.lit(0), F.ceil(size / BLOCK_ROWS).cast("int") - 1)
@@ -453,7 +463,7 @@ def _block_pairs(open_lists: DataFrame, shared: DataFrame, config: JoinConfig) -
     small = rows.filter(~F.col("in_main")).select("gram", deal(F.col("minor")).alias("i"), F.explode(every(F.col("size"))).alias("j"), F.lit(True).alias("small"), *columns)
     large = rows.select("gram", F.explode(every(F.col("minor"))).alias("i"), deal(F.col("size")).alias("j"), F.lit(False).alias("small"), *columns)
     dealt = small.unionByName(large).repartition("gram", "i", "j").sortWithinPartitions("gram", "i", "j")
-    return dealt.mapInArrow(compare, "a long, b long, n_a long, n_b long").distinct()
+    return dealt.mapInArrow(lean(compare), "a long, b long, n_a long, n_b long").distinct()
 
 
 def candidate_links(shared: DataFrame, config: JoinConfig) -> DataFrame:

@@ -3,6 +3,7 @@ from __future__ import annotations
 
 import heapq
 import os
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -10,18 +11,24 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
-from sunloom.llm.bpe import STEADY, PieceMemo
-from sunloom.llm.common import batches_of, ids_and_text
+from sunloom.llm.bpe import PieceMemo, entry_bytes
+from sunloom.llm.common import batches_of, ids_and_text, lean
 
 WINDOW = 1024
 #: tails are cut into parts of at most this many tokens, which lets the differencing end near equal sums
 PART = 256
 #: tails that are packed together
 TAILS = 256
-BATCH_BYTES = 4 << 20
+BATCH_BYTES = 1 << 20
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, ids binary"
 
 
+#: a space and letters of one byte or two
+_PLAIN_PIECE = re.compile(" [A-Za-zÀ-ÖØ-öø-ÿ]+").fullmatch
+#: such a word between ASCII marks (no apostrophe: it may take letters with it)
+_MARKED_PIECE = re.compile("( ?)([!-&(-/:-@[-`{-~]*)([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:-@[-`{-~]*)").fullmatch
+
+
 class LibraryBpe(PieceMemo):
     """Ids of new pieces from the `tokenizers` library, many pieces to a call."""
 
@@ -40,21 +47,39 @@ class LibraryBpe(PieceMemo):
         self._opens = np.array([(self._library.id_to_token(i) or "").startswith("Ġ") for i in range(size)])
 
     def _learn(self, new: set[str]) -> None:
+        """Add the ids of new pieces; a word between marks is put together from the word and the marks, pre-tokens of their own."""
         import numpy as np
 
-        # steady pieces with one space, in front: together they are a text in which each begins at such a token
-        joined = [p for p in new if p[0] == " " and len(p) > 1 and not p[1].isspace() and not p[-1].isspace() and " " not in p[1:] and STEADY(p)]
-        alone = list(new.difference(joined))
+        memo = self.pieces
+        joined, alone, marked = [], [], []
+        for piece in new:
+            if _PLAIN_PIECE(piece):
+                joined.append(piece)
+            elif (found := _MARKED_PIECE(piece)) and (found.group(2) or found.group(4)):
+                space, before, inner, after = found.groups()
+                parts = (space + before, inner, after) if before else (space + inner, after)
+                marked.append((piece, *filter(None, parts)))
+            else:
+                alone.append(piece)
+        parts = {x for _, *found in marked for x in found if x not in memo and x not in new}
+        for part in parts:
+            (joined if _PLAIN_PIECE(part) else alone).append(part)
+        # words with one space, in front: together they are a text in which each begins at a token that opens with the space
         calls = [joined[i : i + 512] for i in range(0, len(joined), 512)]
         found = self._library.encode_batch_fast(["".join(c) for c in calls] + alone, add_special_tokens=False)
         for pieces, encoding in zip(calls, found, strict=False):
             ids = np.array(encoding.ids, dtype="<u4")
-            starts = np.flatnonzero(self._opens[ids])
-            raw, ends = ids.tobytes(), np.append(starts[1:], len(ids)) * 4
-            for piece, a, b in zip(pieces, (starts * 4).tolist(), ends.tolist(), strict=True):
-                self.pieces[piece] = raw[a:b]
+            starts = np.flatnonzero(self._opens[ids]) * 4
+            raw, starts = ids.tobytes(), [*starts.tolist(), 4 * len(ids)]
+            for k, piece in enumerate(pieces):
+                memo[piece] = raw[starts[k] : starts[k + 1]]
+            if len(starts) != len(pieces) + 1:
+                raise ValueError("the vocabulary has tokens with a space inside")
         for piece, encoding in zip(alone, found[len(calls) :], strict=True):
-            self.pieces[piece] = np.array(encoding.ids, dtype="<u4").tobytes()
+            memo[piece] = np.array(encoding.ids, dtype="<u4").tobytes()
+        for piece, *found in marked:
+            memo[piece] = b"".join([memo[x] for x in found])
+        self._held += entry_bytes(memo, parts)
 
 
 def differencing(sizes: list[int], windows: int) -> list[tuple[int, tuple[int, ...]]]:
@@ -137,7 +162,7 @@ def packed(docs: DataFrame, path: str, window: int = WINDOW, part: int = PART, t
         if rows:
             yield _batch(rows)
 
-    out = ids_and_text(docs, key, text).mapInArrow(run, SCHEMA)
+    out = ids_and_text(docs, key, text).mapInArrow(lean(run), SCHEMA)
     return out if with_ids else out.drop("ids")
 
 
@@ -151,7 +176,7 @@ _LOADED: dict[str, LibraryBpe] = {}
 
 
 def loaded(path: str) -> LibraryBpe:
-    """One per worker process, with what it remembers."""
+    """One per worker process, with what it remembers: bounded in bytes, so that the worker's other work has room."""
     if path not in _LOADED:
         _LOADED[path] = LibraryBpe(path)
     return _LOADED[path]

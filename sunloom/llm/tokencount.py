@@ -15,7 +15,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sunloom.llm.common import batches_of, ids_and_text, written
+from sunloom.llm.common import batches_of, ids_and_text, lean, written
 
 #: the character that stands for a space in the vocabulary
 SPACE = "▁".encode()
@@ -81,8 +81,8 @@ def counted_pre_tokens(docs: DataFrame, path: str) -> DataFrame:
             words = batch.column(0).to_pylist()
             yield pa.RecordBatch.from_arrays([pa.array([_hash(w) for w in words], pa.int64()), batch.column(1), pa.array(piece_counts(model, words), pa.int64())], ["hash", "n", "pieces"])
 
-    words = docs.mapInArrow(count, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
-    return words.mapInArrow(pieces, "hash long, n long, pieces long")
+    words = docs.mapInArrow(lean(count), "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    return words.mapInArrow(lean(pieces), "hash long, n long, pieces long")
 
 
 def commonest(pieces: DataFrame, most: int = KNOWN) -> tuple[np.ndarray, np.ndarray]:
@@ -139,7 +139,7 @@ def _frequencies(docs: DataFrame, known: tuple[np.ndarray, np.ndarray]) -> DataF
             row += docs_here
 
     rows = docs.withColumn("n_bytes", F.octet_length("text").cast("long"))
-    return rows.mapInArrow(run, "row long, doc_id long, n_bytes long, hash long, n long")
+    return rows.mapInArrow(lean(run), "row long, doc_id long, n_bytes long, hash long, n long")
 
 
 def token_counts(docs: DataFrame, path: str, limit: int = 4096, key: str = "doc_id", text: str = "text") -> DataFrame:
