@@ -96,16 +96,65 @@ def parameters(t):
     return PW.plant_parameters(plant_plates(t)).select("plant_id", "n_modules", "kv", "a", "eta_max", "eta_min", "pdc_nom_w", "k_sys")
 
 
+# the one-diode circuit of every bin: the nameplate above, in SQL
+SQL_TABLES["plates"] = """SELECT s_suppkey AS plant_id, CASE WHEN s_suppkey % 2 = 0 THEN 1.2e0 ELSE 1.3e0 END AS a, s_suppkey % 3 + 1 AS strings, (s_suppkey % 3 + 1) * 18 AS n_modules,
+   CASE WHEN s_suppkey % 4 <> 0 THEN 5000e0 * (s_suppkey % 3 + 1) END AS rated, CASE WHEN s_suppkey % 5 <> 0 THEN 0.975e0 ELSE 0.985e0 END AS eta_max,
+   CASE WHEN s_suppkey % 3 = 0 THEN 0.93e0 ELSE 0.92e0 END AS eta_min FROM supplier"""
+SQL_TABLES["circuit0"] = """SELECT b.plant_id, b.ts_15, b.p_ac_w, b.v_dc_v, b.i_dc_a, greatest(b.g_poa, 0e0) AS g, p.* EXCLUDE (plant_id), p.a * 72 * (1.380649e-23 / 1.602176634e-19) AS per_kelvin,
+   CASE WHEN b.g_poa IS NOT NULL AND b.temp_air IS NOT NULL THEN greatest(least(greatest(b.temp_air + greatest(b.g_poa, 0) / 800 * 25, b.temp_air), 95), -30) END AS tc FROM bin_state b JOIN plates p ON p.plant_id = b.plant_id"""
+SQL_TABLES["circuit1"] = """SELECT *, exp(46e0 / (per_kelvin * 298.15e0)) AS e_open, exp(9.2e0 * 0.35e0 / (per_kelvin * 298.15e0)) AS e_short, tc + 273.15e0 AS kelvin FROM circuit0"""
+SQL_TABLES["circuit2"] = """SELECT *, greatest((9.2e0 - (46e0 - 9.2e0 * 0.35e0) / 350) / greatest(e_open - e_short, 1e-12), 1e-16) AS sat_ref FROM circuit1"""
+SQL_TABLES["circuit3"] = """SELECT *, greatest((greatest(sat_ref * (e_open - 1) + 46e0 / 350, 0) + 9.2e0 * 0.05e0 / 100 * (tc - 25)) * g / 1000, 0) AS photo,
+   greatest(sat_ref * pow(kelvin / 298.15e0, 3) * exp(1.121e0 * 1.602176634e-19 / 1.380649e-23 / a * (1 / 298.15e0 - 1 / kelvin)), 1e-16) AS sat, 350000e0 / greatest(g, 50) AS shunt, per_kelvin * kelvin AS vt FROM circuit2 WHERE tc IS NOT NULL AND g IS NOT NULL"""
+
+
+def lambert_sql(x: str) -> str:
+    """w with w + ln w = x by Newton's steps."""
+    return f"list_reduce([CASE WHEN {x} > 1 THEN {x} - ln(greatest({x}, 1)) ELSE exp(least({x}, 1)) / (1 + exp(least({x}, 1))) END, 0, 0, 0, 0, 0, 0, 0, 0], lambda w, e: w * (1 + {x} - ln(w)) / (1 + w))"
+
+
+def current_sql(source: str, volts: str, name: str) -> str:
+    """Rows of `source` with the current at a voltage."""
+    return (
+        f"SELECT * EXCLUDE (x, lam), greatest(least((shunt * (photo + sat) - {volts}) / (0.35e0 + shunt) - vt / 0.35e0 * lam, photo), 0) AS {name} FROM (SELECT *, {lambert_sql('x')} AS lam FROM ("
+        f"SELECT *, ln(0.35e0 * shunt * sat / (vt * (0.35e0 + shunt))) + (0.35e0 * shunt * (photo + sat) + shunt * {volts}) / (vt * (0.35e0 + shunt)) AS x FROM {source}))"
+    )
+
+
+SQL_TABLES["circuit4"] = f"SELECT * EXCLUDE (x, lam), greatest(shunt * (photo + sat) - vt * lam, 0.1) AS voc FROM (SELECT *, {lambert_sql('x')} AS lam FROM (SELECT *, ln(sat * shunt / vt) + shunt * (photo + sat) / vt AS x FROM circuit3))"
+SQL_TABLES["curve0"] = "SELECT c.*, k, voc * (k / 59e0) AS v FROM circuit4 c, (SELECT unnest(range(0, 60)) AS k) z WHERE g > 0"
+SQL_TABLES["curve1"] = current_sql("curve0", "v", "i")
+SQL_TABLES["peak"] = "SELECT plant_id, ts_15, max(v * i) AS p, arg_max(v, (v * i, -k)) AS v, arg_max(i, (v * i, -k)) AS i FROM curve1 GROUP BY 1, 2"
+SQL_TABLES["expected0"] = """SELECT c.*, tc IS NOT NULL AS valid, n_modules * 37.5e0 * 8.7e0 AS stc, coalesce(p.p, 0) * n_modules * 0.9e0 AS p_dc, CASE WHEN tc IS NOT NULL THEN coalesce(p.v, 0) * 18 END AS v_exp, CASE WHEN tc IS NOT NULL THEN coalesce(p.i, 0) * strings END AS i_exp
+   FROM circuit0 c LEFT JOIN peak p ON p.plant_id = c.plant_id AND p.ts_15 = c.ts_15"""
+SQL_TABLES["expected1"] = """SELECT *, CASE WHEN p_dc <= 20 THEN 0 ELSE greatest(least(eta_min + (eta_max - eta_min) * (1 - exp(-6 * ((p_dc - 20) / greatest(coalesce(rated / greatest(eta_max, 0.8), 1), 1)))), eta_max), 0) END AS eta FROM expected0"""
+SQL_TABLES["expected2"] = """SELECT *, CASE WHEN NOT valid THEN 0 ELSE least(greatest(p_dc - 20, 0) * eta, coalesce(rated, 1e300)) END AS p_ac FROM expected1"""
+
+
 def expected(t):
     return PW.expected_state(t.bin_state.drop("mismatch_rel").join(PW.plant_parameters(plant_plates(t)), P))
 
 
-@query("d03_expected_electrical_state")
+@query("d03_expected_electrical_state",
+       """SELECT plant_id, ts_15, tc AS tcell_c, p_dc AS p_dc_exp_w, p_ac AS p_ac_exp_w, v_exp AS v_dc_exp_v, i_exp AS i_dc_exp_a, eta AS eta_inv, CASE WHEN valid THEN (p_ac_w - p_ac) / greatest(abs(p_ac), 50) END AS mismatch_rel,
+            CASE WHEN valid THEN v_dc_v / greatest(v_exp, 1) END AS v_ratio, CASE WHEN valid THEN i_dc_a / greatest(i_exp, 0.1) END AS i_ratio, CASE WHEN valid THEN p_ac / greatest(stc * g / 1000, 1) END AS pr_model, valid FROM expected2""",
+       ["tcell_c", "p_dc_exp_w", "p_ac_exp_w", "v_dc_exp_v", "i_dc_exp_a", "eta_inv", "mismatch_rel", "v_ratio", "i_ratio", "pr_model"])
 def expected_state(t):
     return expected(t).select("plant_id", "ts_15", "tcell_c", "p_dc_exp_w", "p_ac_exp_w", "v_dc_exp_v", "i_dc_exp_a", "eta_inv", "mismatch_rel", "v_ratio", "i_ratio", "pr_model", "valid")
 
 
-@query("d04_expected_dc_by_tracker")
+SQL_TABLES["string0"] = f"SELECT c.*, k, z.top * (1e-4 + k * ((1 - 2e-4) / 59)) AS v, z.top FROM (SELECT *, voc * 18 AS top FROM circuit4) z JOIN circuit4 c ON c.plant_id = z.plant_id AND c.ts_15 = z.ts_15, (SELECT unnest(range(0, 60)) AS k)"
+SQL_TABLES["string1"] = current_sql("string0", "(v / 18)", "i18")
+SQL_TABLES["string2"] = current_sql("string1", "(v / 16)", "i16")
+SQL_TABLES["string3"] = "SELECT *, 2 * i18 + plant_id % 2 * i16 AS i FROM string2"
+SQL_TABLES["string_peak"] = "SELECT plant_id, ts_15, max(v * i) AS p, arg_max(v, (v * i, -k)) AS v, arg_max(i, (v * i, -k)) AS i, max(top) AS top FROM string3 GROUP BY 1, 2"
+SQL_TABLES["short_circuit"] = current_sql("circuit4", "0e0", "i0")
+
+
+@query("d04_expected_dc_by_tracker",
+       """SELECT b.plant_id, b.ts_15, mppt, p * 0.9e0 AS pdc_expected_w, v AS v_dc_model_v, i AS i_dc_model_a, top AS voc_array_v, (2 + b.plant_id % 2) * i0 AS isc_array_a
+          FROM circuit0 b LEFT JOIN string_peak s ON s.plant_id = b.plant_id AND s.ts_15 = b.ts_15 LEFT JOIN short_circuit c ON c.plant_id = b.plant_id AND c.ts_15 = b.ts_15, (SELECT unnest([1, 2]) AS mppt)""",
+       ["pdc_expected_w", "v_dc_model_v", "i_dc_model_a", "voc_array_v", "isc_array_a"], longs=["mppt"])
 def by_tracker(t):
     k = F.col("plant_id")
     pair = lambda n, m: F.named_struct(F.lit("np"), n, F.lit("ns"), m)
