@@ -27,12 +27,18 @@ def apply_bounds(df: DataFrame) -> DataFrame:
     return df
 
 
-def _frame_median(c: Column, frame, least: int) -> Column:
-    """Median of the values of a short frame, NULL where there are fewer than `least`: a sorted array instead of a map of counts."""
-    values = F.sort_array(F.collect_list(c).over(frame))
-    n = F.size(values)
-    middle = (F.get(values, F.floor((n - 1) / 2).cast("int")) + F.get(values, F.floor(n / 2).cast("int"))) / 2
-    return F.when(n >= least, middle)
+def _near_median(c: Column, w, half: int, least: int) -> Column:
+    """Median of a row's value and those up to `half` rows away; NULL where fewer than `least` are known.
+
+    The neighbours come as lagged values, so that no frame is collected: one small array per row is sorted.
+    """
+    near = [F.lag(c, k).over(w) for k in range(half, 0, -1)] + [c] + [F.lead(c, k).over(w) for k in range(1, half + 1)]
+
+    def middle(x: Column) -> Column:
+        n = F.size(x)
+        return F.when(n >= least, (F.get(x, F.floor((n - 1) / 2).cast("int")) + F.get(x, F.floor(n / 2).cast("int"))) / 2)
+
+    return F.get(F.transform(F.array(F.sort_array(F.array_compact(F.array(*near)))), middle), F.lit(0))
 
 
 def hampel(c: str, w, sigma: float, floor: float, window: int, only: Column | None = None) -> tuple[dict[str, Column], Column]:
@@ -41,11 +47,10 @@ def hampel(c: str, w, sigma: float, floor: float, window: int, only: Column | No
     Returns the two intermediate columns (in order) and the outlier test.
     """
     half, least = window // 2, max(3, window // 2)
-    frame = w.rowsBetween(-half, half)
     med, dev = f"_med_{c}", f"_mad_{c}"
     steps = {
-        med: _frame_median(F.col(c), frame, least),
-        dev: _frame_median(F.abs(F.col(c) - F.col(med)), frame, least),
+        med: _near_median(F.col(c), w, half, least),
+        dev: _near_median(F.abs(F.col(c) - F.col(med)), w, half, least),
     }
     limit = F.greatest(F.col(dev) * 1.4826 * sigma, F.lit(floor))
     test = F.col(med).isNotNull() & F.col(dev).isNotNull() & (F.abs(F.col(c) - F.col(med)) > limit)
