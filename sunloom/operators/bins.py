@@ -13,6 +13,7 @@ from sunloom.functions import timegrid as tg
 from sunloom.functions.values import flag
 from sunloom.operators import keys as K
 from sunloom.operators import series as S
+from sunloom.operators.selection import medians
 
 BIN = "ts_15"
 
@@ -33,13 +34,14 @@ def sample_energy_fixed(pac: Column, cfg: BucketConfig) -> Column:
 def with_energy_to_next(df: DataFrame, s: S.Series, cfg: BucketConfig, pac: str = "p_ac_w") -> DataFrame:
     """Energy of each sample up to the next one; the last sample of a series gets the median gap."""
     b = S.blocks(df, s, after=1)
-    gap = (F.lead(F.unix_micros(F.col(s.time))).over(s.blocked) - F.unix_micros(F.col(s.time))) / 3.6e9
-    b = S.core(b.withColumn("_gap_h", gap))
-    fill = b.groupBy(*s.keys).agg(F.percentile("_gap_h", 0.5).alias("_gap_med"))
+    gap = F.lead(F.unix_micros(F.col(s.time))).over(s.blocked) - F.unix_micros(F.col(s.time))
+    b = S.core(b.withColumn("_gap_us", gap))
+    fill = medians(b, s.keys, {"_gap_med": F.col("_gap_us")}).withColumn("_gap_med", F.col("_gap_med") / 3.6e9)
+    b = b.withColumn("_gap_h", F.col("_gap_us") / 3.6e9).drop("_gap_us")
     hours = F.coalesce("_gap_h", "_gap_med", F.lit(cfg.sampling_minutes / 60.0))
     hours = F.greatest(F.least(hours, F.lit(cfg.max_dt_minutes / 60.0)), F.lit(0.0))
     return S.without_marks(
-        S._join(b, fill, s.keys).withColumn("_energy_wh", F.col(pac) * hours).drop("_gap_h", "_gap_med")
+        S.attach(b, fill, s).withColumn("_energy_wh", F.col(pac) * hours).drop("_gap_h", "_gap_med")
     )
 
 

@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 
 from sunloom.functions import timegrid as tg
 from sunloom.functions import values as V
+from sunloom.operators import series as S
+from sunloom.operators.selection import medians
 
 # fixed values: payload titles of the inverter vendor
 PAC_TITLES = ("potência ativa total", "Potência ativa total")
@@ -138,27 +140,23 @@ def repair_clock(df: DataFrame, keys: Sequence[str], tz: str = "tz", time: str =
     """Shift a series by its median offset to the payload's own clock, in 15-minute steps.
 
     Payload text may mean UTC or plant time: the reading with the smaller median distance wins, UTC
-    on a tie.  Only two medians per series leave the aggregation.
+    on a tie.  Medians are selected exactly, without gathering a series.
     """
     as_utc = F.try_to_timestamp(F.col(payload_time))
-    hours = lambda c: tg.seconds_between(c, time) / 3600.0
+    away = lambda c: F.unix_micros(c) - F.unix_micros(F.col(time))
     d = df.withColumn("_u", as_utc)
-    d = d.withColumns({"_hu": hours(F.col("_u")), "_hl": hours(F.to_utc_timestamp("_u", F.col(tz)))})
-    med = d.groupBy(*keys).agg(
-        *[F.percentile(F.abs(F.col(c)), 0.5).alias(f"_a{c}") for c in ("_hu", "_hl")],
-        *[F.percentile(c, 0.5).alias(f"_m{c}") for c in ("_hu", "_hl")],
-    )
+    d = d.withColumns({"_hu": away(F.col("_u")), "_hl": away(F.to_utc_timestamp("_u", F.col(tz)))})
+    med = medians(d, keys, {f"_a{c}": F.abs(F.col(c)) for c in ("_hu", "_hl")} | {f"_m{c}": F.col(c) for c in ("_hu", "_hl")})
     utc = F.col("_a_hu") <= F.col("_a_hl")
     median = F.when(utc, F.col("_m_hu")).otherwise(F.col("_m_hl"))
-    steps = (F.bround(median * 60.0 / 15.0) * 15).cast("long")
+    steps = (F.bround(median / 9e8) * 15).cast("long")  # quarter-hours
     med = med.select(
-        *keys, F.when(F.col("_a_hu").isNull(), "none").when(utc, "utc").otherwise("plant_local").alias("clock_mode"),
-        F.coalesce(F.when(F.abs(steps) >= min_shift_minutes, steps), F.lit(0)).alias("shift_minutes"),
-    )
-    return (
-        d.drop("_u", "_hu", "_hl").join(med, list(keys))
-        .withColumn(time, tg.plus_seconds(time, F.col("shift_minutes") * 60))
+        *keys, F.when(utc, "utc").otherwise("plant_local").alias("clock_mode"),
+        F.when(F.abs(steps) >= min_shift_minutes, steps).otherwise(0).alias("shift_minutes"),
     )
+    d = S._join(d.drop("_u", "_hu", "_hl"), med, keys)
+    d = d.withColumns({"clock_mode": F.coalesce("clock_mode", F.lit("none")), "shift_minutes": F.coalesce("shift_minutes", F.lit(0).cast("long"))})
+    return d.withColumn(time, tg.plus_seconds(time, F.col("shift_minutes") * 60))
 
 
 def scan_telemetry(df: DataFrame, start: Column, end: Column, keys: Sequence[str], tz: str = "tz", buffer_hours: int = 6,
