@@ -6,6 +6,7 @@ from dataclasses import replace
 from pyspark.sql import functions as F
 
 from sunloom.config import BucketConfig, WeatherConfig
+from sunloom.functions import timegrid as tg
 from sunloom.gallery.registry import query
 from sunloom.operators import bins
 from sunloom.operators.series import Series
@@ -102,16 +103,15 @@ def series_coverage(t):
 
 @query(
     "j01_outer_join_weather",
-    """SELECT w.plant_id, w.ts_utc AS ts_15, p_ac_w, ghi, coalesce(inv_n, 0) AS inv_n, inv_coverage,
-       inv_n IS NULL AS flag_inv_missing, coalesce(inv_coverage < 0.7, false) AS flag_low_coverage, ghi IS NULL AS flag_meteo_missing
-       FROM (SELECT * FROM weather WHERE q % 2 = 0) w LEFT JOIN power_15 p ON p.plant_id = w.plant_id AND p.ts_15 = w.ts_utc
-       UNION ALL SELECT plant_id, ts_15, p_ac_w, NULL, inv_n, inv_coverage, false, inv_coverage < 0.7, true
-       FROM power_15 WHERE (hour(ts_15) * 60 + minute(ts_15)) // 15 % 2 = 1""",
+    """SELECT coalesce(w.plant_id, p.plant_id) AS plant_id, coalesce(w.ts_15, p.ts_15) AS ts_15, p_ac_w, ghi, coalesce(inv_n, 0) AS inv_n, inv_coverage,
+       inv_n IS NULL AS flag_inv_missing, coalesce(inv_coverage < 0.7, false) AS flag_low_coverage, coalesce(ghi, temp_air, pressure) IS NULL AS flag_meteo_missing
+       FROM (SELECT plant_id, ts_utc + to_days(CAST(5 + plant_id % 3 AS INTEGER)) AS ts_15, ghi, temp_air, pressure FROM weather) w FULL JOIN power_15 p ON p.plant_id = w.plant_id AND p.ts_15 = w.ts_15""",
     ["p_ac_w", "ghi", "inv_coverage"],
 )
 def outer_join(t):
     power = bins.bucket_power(t.telemetry, ["plant_id"])
-    w = t.weather.filter("q % 2 = 0").withColumnRenamed("ts_utc", "ts_15")
+    # the weather begins days later than the power: rows of either side alone, and of both
+    w = t.weather.withColumn("ts_15", tg.plus_seconds("ts_utc", (5 + F.col("plant_id") % 3) * 86400)).drop("ts_utc")
     return bins.join_weather(power, w, ["plant_id"], "outer").select(
         "plant_id", "ts_15", "p_ac_w", "ghi", "inv_n", "inv_coverage", "flag_inv_missing", "flag_low_coverage", "flag_meteo_missing"
     )

@@ -112,12 +112,12 @@ def weather_json(t):
 
 
 @query("s07_weather_csv_lines",
-       "SELECT CAST(plant_id AS VARCHAR) AS file, ts_utc, ghi, temp_air, NULL::DOUBLE AS rh FROM weather WHERE ghi IS NOT NULL", ["ghi", "temp_air", "rh"])
+       "SELECT CAST(plant_id AS VARCHAR) AS file, ts_utc, ghi, temp_air, NULL::DOUBLE AS rh FROM weather", ["ghi", "temp_air", "rh"])
 def weather_csv(t):
-    w = t.weather.filter("ghi IS NOT NULL")
+    w = t.weather
     f = F.col("plant_id").cast("string").alias("file")
     body = F.concat_ws(",", F.year("ts_utc"), F.month("ts_utc"), F.dayofmonth("ts_utc"), F.hour("ts_utc"), F.minute("ts_utc"),
-                       F.col("ghi").cast("string"), F.col("temp_air").cast("string"))
+                       *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in ("ghi", "temp_air")])
     data = w.select(f, body.alias("value"))
     plants = w.select("plant_id").distinct()
     head = plants.select(f, F.explode(F.array(F.lit("Source,Location ID"), F.lit("NSRDB,12"), F.lit("Year,Month,Day,Hour,Minute,GHI,Air Temperature"))).alias("value"))
@@ -257,10 +257,10 @@ def chunks(t):
 
 
 @query("s21_plant_snapshot",
-       """SELECT c_custkey, CAST(c_custkey AS VARCHAR) AS plant_id, c_name AS plant_name, CASE WHEN c_custkey % 3 = 0 THEN c_acctbal ELSE 7 END AS current_power FROM customer WHERE c_custkey > 0""", ["current_power"])
+       """SELECT c_custkey, nullif(CAST(c_custkey AS VARCHAR), '0') AS plant_id, c_name AS plant_name, CASE WHEN c_custkey % 3 = 0 THEN c_acctbal ELSE 7 END AS current_power FROM customer""", ["current_power"])
 def snapshot(t):
     k = F.col("c_custkey")
-    c = t.raw("customer").filter(k > 0).select("c_custkey", F.to_json(F.create_map(
+    c = t.raw("customer").select("c_custkey", F.to_json(F.create_map(
         F.lit("id"), k.cast("string"), F.lit("plantName"), F.lit(""), F.lit("plantName1"), F.col("c_name"),
         F.lit("currPower"), F.when(k % 3 == 0, F.col("c_acctbal").cast("string")).otherwise("0"), F.lit("pac"), F.lit("7"))).alias("payload"))
     return L.snapshot(c).select("c_custkey", "plant_id", "plant_name", "current_power")

@@ -45,11 +45,13 @@ def source_root(t):
 
 
 @query("f07_canonical_source",
-       f"""WITH k AS (SELECT plant_id, source_oper, count(*) AS n FROM by_source WHERE source_oper <> 'INV01' OR plant_id % 2 = 0 GROUP BY 1, 2)
+       f"""WITH k AS (SELECT plant_id, CASE WHEN source_oper = 'INV01' AND plant_id % 2 = 1 THEN 'INV01|MPPT11' ELSE source_oper END AS source_oper, count(*) AS n FROM by_source GROUP BY 1, 2)
        SELECT plant_id, coalesce(arg_min(source_oper, n * 100 + length(source_oper)) FILTER ({AGG_SQL}), split_part(arg_min(source_oper, n * 100 + length(source_oper)), '|', 1)) AS canonical_source
        FROM k GROUP BY 1""")
 def canonical(t):
-    k = t.by_source.filter((F.col("source_oper") != "INV01") | (F.col("plant_id") % 2 == 0)).groupBy("plant_id", "source_oper").agg(F.count(F.lit(1)).alias("n"))
+    # odd plants have no plain source: theirs goes by the name of a tracker
+    name = F.when((F.col("source_oper") == "INV01") & (F.col("plant_id") % 2 == 1), "INV01|MPPT11").otherwise(F.col("source_oper"))
+    k = t.by_source.groupBy("plant_id", name.alias("source_oper")).agg(F.count(F.lit(1)).alias("n"))
     return K.canonical_source(k, P, "source_oper", F.col("n") * 100 + F.length("source_oper"))
 
 
@@ -92,12 +94,13 @@ def dominant_source(t):
 
 
 @query("a07_dominant_operation_source",
-       f"""WITH n AS (SELECT plant_id, source_oper, count(*) AS n FROM by_source WHERE plant_id % 2 = 0 OR {MPPT_SQL} GROUP BY 1, 2),
+       f"""WITH n AS (SELECT plant_id, CASE WHEN plant_id % 2 = 0 OR {MPPT_SQL} THEN source_oper ELSE 'INV01|MPPT9' END AS source_oper, count(*) AS n FROM by_source GROUP BY 1, 2),
            r AS (SELECT *, row_number() OVER (PARTITION BY plant_id ORDER BY {AGG_SQL} DESC, n DESC, source_oper) AS rn FROM n)
            SELECT plant_id, CASE WHEN {AGG_SQL} THEN source_oper ELSE split_part(source_oper, '|', 1) END AS source_oper FROM r WHERE rn = 1""")
 def dominant_operation(t):
-    d = t.by_source
-    return K.dominant_operation_source(d.filter((F.col("plant_id") % 2 == 0) | K.is_mppt("source_oper")), P)
+    # odd plants have trackers only
+    name = F.when((F.col("plant_id") % 2 == 0) | K.is_mppt("source_oper"), F.col("source_oper")).otherwise("INV01|MPPT9")
+    return K.dominant_operation_source(t.by_source.withColumn("source_oper", name), P)
 
 
 @query("a08_latest_source_pair",
@@ -230,14 +233,15 @@ def availability(t):
     return TT.availability(t.by_source, P, distinct=["source_oper"])
 
 
+#: column names of the sources that the tables have
+SHORT_NAMES = {"INV01": "inv01", "INV01|AGG": "agg", **{f"INV01|MPPT{k}": f"mppt{k}" for k in range(1, 5)}}
+
+
 @query("u04_sources_side_by_side",
-       """SELECT plant_id, ts_15, max(p_ac_w) FILTER (source_oper = 'INV01') AS inv01, max(p_ac_w) FILTER (source_oper = 'INV01|AGG') AS agg,
-       max(p_ac_w) FILTER (source_oper = 'INV01|MPPT1') AS mppt1 FROM by_source WHERE source_oper IN ('INV01', 'INV01|AGG', 'INV01|MPPT1') GROUP BY 1, 2""",
-       ["inv01", "agg", "mppt1"])
+       "SELECT plant_id, ts_15, " + ", ".join(f"max(p_ac_w) FILTER (source_oper = '{s}') AS {n}" for s, n in SHORT_NAMES.items()) + " FROM by_source GROUP BY 1, 2",
+       list(SHORT_NAMES.values()))
 def side_by_side(t):
-    short = {"INV01": "inv01", "INV01|AGG": "agg", "INV01|MPPT1": "mppt1"}
-    d = t.by_source.withColumn("s", V.lookup(F.col("source_oper"), short)).filter("s IS NOT NULL")
-    return d.groupBy("plant_id", "ts_15").pivot("s", list(short.values())).agg(F.max("p_ac_w"))
+    return TT.side_by_side(t.by_source, P, SHORT_NAMES, "p_ac_w")
 
 
 @query("u05_tracker_block",
@@ -251,13 +255,13 @@ def tracker_block(t):
 
 
 @query("u07_observed_trackers",
-       """SELECT plant_id, coalesce(max(CASE WHEN eid % 7 = 0 THEN 4 WHEN plant_id % 2 = 0 THEN 2 END), 0)::BIGINT AS n_mppt FROM power_15 WHERE eid % 7 <> 0 OR plant_id % 3 = 0 GROUP BY 1""")
+       """SELECT plant_id, coalesce(max(CASE WHEN eid % 7 = 0 AND plant_id % 3 = 0 THEN 4 WHEN plant_id % 2 = 0 AND eid % 7 <> 0 THEN 2 END), 0)::BIGINT AS n_mppt FROM power_15 GROUP BY 1""")
 def observed(t):
     p = bins.bucket_power(t.telemetry, P, BucketConfig(mean_cols=("v_dc_v",)), extra={"eid": F.min("event_id")})
     e, pid, v = F.col("eid"), F.col("plant_id"), F.col("v_dc_v")
-    p = p.filter((e % 7 != 0) | (pid % 3 == 0)).withColumns(
+    p = p.withColumns(
         {"mppt1_vdc_v": F.lit(None).cast("double"), "mppt2_vdc_v": F.when((pid % 2 == 0) & (e % 7 != 0), v),
-         "mppt3_vdc_v": F.lit(None).cast("double"), "mppt4_idc_a": F.when(e % 7 == 0, v)})
+         "mppt3_vdc_v": F.lit(None).cast("double"), "mppt4_idc_a": F.when((e % 7 == 0) & (pid % 3 == 0), v)})
     return TT.observed_trackers(p, P).select("plant_id", "n_mppt")
 
 

@@ -46,7 +46,7 @@ MW = "source_oper LIKE '%|MPPT%'"
 
 @query("j12_merge_tracker_layouts",
        f"""WITH c AS (SELECT * FROM by_source WHERE source_oper = 'INV01'), l AS (SELECT plant_id, ts_15, {", ".join(f"max(i_dc_a) FILTER (source_oper = 'INV01|MPPT{k}') AS l{k}" for k in KS)}, sum(p_dc_w) AS pdc FROM by_source WHERE {MW} GROUP BY 1, 2),
-       r AS (SELECT plant_id, ts_15, {", ".join(f"CASE WHEN eid % {k + 2} = 0 THEN i_dc_a END AS r{k}" for k in KS)} FROM power_15 WHERE eid % 2 = 0)
+       r AS (SELECT plant_id, ts_15, {", ".join(f"CASE WHEN eid % 2 = 0 AND eid % {k + 2} = 0 THEN i_dc_a END AS r{k}" for k in KS)} FROM power_15)
        SELECT coalesce(c.plant_id, l.plant_id) AS plant_id, coalesce(c.ts_15, l.ts_15) AS ts_15, {", ".join(f"CASE WHEN coalesce(r1, r2, r3, r4) IS NOT NULL THEN r{k} ELSE l{k} END AS mppt{k}_idc_a" for k in KS)}, CASE WHEN c.plant_id IS NOT NULL THEN c.p_dc_w ELSE pdc END AS p_dc_w
        FROM c FULL JOIN l ON l.plant_id = c.plant_id AND l.ts_15 = c.ts_15 LEFT JOIN r ON r.plant_id = coalesce(c.plant_id, l.plant_id) AND r.ts_15 = coalesce(c.ts_15, l.ts_15)""", [f"mppt{k}_idc_a" for k in KS] + ["p_dc_w"])
 def layouts(t):
@@ -54,8 +54,9 @@ def layouts(t):
 
     b = t.by_source
     e = F.col("eid")
-    raw = bins.bucket_power(t.telemetry, P, extra={"eid": F.min("event_id")}).filter(e % 2 == 0)
-    raw = raw.withColumns({f"mppt{k}_idc_a": F.when(e % (k + 2) == 0, F.col("i_dc_a")) for k in KS})
+    raw = bins.bucket_power(t.telemetry, P, extra={"eid": F.min("event_id")})
+    # every second raw bin says nothing about its trackers
+    raw = raw.withColumns({f"mppt{k}_idc_a": F.when((e % 2 == 0) & (e % (k + 2) == 0), F.col("i_dc_a")) for k in KS})
     return M.merge_layouts(b.filter("source_oper = 'INV01'"), b.filter(K.is_mppt("source_oper")), raw, P).select("plant_id", "ts_15", *[f"mppt{k}_idc_a" for k in KS], "p_dc_w")
 
 
@@ -72,11 +73,12 @@ def rule_labels(t):
 
 
 @query("a26_plant_scalers",
-       """SELECT b.plant_id, greatest(quantile_cont(p_ac_w, 0.99), 1) AS pac_p99, greatest(quantile_cont(g_poa, 0.99), 50) AS g_p99, greatest(quantile_cont(temp_air, 0.99), 10) AS t_p99, any_value(mv) AS mppt_vdc_p99, any_value(mi) AS mppt_idc_p99, any_value(mp) AS mppt_pdc_p99
+       """SELECT b.plant_id, greatest(quantile_cont(p_ac_w, 0.99), 1) AS pac_p99, greatest(quantile_cont(g_poa, 0.99), 50) AS g_p99, greatest(quantile_cont(temp_air, 0.99), 10) AS t_p99, greatest(quantile_cont(v_dc_v, 0.99), 1) AS vdc_total_p99, 1e0 AS iac_p99, greatest(quantile_cont(pac_model_w, 0.99), 1) AS pac_model_p99, any_value(mv) AS mppt_vdc_p99, any_value(mi) AS mppt_idc_p99, any_value(mp) AS mppt_pdc_p99
           FROM bin_state b JOIN (SELECT plant_id, greatest(quantile_cont(v, 0.99), 1) AS mv, greatest(quantile_cont(i, 0.99), 0.1) AS mi, greatest(quantile_cont(v * i, 0.99), 1) AS mp FROM trk GROUP BY 1) k ON k.plant_id = b.plant_id GROUP BY b.plant_id""",
-       ["pac_p99", "g_p99", "t_p99", "mppt_vdc_p99", "mppt_idc_p99", "mppt_pdc_p99"])
+       ["pac_p99", "g_p99", "t_p99", "vdc_total_p99", "iac_p99", "pac_model_p99", "mppt_vdc_p99", "mppt_idc_p99", "mppt_pdc_p99"])
 def scalers(t):
-    return M.scalers(t.bin_state, trackers(t), P).select("plant_id", "pac_p99", "g_p99", "t_p99", "mppt_vdc_p99", "mppt_idc_p99", "mppt_pdc_p99")
+    # no plant measures its AC current: an empty channel
+    return M.scalers(t.bin_state.withColumn("i_ac_a", F.lit(None).cast("double")), trackers(t), P)
 
 
 @query("x24_scaled_values",
@@ -103,9 +105,24 @@ def differences(t):
     return d.select("plant_id", "ts_15", "mppt", zero("v", "_v").alias("dv"), zero("i", "_i").alias("di"))
 
 
-SQL_TABLES["nodes"] = """SELECT t.*, greatest(least(coalesce(v, 0) / mv, 3), 0) AS v_mppt_n, greatest(least(coalesce(i, 0) / (im + 1e-9), 5), 0) AS i_rel, greatest(least(coalesce(v * i, 0) / (ps + 1e-9), 1), 0) AS share_p,
-   greatest(least(coalesce(p_ac_w, 0) / mp, 3), 0) AS pac_n FROM trk t JOIN (SELECT plant_id, ts_15, coalesce(quantile_cont(i, 0.5), 0) AS im, coalesce(sum(v * i), 0) AS ps FROM trk GROUP BY 1, 2) q ON q.plant_id = t.plant_id AND q.ts_15 = t.ts_15
-   JOIN (SELECT plant_id, greatest(quantile_cont(v, 0.99), 1) AS mv FROM trk GROUP BY 1) s ON s.plant_id = t.plant_id JOIN (SELECT plant_id, greatest(quantile_cont(p_ac_w, 0.99), 1) AS mp FROM bin_state GROUP BY 1) z ON z.plant_id = t.plant_id"""
+SQL_TABLES["trk_scales"] = """SELECT b.plant_id, greatest(quantile_cont(p_ac_w, 0.99), 1) AS pac, greatest(quantile_cont(v_dc_v, 0.99), 1) AS vdc, greatest(quantile_cont(pac_model_w, 0.99), 1) AS pmo, greatest(quantile_cont(g_poa, 0.99), 50) AS g,
+   greatest(quantile_cont(temp_air, 0.99), 10) AS t, any_value(mv) AS mv, any_value(mi) AS mi, any_value(mp) AS mp FROM bin_state b
+   JOIN (SELECT plant_id, greatest(quantile_cont(v, 0.99), 1) AS mv, greatest(quantile_cont(i, 0.99), 0.1) AS mi, greatest(quantile_cont(v * i, 0.99), 1) AS mp FROM trk GROUP BY 1) k ON k.plant_id = b.plant_id GROUP BY b.plant_id"""
+SQL_TABLES["trk_peers"] = "SELECT plant_id, ts_15, coalesce(quantile_cont(i, 0.5), 0) AS im, coalesce(quantile_cont(v, 0.5), 0) AS vm, coalesce(sum(v * i), 0) AS ps FROM trk GROUP BY 1, 2"
+SQL_TABLES["trk_mains"] = "SELECT plant_id, day, CASE WHEN quantile_cont(freq_hz, 0.5) IS NULL THEN NULL WHEN quantile_cont(freq_hz, 0.5) > 55 THEN 60 ELSE 50 END AS hz FROM trk GROUP BY 1, 2"
+
+
+def level(value: str, scale: str) -> str:
+    return f"greatest(least(coalesce({value}, 0) / {scale}, 3), 0)"
+
+
+SQL_TABLES["nodes0"] = f"""SELECT t.plant_id, t.day, t.ts_15, t.mppt, {level('v', 'mv')} AS v_mppt_n, {level('i', 'mi')} AS i_mppt_n, {level('v * i', 'mp')} AS pdc_est_n,
+   greatest(least(coalesce(i, 0) / (im + 1e-9), 5), 0) AS i_rel, greatest(least((coalesce(v, 0) - vm) / (mv + 1e-9), 3), -3) AS v_rel, greatest(least(coalesce(v * i, 0) / (ps + 1e-9), 1), 0) AS share_p,
+   {level('p_ac_w', 'pac')} AS pac_n, {level('v_dc_v', 'vdc')} AS vdc_total_n, 0e0 AS iac_n, {level('pac_model_w', 'pmo')} AS pac_model_n, greatest(least(coalesce(mismatch_rel, 0), 2), -2) / 2 AS mismatch_n,
+   {level('g_poa', 's.g')} AS g_n, {level('temp_air', 's.t')} AS t_n, {level('v_ac_v', '1000')} AS vac_n, CASE WHEN hz IS NULL THEN 0 ELSE greatest(least((coalesce(freq_hz, hz) - hz) / 5e0, 1), -1) END AS freq_n
+   FROM trk t JOIN trk_peers q ON q.plant_id = t.plant_id AND q.ts_15 = t.ts_15 JOIN trk_scales s ON s.plant_id = t.plant_id JOIN trk_mains m ON m.plant_id = t.plant_id AND m.day = t.day"""
+SQL_TABLES["nodes"] = """SELECT *, greatest(least(coalesce(v_mppt_n - lag(v_mppt_n) OVER w, 0), 1), -1) AS dv_mppt, greatest(least(coalesce(i_mppt_n - lag(i_mppt_n) OVER w, 0), 1), -1) AS di_mppt,
+   coalesce(pac_n - lag(pac_n) OVER w, 0) AS dpac, coalesce(mismatch_n - lag(mismatch_n) OVER w, 0) AS dmm FROM nodes0 WINDOW w AS (PARTITION BY plant_id, mppt, day ORDER BY ts_15)"""
 
 
 def nodes(t):
@@ -114,16 +131,17 @@ def nodes(t):
     return M.node_features(tr.join(sc, P), P)
 
 
-@query("d28_node_features", "SELECT plant_id, ts_15, mppt, v_mppt_n, i_rel, share_p, pac_n, coalesce(pac_n - lag(pac_n) OVER (PARTITION BY plant_id, mppt, day ORDER BY ts_15), 0) AS dpac FROM nodes", ["v_mppt_n", "i_rel", "share_p", "pac_n", "dpac"])
+@query("d28_node_features", f"SELECT plant_id, ts_15, mppt, {', '.join(M.NODE_FEATURES)} FROM nodes", list(M.NODE_FEATURES), longs=["mppt"])
 def node_features(t):
-    return nodes(t).select("plant_id", "ts_15", "mppt", "v_mppt_n", "i_rel", "share_p", "pac_n", "dpac")
+    return nodes(t).select("plant_id", "ts_15", "mppt", *M.NODE_FEATURES)
 
 
-@query("u08_day_vectors", "SELECT plant_id, day, mppt, count(*) * 19 AS n_values, sum(v_mppt_n) AS v_sum FROM nodes GROUP BY 1, 2, 3", ["v_sum"])
+# every value of a vector counts, by its place in the step
+@query("u08_day_vectors", f"SELECT plant_id, day, mppt, count(*) * 19 AS n_values, sum({' + '.join(f'{k + 1} * {n}' for k, n in enumerate(M.NODE_FEATURES))}) AS v_sum FROM nodes GROUP BY 1, 2, 3", ["v_sum"], longs=["mppt"])
 def day_vectors(t):
     f = M.day_vectors(nodes(t), P)
-    steps = F.filter("features", lambda x, i: i % 19 == 0)
-    return f.select("plant_id", "day", "mppt", F.size("features").alias("n_values"), F.aggregate(steps, F.lit(0.0), lambda a, x: a + x).alias("v_sum"))
+    weighed = F.transform("features", lambda x, i: x * (i % len(M.NODE_FEATURES) + 1))
+    return f.select("plant_id", "day", "mppt", F.size("features").alias("n_values"), F.aggregate(weighed, F.lit(0.0), lambda a, x: a + x).alias("v_sum"))
 
 
 @query("w18_sliding_day_windows",

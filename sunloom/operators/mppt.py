@@ -212,15 +212,26 @@ def sliding_windows(df: DataFrame, s: S.Series, columns: Sequence[str], stride:
     Kept when at least `min_active` of the `active` columns are above 0.001 in 10 % of their steps.
     """
     b = S.blocks(df, s, before=steps - 1)
-    frame = s.blocked.rowsBetween(-(steps - 1), 0)
-    shares = {f"_a{n}": F.avg(F.when(F.col(c) > 0.001, 1.0).otherwise(0.0)).over(frame) for n, c in enumerate(active)}
-    due = (F.col(S.POS) >= steps - 1) & ((F.col(S.POS) - (steps - 1)) % stride == 0)
-    rows = F.collect_list(F.struct(*columns)).over(frame)
-    b = S.core(b.withColumns({"_w": rows, **shares})).filter(due)
+    marks = [F.when(F.col(c) > 0.001, 1).otherwise(0).alias(f"_a{n}") for n, c in enumerate(active)]
+    row = F.struct(S.POS, S.HALO, F.col(s.time).alias("_t"), *columns, *marks)
+    # one array for a block and its halo; every due row takes its slice, so a row is copied once per window it is due in
+    held = b.groupBy(*s.keys, S.BLOCK).agg(F.sort_array(F.collect_list(row)).alias("_rows"))
+    places = F.filter(F.sequence(F.lit(0), F.size("_rows") - 1), lambda k: ~_at(k)[S.HALO] & (_at(k)[S.POS] >= steps - 1) & ((_at(k)[S.POS] - (steps - 1)) % stride == 0))
+    due = held.select(*s.keys, "_rows", F.explode(places).alias("_k"))
+    due = due.select(*s.keys, _at(F.col("_k"))["_t"].alias("ts_end"), F.slice("_rows", F.col("_k") - (steps - 2), F.lit(steps)).alias("_w"))
     if active:
-        live = sum((F.when(F.col(n) >= 0.10, 1).otherwise(0) for n in shares), F.lit(0))
-        b = b.filter(live >= min_active)
-    return b.select(*s.keys, F.col(s.time).alias("ts_end"), *[F.col(f"_w.{c}").alias(c) for c in columns])
+        total = lambda n: F.aggregate("_w", F.lit(0), lambda sum_, r: sum_ + r[f"_a{n}"])
+        live = sum((F.when(total(n) / steps >= 0.10, 1).otherwise(0) for n in range(len(active))), F.lit(0))
+        due = due.filter(live >= min_active)
+    return due.select(*s.keys, "ts_end", *[F.transform("_w", _field(c)).alias(c) for c in columns])
+
+
+def _at(k: Column) -> Column:
+    return F.get(F.col("_rows"), k)
+
+
+def _field(name: str):
+    return lambda row: row[name]
 
 
 IGNORE = -100

@@ -149,6 +149,18 @@ def tracker_block(df: DataFrame, keys: Sequence[str], time: str = BIN, trackers:
     return d.groupBy(*keys, time).agg(*aggs)
 
 
+def side_by_side(df: DataFrame, keys: Sequence[str], names: dict[str, str], value: str, source: str = "source_oper", time: str = BIN) -> DataFrame:
+    """One column per source for every instant: the largest value of the sources that `names` maps to it.
+
+    Instants at which no listed source has a row stay, with NULLs.  The sources are given, so no pass looks for them.
+    """
+    column = F.col(source)
+    wanted: dict[str, list[str]] = {}
+    for s, n in names.items():
+        wanted.setdefault(n, []).append(s)
+    return df.groupBy(*keys, time).agg(*[F.max(F.when(column.isin(sources), F.col(value))).alias(n) for n, sources in wanted.items()])
+
+
 def observed_trackers(df: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Highest tracker with any value, and the list 1..highest, over all mpptK columns there are."""
     numbers = sorted({*K.trackers_in(df.columns, "vdc_v"), *K.trackers_in(df.columns, "idc_a")})

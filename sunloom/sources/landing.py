@@ -351,12 +351,40 @@ def search_catalogue(df: DataFrame, text: str = "", maker: str = "", sort: str =
     return df
 
 
+#: lengths of the slices of time that a page is looked for in
+PAGE_SLICES = (86400, 3600, 60, 1)
+
+
 def raw_page(df: DataFrame, time: str = "ts_utc", page: int = 1, size: int = 200, tie: str = "event_id") -> DataFrame:
-    """Newest-first page of exactly the asked size (a bounded top-k, not a full sort)."""
+    """Newest-first page of exactly the asked size, however deep it lies.
+
+    Rows per day say in which days the page lies; only those are counted by hour, then by minute and by second.  The page is
+    then cut out of the last slices by a range of time that the scan gets as a filter, so no task holds the rows before it.
+    Counts on the driver are one per slice of the chosen ones.  Rows without a time come last.
+    """
     if page < 1 or size < 1:
         raise ValueError(f"page and size count from 1: {page}, {size}")
-    order = [F.col(time).desc(), F.col(tie).desc()]
-    return df.orderBy(*order).offset((page - 1) * size).limit(size)
+    first, last = (page - 1) * size, page * size
+    order = [F.col(time).desc_nulls_last(), F.col(tie).desc()]
+    low = high = None  # seconds of the range in use
+    rows = df.filter(F.col(time).isNotNull())
+    for length in PAGE_SLICES:
+        slices = rows.groupBy((F.floor(F.unix_seconds(F.col(time)) / length) * length).alias("at")).count().orderBy(F.desc("at")).collect()
+        before, chosen = 0, []
+        for r in slices:
+            if before < last and before + r["count"] > first:
+                chosen.append((r["at"], before))
+            before += r["count"]
+        if not chosen or (high is None and before < last):
+            # the page reaches the rows without a time, or lies behind all rows
+            return df.orderBy(*order).offset(first).limit(size)
+        high, low = chosen[0][0] + length, chosen[-1][0]
+        first, last = first - chosen[0][1], last - chosen[0][1]
+        instant = lambda seconds: F.timestamp_seconds(F.lit(seconds))
+        rows = df.filter((F.col(time) >= instant(low)) & (F.col(time) < instant(high)))
+        if first <= 4 * size:
+            break
+    return rows.orderBy(*order).offset(first).limit(size)
 
 
 def fetch_statistics(df: DataFrame, ranges: DataFrame, keys: Sequence[str], tz: str = "tz", time: str = "ts_utc") -> DataFrame:

@@ -131,3 +131,24 @@ def test_device_match_equals_brute_force(spark):
     s = spark.createDataFrame(src, "plant_id int, source_oper string")
     got = {(r.plant_id, r.source_oper): r.device_key for r in K.match_device_keys(s, d, ["plant_id"]).collect()}
     assert got == {(p, x): best(x, [n for q, n, _ in dev if q == p]) for p, x in src}
+
+
+def test_pages_equal_offset_paging_at_any_depth(spark):
+    """Ties in time, a hot minute, rows without a time, and pages up to and behind the end."""
+    rows = spark.range(4000).select(
+        F.col("id").alias("event_id"),
+        F.when(F.col("id") % 97 == 0, None).when(F.col("id") < 2500, F.timestamp_seconds(F.lit(1_700_000_000) + F.col("id") % 40)).otherwise(F.timestamp_seconds(F.lit(1_700_000_000) - F.col("id") * 977)).alias("ts_utc"),
+    ).repartition(6)
+    whole = [r.event_id for r in rows.orderBy(F.col("ts_utc").desc_nulls_last(), F.col("event_id").desc()).collect()]
+    for page, size in ((1, 7), (3, 100), (60, 40), (24, 100), (98, 40), (100, 40), (101, 40), (500, 40)):
+        got = [r.event_id for r in L.raw_page(rows, page=page, size=size).collect()]
+        assert got == whole[(page - 1) * size : page * size], (page, size)
+
+
+def test_a_deep_page_reads_its_slice_only(spark, tmp_path):
+    path = str(tmp_path / "rows")
+    spark.range(20000).select(F.col("id").alias("event_id"), F.timestamp_seconds(F.lit(1_700_000_000) + F.col("id") * 60).alias("ts_utc")).write.parquet(path)
+    page = L.raw_page(spark.read.parquet(path), page=150, size=100)
+    plan = page._jdf.queryExecution().executedPlan().toString()
+    assert "GreaterThanOrEqual(ts_utc" in plan and "LessThan(ts_utc" in plan
+    assert [r.event_id for r in page.collect()] == list(range(20000 - 149 * 100 - 1, 20000 - 150 * 100 - 1, -1))
