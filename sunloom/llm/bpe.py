@@ -36,7 +36,7 @@ def byte_alphabet() -> dict[str, int]:
 
 def entry_bytes(memo: dict, names) -> int:
     """About what these names and their ids take in a memo."""
-    return sum(map(len, names)) + sum(len(memo[n]) for n in names) + ENTRY_BYTES * len(names)
+    return sum(map(len, names)) + sum(map(len, map(memo.__getitem__, names))) + ENTRY_BYTES * len(names)
 
 
 class PieceMemo:
@@ -52,6 +52,10 @@ class PieceMemo:
         self.pieces: dict[str, bytes] = {}
         self._held = 0
 
+    def room(self) -> int:
+        """Bytes of pieces to remember."""
+        return REMEMBERED_BYTES
+
     def _learn(self, new: set[str]) -> None:
         raise NotImplementedError
 
@@ -69,7 +73,7 @@ class PieceMemo:
                     parts.append((first, [" " + p for p in rest]))
             cut.append(parts)
         out = []
-        if self._held > REMEMBERED_BYTES:
+        if self._held > self.room():
             # pieces that this batch has again are the frequent ones
             again = {p for parts in cut for x in parts if type(x) is tuple for p in (x[0], *x[1])} & self.pieces.keys()
             self.pieces = {p: self.pieces[p] for p in again}

@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
-from sunloom.llm.bpe import PieceMemo, entry_bytes
+from sunloom.llm.bpe import PieceMemo
 from sunloom.llm.common import batches_of, ids_and_text, lean
 
 WINDOW = 1024
@@ -19,14 +19,14 @@ WINDOW = 1024
 PART = 256
 #: tails that are packed together
 TAILS = 256
-BATCH_BYTES = 1 << 20
+BATCH_BYTES = 2 << 20
+#: bytes of pieces and ids that a worker remembers between batches and tasks
+REMEMBERED_BYTES = 128 << 20
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, ids binary"
 
 
-#: a space and letters of one byte or two
-_PLAIN_PIECE = re.compile(" [A-Za-zÀ-ÖØ-öø-ÿ]+").fullmatch
-#: such a word between ASCII marks (no apostrophe: it may take letters with it)
-_MARKED_PIECE = re.compile("( ?)([!-&(-/:-@[-`{-~]*)([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:-@[-`{-~]*)").fullmatch
+#: one space in front of characters that are no white space and whose class is the same in every Unicode version
+_SPACED = re.compile(r" [\x21-\x7e¡-ɏ]+").fullmatch
 
 
 class LibraryBpe(PieceMemo):
@@ -46,40 +46,26 @@ class LibraryBpe(PieceMemo):
         # in the byte alphabet a leading space is written Ġ
         self._opens = np.array([(self._library.id_to_token(i) or "").startswith("Ġ") for i in range(size)])
 
+    def room(self) -> int:
+        return REMEMBERED_BYTES
+
     def _learn(self, new: set[str]) -> None:
-        """Add the ids of new pieces; a word between marks is put together from the word and the marks, pre-tokens of their own."""
         import numpy as np
 
-        memo = self.pieces
-        joined, alone, marked = [], [], []
+        # together such pieces are a text in which each begins at a token that opens with the space
+        joined, alone = [], []
         for piece in new:
-            if _PLAIN_PIECE(piece):
-                joined.append(piece)
-            elif (found := _MARKED_PIECE(piece)) and (found.group(2) or found.group(4)):
-                space, before, inner, after = found.groups()
-                parts = (space + before, inner, after) if before else (space + inner, after)
-                marked.append((piece, *filter(None, parts)))
-            else:
-                alone.append(piece)
-        parts = {x for _, *found in marked for x in found if x not in memo and x not in new}
-        for part in parts:
-            (joined if _PLAIN_PIECE(part) else alone).append(part)
-        # words with one space, in front: together they are a text in which each begins at a token that opens with the space
+            (joined if _SPACED(piece) else alone).append(piece)
         calls = [joined[i : i + 512] for i in range(0, len(joined), 512)]
         found = self._library.encode_batch_fast(["".join(c) for c in calls] + alone, add_special_tokens=False)
         for pieces, encoding in zip(calls, found, strict=False):
             ids = np.array(encoding.ids, dtype="<u4")
-            starts = np.flatnonzero(self._opens[ids]) * 4
-            raw, starts = ids.tobytes(), [*starts.tolist(), 4 * len(ids)]
-            for k, piece in enumerate(pieces):
-                memo[piece] = raw[starts[k] : starts[k + 1]]
-            if len(starts) != len(pieces) + 1:
-                raise ValueError("the vocabulary has tokens with a space inside")
+            starts = np.flatnonzero(self._opens[ids])
+            raw, ends = ids.tobytes(), np.append(starts[1:], len(ids)) * 4
+            for piece, a, b in zip(pieces, (starts * 4).tolist(), ends.tolist(), strict=True):
+                self.pieces[piece] = raw[a:b]
         for piece, encoding in zip(alone, found[len(calls) :], strict=True):
-            memo[piece] = np.array(encoding.ids, dtype="<u4").tobytes()
-        for piece, *found in marked:
-            memo[piece] = b"".join([memo[x] for x in found])
-        self._held += entry_bytes(memo, parts)
+            self.pieces[piece] = np.array(encoding.ids, dtype="<u4").tobytes()
 
 
 def differencing(sizes: list[int], windows: int) -> list[tuple[int, tuple[int, ...]]]:
