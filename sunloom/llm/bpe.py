@@ -6,7 +6,6 @@ import json
 import re
 from array import array
 from collections.abc import Iterable, Iterator
-from contextlib import contextmanager
 from itertools import filterfalse
 
 import pyarrow as pa
@@ -14,13 +13,13 @@ from pyspark.sql import DataFrame
 
 from sunloom.llm.common import batches_of, ids_and_text, lean
 
-#: bytes of pieces, and of words, that a task remembers between batches; beyond it keeps those of the batch at hand
+#: bytes of pieces, and of words, that a worker remembers between batches; beyond it keeps those of the batch at hand
 REMEMBERED_BYTES = 64 << 20
 #: about what two short objects and their place in a dict take besides their content
 ENTRY_BYTES = 200
-#: pairs of tokens of which a task remembers whether they stay apart
-REMEMBERED_PAIRS = 200_000
-BATCH_BYTES = 1 << 20
+#: pairs of tokens of which a worker remembers whether they stay apart
+REMEMBERED_PAIRS = 600_000
+BATCH_BYTES = 4 << 20
 #: characters whose class is the same in every Unicode version; other pieces are cut by the library itself
 STEADY = re.compile(r"[\t\n\r\x20-\x7e¡-ɏ]*").fullmatch
 _LOOSE_SPACE = re.compile(r"\s | \s").search
@@ -249,29 +248,25 @@ class TrieBpe(PieceMemo):
 _LOADED: dict[str, TrieBpe] = {}
 
 
-@contextmanager
-def loaded(path: str) -> Iterator[TrieBpe]:
-    """The vocabulary stays with the worker process, what a task remembers goes with the task."""
+def loaded(path: str) -> TrieBpe:
+    """One encoder per worker process, with what it remembers: bounded in bytes."""
     if path not in _LOADED:
         _LOADED[path] = TrieBpe(path)
-    try:
-        yield _LOADED[path]
-    finally:
-        _LOADED[path].forget()
+    return _LOADED[path]
 
 
 def encoded(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, ids binary) of every row: the whole text, null as empty, ids as little-endian 32-bit integers.
 
     Row by row in Arrow batches, no shuffle; repeated rows and null ids come out as they went in. `path` is the place of the
-    vocabulary on the workers. A task holds a few MB of text and about twice `REMEMBERED_BYTES` of words and
-    pieces, which go when it ends.
+    vocabulary on the workers. A worker holds a few MB of text and about twice `REMEMBERED_BYTES` of words and
+    pieces.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        with loaded(path) as bpe:
-            for batch in batches_of(batches, 1, BATCH_BYTES):
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(bpe.encode_texts(batch.column(1).to_pylist()), pa.binary())], ["doc_id", "ids"])
+        bpe = loaded(path)
+        for batch in batches_of(batches, 1, BATCH_BYTES):
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(bpe.encode_texts(batch.column(1).to_pylist()), pa.binary())], ["doc_id", "ids"])
 
     return ids_and_text(docs, key, text).mapInArrow(lean(run), "doc_id long, ids binary")
 
@@ -280,9 +275,9 @@ def decoded(ids: DataFrame, path: str) -> DataFrame:
     """(doc_id, text) of rows (doc_id, ids); null ids are empty."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        with loaded(path) as bpe:
-            for batch in batches_of(batches, 1, BATCH_BYTES):
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([bpe.decode(x or b"") for x in batch.column(1).to_pylist()], pa.string())], ["doc_id", "text"])
+        bpe = loaded(path)
+        for batch in batches_of(batches, 1, BATCH_BYTES):
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([bpe.decode(x or b"") for x in batch.column(1).to_pylist()], pa.string())], ["doc_id", "text"])
 
     return ids.select("doc_id", "ids").mapInArrow(lean(run), "doc_id long, text string")
 
@@ -291,12 +286,12 @@ def round_trip(docs: DataFrame, path: str, key: str = "doc_id", text: str = "tex
     """(doc_id, n_tokens, ids_sha256, decoded_sha256): encode, decode again, and digest both, in one pass over each batch."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        with loaded(path) as bpe:
-            for batch in batches_of(batches, 1, BATCH_BYTES):
-                ids = bpe.encode_texts(batch.column(1).to_pylist())
-                yield pa.RecordBatch.from_arrays([
-                    batch.column(0), pa.array([len(x) // 4 for x in ids], pa.int64()),
-                    pa.array([hashlib.sha256(x).hexdigest() for x in ids]), pa.array([hashlib.sha256(bpe.decode(x).encode()).hexdigest() for x in ids]),
-                ], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+        bpe = loaded(path)
+        for batch in batches_of(batches, 1, BATCH_BYTES):
+            ids = bpe.encode_texts(batch.column(1).to_pylist())
+            yield pa.RecordBatch.from_arrays([
+                batch.column(0), pa.array([len(x) // 4 for x in ids], pa.int64()),
+                pa.array([hashlib.sha256(x).hexdigest() for x in ids]), pa.array([hashlib.sha256(bpe.decode(x).encode()).hexdigest() for x in ids]),
+            ], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
     return ids_and_text(docs, key, text).mapInArrow(lean(run), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
