@@ -408,21 +408,22 @@ def training_days(df: DataFrame, keys: Sequence[str], day: str = "day", cfg: Day
 FAULT_SHARES = ((1, 0.25), (2, 0.20), (3, 0.25), (4, 0.20), (5, 0.10))
 
 
-def inject_faults(trackers: DataFrame, keys: Sequence[str], copies: int = 6, day: str = "day", time: str = BIN, g_gate: float = 120.0,
-                  n_mppt: int = 4) -> DataFrame:
+def inject_faults(trackers: DataFrame, keys: Sequence[str], copies: int = 6, day: str = "day", time: str = BIN, g_gate: float = 120.0) -> DataFrame:
     """Copies of each day with one planted fault; the choice depends only on plant, day and copy.
 
     Faults: 1 one tracker disconnected, 2 inverter off, 3 one tracker weak around noon, 4 curtailed,
-    5 inflated irradiance.  Mismatch is recomputed afterwards.
+    5 inflated irradiance.  Mismatch is recomputed afterwards.  A single-tracker fault hits one of the trackers
+    that the plant has rows of on that day.
     """
     c = F.col
-    d = trackers.withColumn("copy", F.explode(F.sequence(F.lit(1), F.lit(copies))))
+    there = trackers.groupBy(*keys, day).agg(F.sort_array(F.collect_set("mppt")).alias("_there"))
+    d = trackers.join(there, [*keys, day]).withColumn("copy", F.explode(F.sequence(F.lit(1), F.lit(copies))))
     draw = lambda n: F.pmod(F.xxhash64(*keys, F.col(day).cast("string"), "copy", F.lit(n)), F.lit(10000)) / 10000.0
     u, code, reach = draw(1), None, 0.0
     for k, share in FAULT_SHARES[:-1]:
         reach += share
         code = F.when(u < reach, k) if code is None else code.when(u < reach, k)
-    d = d.withColumns({"fault": code.otherwise(FAULT_SHARES[-1][0]), "hit": (F.floor(draw(2) * n_mppt) + 1).cast("int"), "_sun": V.flag(c("g_poa") >= g_gate),
+    d = d.withColumns({"fault": code.otherwise(FAULT_SHARES[-1][0]), "hit": F.get("_there", F.floor(draw(2) * F.size("_there")).cast("int")).cast("int"), "_sun": V.flag(c("g_poa") >= g_gate),
                        "_a": 0.35 + 0.10 * draw(3), "_b": 0.70 + 0.10 * draw(4), "_standby": 0.85 + 0.10 * draw(5)})
     part = [*keys, day, "copy"]
     steps = d.select(*part, time, "_sun", "pac_model_w").distinct()
@@ -449,7 +450,7 @@ def inject_faults(trackers: DataFrame, keys: Sequence[str], copies: int = 6, day
     d = d.withColumns({"p_ac_w": pac, "g_poa": c("g_poa") * grow, "pac_model_w": c("pac_model_w") * grow, **extra})
     y = F.when(f.isin(2, 4, 5), f).when(mine, f).otherwise(0)
     d = d.withColumns({"mismatch_rel": V.residual_rel(c("p_ac_w"), c("pac_model_w")), "y": y})
-    return d.drop("_sun", "_a", "_b", "_standby", "_i", "_n", "_ref", "_psum")
+    return d.drop("_sun", "_a", "_b", "_standby", "_i", "_n", "_ref", "_psum", "_there")
 
 
 def temporal_split(df: DataFrame, keys: Sequence[str], day: str = "day", fraction: float = 0.2, min_days: int = 1) -> DataFrame:

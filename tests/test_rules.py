@@ -195,3 +195,14 @@ def test_pages_have_the_asked_size(spark):
     assert [r.event_id for r in L.raw_page(rows, page=2, size=5).collect()] == [6, 5, 4, 3, 2]
     with pytest.raises(ValueError):
         L.raw_page(rows, size=0)
+
+
+def test_faults_hit_the_trackers_that_are_there(spark):
+    """Two trackers, or seven with gaps in their numbers: every single-tracker fault finds one, and all of them are hit."""
+    day = "2024-05-01"
+    rows = [("two", k, h) for k in (1, 2) for h in range(8)] + [("seven", k, h) for k in (1, 2, 3, 5, 6, 8, 9) for h in range(8)]
+    df = spark.createDataFrame(rows, "plant_id string, mppt int, h int").select(
+        "plant_id", "mppt", F.lit(day).cast("date").alias("day"), F.timestamp_seconds(F.lit(1_714_550_400) + F.col("h") * 900).alias("ts_15"),
+        *[F.lit(x).alias(n) for n, x in (("v", 300.0), ("i", 5.0), ("p_ac_w", 1000.0), ("g_poa", 500.0), ("pac_model_w", 1000.0))])
+    got = M.inject_faults(df, ["plant_id"], copies=200).select("plant_id", "copy", "fault", "hit").distinct().collect()
+    assert {r.hit for r in got if r.plant_id == "two"} == {1, 2} and {r.hit for r in got if r.plant_id == "seven"} == {1, 2, 3, 5, 6, 8, 9}
