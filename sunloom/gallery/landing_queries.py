@@ -1,12 +1,16 @@
 """Landed payloads, parsing, clock repair, catalogue rules and row-level merges."""
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from sunloom.functions import labels, timegrid as tg, values as V
 from sunloom.gallery.registry import query
 from sunloom.operators import bins, keys as K
+from sunloom.session import checkpoint_ready
 from sunloom.sources import landing as L, tables as TB
+from sunloom.sources.versions import VersionedTable
 
 P = ["plant_id"]
 
@@ -209,15 +213,36 @@ def split(t):
     return TB.split_upsert(old, new, ["l_orderkey", "l_linenumber"]).groupBy("action").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("s14_replace_range",
-       """SELECT plant_id, ts_15, p_ac_w FROM power_15 WHERE NOT (plant_id % 2 = 0 AND ts_15 >= TIMESTAMP '2024-01-10' AND ts_15 < TIMESTAMP '2024-01-15')
-          UNION ALL SELECT plant_id, ts_utc, ghi FROM weather WHERE plant_id % 2 = 0 AND ts_utc >= TIMESTAMP '2024-01-10' AND ts_utc < TIMESTAMP '2024-01-15'""", ["p_ac_w"])
-def replace_range(t):
+REPLACED = """SELECT plant_id, ts_15, p_ac_w FROM power_15 WHERE NOT (plant_id % 2 = 0 AND ts_15 >= TIMESTAMP '2024-01-10' AND ts_15 < TIMESTAMP '2024-01-15')
+          UNION ALL SELECT plant_id, ts_utc, ghi FROM weather WHERE plant_id % 2 = 0 AND ts_utc >= TIMESTAMP '2024-01-10' AND ts_utc < TIMESTAMP '2024-01-15'"""
+
+
+def replacement(t):
+    """Quarter-hours of power, those that replace them in even plants, and the ranges these take."""
     target = bins.bucket_power(t.telemetry, P).select("plant_id", "ts_15", "p_ac_w")
     lo, hi = F.lit("2024-01-10").cast("timestamp"), F.lit("2024-01-15").cast("timestamp")
     r = t.ranges.filter("plant_id % 2 = 0").select("plant_id", lo.alias("range_start"), hi.alias("range_end"))
     new = L.in_range(t.weather.filter("plant_id % 2 = 0"), lo, hi).select("plant_id", F.col("ts_utc").alias("ts_15"), F.col("ghi").alias("p_ac_w"))
-    return TB.replace_range(target, new, r, P, "ts_15")
+    return target, new, r
+
+
+@query("s14_replace_range", REPLACED, ["p_ac_w"])
+def replace_range(t):
+    return TB.replace_range(*replacement(t), P, "ts_15")
+
+
+@query("s14_replace_after_lost_writer", REPLACED, ["p_ac_w"])
+def replace_after_loss(t):
+    """A writer is lost after staging; the table keeps its rows and the repeated write takes effect once."""
+    target, new, r = replacement(t)
+    target, new = [x.withColumn("day", F.to_date("ts_15")) for x in (target, new)]
+    root = checkpoint_ready(t.spark).sparkContext.getCheckpointDir()
+    table = VersionedTable(t.spark, f"{root}/replaced-{uuid.uuid4().hex}", target.schema, ("day",))
+    table.replace(target, r.filter(F.lit(False)), P, "ts_15", batch="import")
+    table.stage(new)
+    table.replace(new, r, P, "ts_15", batch="weather")
+    table.replace(new, r, P, "ts_15", batch="weather")
+    return table.read().drop("day")
 
 
 @query("s14_replace_overlapping_events",

@@ -1,10 +1,16 @@
 """Streams run to their end over the event files, compared with the batch answers."""
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
-from sunloom.config import BucketConfig
+from sunloom.config import BucketConfig, EventConfig
+from sunloom.functions import timegrid as tg
+from sunloom.gallery.landing_queries import REPLACED, replacement
 from sunloom.gallery.registry import query
+from sunloom.session import checkpoint_ready
+from sunloom.sources.versions import VersionedTable
 from sunloom.streaming import jobs as J
 
 P = ["plant_id"]
@@ -30,32 +36,65 @@ def live(t):
     return _Stream(t).tables
 
 
-@query("i04_stream_drop_repeats", "SELECT count(DISTINCT (device_key, date_trunc('minute', ts_utc))) AS n FROM telemetry")
+# every sixteenth row is delivered when its bucket has long been closed
+LATE = "event_id % 16 = 5"
+
+
+def delivered(rows, job, time="ts_utc"):
+    """Two halves of the month in time order, the row that closes them, then the late rows; all rows are delivered."""
+    late, first = F.expr(LATE), F.dayofmonth(time) <= 15
+    parts = [rows.filter(~late & first), rows.filter(~late & ~first), J.closing_row(rows, time), rows.filter(late)]
+    landed, closed = J.run_deliveries(parts, job)
+    return landed.filter("event_id IS NOT NULL"), closed
+
+
+@query("i04_stream_drop_repeats",
+       f"""WITH m AS (SELECT device_key, date_trunc('minute', ts_utc) AS ts_utc, bool_and({LATE}) AS only_late FROM telemetry GROUP BY 1, 2)
+           SELECT device_key, count_if(NOT only_late) AS n, count_if(only_late) AS late_n FROM m GROUP BY 1""", longs=["n", "late_n"])
 def repeats(t):
-    s = live(t).telemetry.withColumn("ts_utc", F.date_trunc("minute", "ts_utc")).select("device_key", "ts_utc")
-    return J.run_to_table(J.drop_repeats(s, ["device_key"], delay="60 days")).agg(F.count(F.lit(1)).alias("n"))
+    rows = t.telemetry.select("device_key", "event_id", F.date_trunc("minute", "ts_utc").alias("ts_utc"))
+    landed, kept = delivered(rows, lambda s: J.drop_repeats(s, ["device_key"]))
+    kept = kept.filter("event_id IS NOT NULL").groupBy("device_key").agg(F.count(F.lit(1)).alias("n"))
+    return J.count_late(landed.select("device_key", "ts_utc").distinct(), kept, ["device_key"], "n").withColumn("n", F.coalesce("n", F.lit(0)))
 
 
 @query("i05_stream_buckets",
-       "SELECT plant_id, ts_15, p_ac_w, e_ac_wh_15, inv_n, inv_coverage, inv_coverage < 0.7 AS flag_low_coverage FROM power_15", ["p_ac_w", "e_ac_wh_15", "inv_coverage"])
+       f"""WITH b AS (SELECT plant_id, time_bucket(INTERVAL 15 MINUTE, ts_utc) AS ts_15, avg(p_ac_w) FILTER (NOT ({LATE})) AS p_ac_w, sum(p_ac_w * (5.0::DOUBLE / 60.0::DOUBLE)) FILTER (NOT ({LATE})) AS e_ac_wh_15,
+             nullif(count_if(NOT ({LATE})), 0) AS inv_n, count_if({LATE}) AS late_n FROM telemetry GROUP BY 1, 2)
+           SELECT plant_id, ts_15, p_ac_w, e_ac_wh_15, inv_n, CASE WHEN inv_n IS NOT NULL THEN least(inv_n / 3.0::DOUBLE, 1.0::DOUBLE) END AS inv_coverage,
+             CASE WHEN inv_n IS NOT NULL THEN least(inv_n / 3.0::DOUBLE, 1.0::DOUBLE) < 0.7 END AS flag_low_coverage, late_n FROM b""",
+       ["p_ac_w", "e_ac_wh_15", "inv_coverage"], longs=["inv_n", "late_n"])
 def buckets(t):
-    return J.run_to_table(J.bucket_power(live(t).telemetry, P, BucketConfig(mean_cols=("p_ac_w",))), "complete")
+    rows = t.telemetry.select("plant_id", "ts_utc", "p_ac_w", "event_id")
+    landed, closed = delivered(rows, lambda s: J.bucket_power(s, P, BucketConfig(mean_cols=("p_ac_w",))))
+    return J.count_late(landed.select("plant_id", tg.floor_to("ts_utc").alias("ts_15")), closed, ["plant_id", "ts_15"], "inv_n")
 
 
 @query("i06_stream_sky_stability",
-       """WITH w AS (SELECT plant_id, time_bucket(INTERVAL 15 MINUTE, ts_utc) + to_minutes(15 * k) AS ts_15, v_dc_v FROM telemetry, (SELECT unnest(range(0, 6)) AS k)), a AS (SELECT plant_id, ts_15, count(v_dc_v) AS n, avg(v_dc_v) AS m, stddev_pop(v_dc_v) AS s FROM w GROUP BY 1, 2)
-          SELECT plant_id, ts_15, CASE WHEN n >= 3 THEN s / m END AS gpoa_cv, coalesce(CASE WHEN n >= 3 THEN s / m END <= 0.08, false) AS stable_sky FROM a""", ["gpoa_cv"])
+       f"""WITH w AS (SELECT plant_id, time_bucket(INTERVAL 15 MINUTE, ts_utc) + to_minutes(15 * k) AS ts_15, v_dc_v, {LATE} AS late FROM telemetry, (SELECT unnest(range(0, 6)) AS k)),
+             a AS (SELECT plant_id, ts_15, count(v_dc_v) FILTER (NOT late) AS n, avg(v_dc_v) FILTER (NOT late) AS m, stddev_pop(v_dc_v) FILTER (NOT late) AS s, count_if(late) AS late_n FROM w GROUP BY 1, 2)
+           SELECT plant_id, ts_15, nullif(n, 0) AS n, CASE WHEN n >= 3 THEN s / m END AS gpoa_cv, CASE WHEN n > 0 THEN coalesce(CASE WHEN n >= 3 THEN s / m END <= 0.08, false) END AS stable_sky, late_n FROM a""",
+       ["gpoa_cv"], longs=["n", "late_n"])
 def stability(t):
-    s = live(t).telemetry.select("plant_id", F.col("ts_utc").alias("ts_15"), F.col("v_dc_v").alias("g_poa"))
-    return J.run_to_table(J.sky_stability(s, P), "complete")
+    rows = t.telemetry.select("plant_id", F.col("ts_utc").alias("ts_15"), F.col("v_dc_v").alias("g_poa"), "event_id")
+    landed, closed = delivered(rows, lambda s: J.sky_stability(s, P), "ts_15")
+    steps = F.explode(F.sequence(F.lit(0), F.lit(5)))
+    spread = landed.select("plant_id", tg.floor_to("ts_15").alias("bin"), steps.alias("k")).select("plant_id", F.expr("bin + make_interval(0, 0, 0, 0, 0, 15 * k)").alias("ts_15"))
+    return J.count_late(spread, closed, ["plant_id", "ts_15"], "n")
 
 
 @query("i07_stream_fault_sessions",
-       """WITH e AS (SELECT plant_id, ts_utc, sum(CASE WHEN p IS NULL OR ts_utc - p > INTERVAL 30 MINUTE THEN 1 ELSE 0 END) OVER (PARTITION BY plant_id ORDER BY ts_utc) AS isl FROM (SELECT plant_id, ts_utc, lag(ts_utc) OVER (PARTITION BY plant_id ORDER BY ts_utc) AS p FROM samples WHERE event_type = 'error'))
-          SELECT plant_id, count(*) AS n_bins, min(ts_utc) AS ts_start_utc, max(ts_utc) AS ts_end_utc FROM e GROUP BY plant_id, isl HAVING count(*) >= 2""")
+       f"""WITH o AS (SELECT plant_id, ts_utc, {LATE} AS late FROM samples WHERE event_type = 'error'),
+             e AS (SELECT plant_id, ts_utc, sum(CASE WHEN p IS NULL OR ts_utc - p > INTERVAL 30 MINUTE THEN 1 ELSE 0 END) OVER (PARTITION BY plant_id ORDER BY ts_utc) AS isl FROM (SELECT plant_id, ts_utc, lag(ts_utc) OVER (PARTITION BY plant_id ORDER BY ts_utc) AS p FROM o WHERE NOT late)),
+             s AS (SELECT plant_id, count(*) AS n_bins, min(ts_utc) AS ts_start_utc, max(ts_utc) AS ts_end_utc FROM e GROUP BY plant_id, isl HAVING count(*) >= 2),
+             l AS (SELECT plant_id, count_if(late) AS late_n FROM o GROUP BY 1)
+           SELECT plant_id, n_bins, ts_start_utc, ts_end_utc, late_n FROM l LEFT JOIN s USING (plant_id)""", longs=["n_bins", "late_n"])
 def sessions(t):
-    s = live(t).samples.filter("event_type = 'error'").select("plant_id", F.col("ts_utc").alias("ts_15"))
-    return J.run_to_table(J.fault_sessions(s, P), "complete")
+    rows = t.samples.filter("event_type = 'error'").select("plant_id", F.col("ts_utc").alias("ts_15"), "event_id")
+    landed, closed = delivered(rows, lambda s: J.fault_sessions(s, P, cfg=EventConfig(min_bins=1)), "ts_15")
+    taken = closed.groupBy(*P).agg(F.sum("n_bins").alias("taken"))
+    late = J.count_late(landed.select(*P), taken, P, "taken").drop("taken")
+    return late.join(closed.filter(F.col("n_bins") >= EventConfig().min_bins), P, "left")
 
 
 @query("i08_stream_filter_state",
@@ -66,3 +105,14 @@ def sessions(t):
 def filters(t):
     s = live(t).samples.withColumn("z", (F.col("value") - 50) / 50)
     return J.run_to_table(J.filter_state(s, "user_id", "ts_utc", "z", F.col("event_id") % 10 != 0)).drop("ts_utc", "late")
+
+
+@query("i09_stream_reprocess", REPLACED, ["p_ac_w"])
+def reprocessed(t):
+    target, new, _ = [x.withColumn("day", F.to_date("ts_15")) if "ts_15" in x.columns else x for x in replacement(t)]
+    root = f"{checkpoint_ready(t.spark).sparkContext.getCheckpointDir()}/reprocessed-{uuid.uuid4().hex}"
+    for delivery in (target, new):
+        delivery.write.mode("append").parquet(f"{root}/in")
+        s = t.spark.readStream.schema(target.schema).parquet(f"{root}/in")
+        J.reprocess(s, f"{root}/table", P, "ts_15", ["day"], f"{root}/log").awaitTermination()
+    return VersionedTable(t.spark, f"{root}/table", target.schema, ("day",)).read().drop("day")

@@ -14,6 +14,7 @@ from sunloom.functions import values as V
 from sunloom.operators.bins import BIN, mean_columns
 from sunloom.session import checkpoint_ready
 from sunloom.sources import tables as TB
+from sunloom.sources.versions import VersionedTable
 
 LATE = "2 hours"
 
@@ -41,7 +42,7 @@ def sky_stability(stream: DataFrame, keys: Sequence[str], g: str = "g_poa", time
     enough = (F.col("n") >= max(3, cfg.window // 2)) & (F.abs("mean") >= 1e-9)
     cv = F.when(enough, F.col("std") / F.abs("mean"))
     last = F.timestamp_seconds(F.unix_seconds("w.end") - 900)
-    return a.select(*keys, last.alias(time), cv.alias("gpoa_cv"), V.flag(cv <= cfg.max_cv).alias("stable_sky"))
+    return a.select(*keys, last.alias(time), "n", cv.alias("gpoa_cv"), V.flag(cv <= cfg.max_cv).alias("stable_sky"))
 
 
 def fault_sessions(stream: DataFrame, keys: Sequence[str], time: str = BIN, cfg: EventConfig = EventConfig(), delay: str = LATE) -> DataFrame:
@@ -91,11 +92,16 @@ def filter_state(stream: DataFrame, key: str, time: str, value: str, eligible: C
 
 
 def reprocess(stream: DataFrame, path: str, keys: Sequence[str], time: str, partitions: Sequence[str], checkpoint: str):
-    """Each micro-batch replaces its own time range of every series it touches."""
+    """Each micro-batch replaces its own time range of every series it touches; a replayed batch changes nothing.
 
-    def write(batch: DataFrame, _: int) -> None:
+    The result is a versioned table: read it with `VersionedTable(...).read()`.  Batches are named after the checkpoint,
+    so a stream that starts over with a new one applies its batches again.
+    """
+    table = VersionedTable(stream.sparkSession, path, stream.schema, tuple(partitions))
+
+    def write(batch: DataFrame, n: int) -> None:
         ranges = batch.groupBy(*keys).agg(F.min(time).alias("range_start"), F.timestamp_micros(F.unix_micros(F.max(time)) + 1).alias("range_end"))
-        TB.replace_range_table(batch, ranges, path, keys, time, partitions)
+        table.replace(batch, ranges, keys, time, batch=f"{checkpoint}#{n}")
 
     return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
@@ -112,6 +118,45 @@ def record_state(keys: Sequence[str], path: str) -> Callable[[DataFrame, int], N
     return write
 
 
+def closing_row(rows: DataFrame, time: str, after: str = "7 days") -> DataFrame:
+    """One row without any value but a time this far after the last one: it moves the watermark past all that came before.
+
+    Its own bucket stays open, so an append stream of groups never returns it.  An empty table has no last time: no row.
+    """
+    end = rows.agg((F.max(time) + F.expr(f"INTERVAL {after}")).alias(time)).filter(F.col(time).isNotNull())
+    return end.select(*[F.col(f.name) if f.name == time else F.lit(None).cast(f.dataType).alias(f.name) for f in rows.schema.fields])
+
+
+def run_deliveries(parts: Sequence[DataFrame], job: Callable[[DataFrame], DataFrame]) -> tuple[DataFrame, DataFrame]:
+    """(all delivered rows, what the append stream `job` returned) after the parts were landed one after the other.
+
+    Every delivery is an available-now run that goes on from the checkpoint of the one before, with its state and its
+    watermark; the file sink commits a batch as a whole, so a run that is repeated after a crash adds nothing twice.
+    """
+    spark: SparkSession = checkpoint_ready(parts[0].sparkSession)
+    root = f"{spark.sparkContext.getCheckpointDir()}/stream-{uuid.uuid4().hex}"
+    schema = parts[0].schema
+    for part in parts:
+        part.select(*schema.names).write.mode("append").parquet(f"{root}/in")
+        out = job(spark.readStream.schema(schema).parquet(f"{root}/in"))
+        sink = out.writeStream.format("parquet").option("path", f"{root}/rows").option("checkpointLocation", f"{root}/log")
+        sink.outputMode("append").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(schema).parquet(f"{root}/in"), spark.read.schema(out.schema).parquet(f"{root}/rows")
+
+
+def count_late(landed: DataFrame, closed: DataFrame, keys: Sequence[str], seen: str, late: str = "late_n") -> DataFrame:
+    """The closed groups with the number of landed rows that came too late for them.
+
+    `landed` has one row per delivered row and group, `closed` the number of rows that the stream took (`seen`).  A group
+    whose rows all came late is returned too, with no other values; null keys meet null keys.
+    """
+    there = landed.groupBy(*keys).agg(F.count(F.lit(1)).alias("__landed")).select(*[F.col(k).alias(f"__{k}") for k in keys], "__landed")
+    same = [F.col(f"__{k}").eqNullSafe(closed[k]) for k in keys]
+    j = there.join(closed, on=same, how="left")
+    rest = [c for c in closed.columns if c not in keys]
+    return j.select(*[F.col(f"__{k}").alias(k) for k in keys], *rest, (F.col("__landed") - F.coalesce(seen, F.lit(0))).alias(late))
+
+
 def run_to_table(stream: DataFrame, mode: str = "append") -> DataFrame:
     """Run an available-now stream to its end into a table in the shared checkpoint folder and read it."""
     spark: SparkSession = checkpoint_ready(stream.sparkSession)

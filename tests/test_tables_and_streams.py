@@ -1,12 +1,14 @@
 """Sinks, artefacts and streaming jobs against their batch twins."""
 import datetime as dt
 
+import pytest
 from pyspark.sql import functions as F
 
 from sunloom.operators import bins as B
 from sunloom.operators import series as S
 from sunloom.plans import classifier as CL
 from sunloom.sources import tables as TB
+from sunloom.sources.versions import VersionedTable
 from sunloom.streaming import jobs as J
 
 T0 = dt.datetime(2024, 5, 1)
@@ -97,8 +99,71 @@ def test_reprocess_replaces_its_range(spark, tmp_path):
     src, out = str(tmp_path / "in"), str(tmp_path / "out")
     s = land(spark, src, [[(1, 0, 1.0), (1, 15, 2.0)], [(1, 0, 5.0), (1, 15, 6.0)]]).withColumn("day", F.to_date("ts_utc"))
     J.reprocess(s, out, ["plant_id"], "ts_utc", ["day"], str(tmp_path / "log")).awaitTermination()
-    got = sorted(r.p_ac_w for r in spark.read.parquet(out).collect())
-    assert got in ([1.0, 2.0], [5.0, 6.0]) and len(got) == 2
+    table = VersionedTable(spark, out, s.schema, ("day",))
+    got = sorted(r.p_ac_w for r in table.read().collect())
+    assert got in ([1.0, 2.0], [5.0, 6.0]) and len(got) == 2 and table.commits() == [1, 2]
+
+
+def readings(spark, items):
+    day = lambda m: str((T0 + dt.timedelta(minutes=m)).date()) if m is not None else None
+    at = lambda m: None if m is None else T0 + dt.timedelta(minutes=m)
+    return spark.createDataFrame([(p, at(m), day(m), v) for p, m, v in items], "plant_id int, ts timestamp, day string, v double")
+
+
+def spans(spark, *items):
+    return spark.createDataFrame([(p, T0 + dt.timedelta(minutes=a), T0 + dt.timedelta(minutes=b)) for p, a, b in items], "plant_id int, range_start timestamp, range_end timestamp")
+
+
+def test_replacement_lost_before_its_commit_leaves_the_table_whole(spark, tmp_path, monkeypatch):
+    day = 24 * 60
+    first = readings(spark, [(1, 0, 1.0), (1, day, 2.0), (1, 2 * day, 3.0), (2, 5, 4.0), (None, None, 5.0), (2, 5, 4.0)])
+    table = VersionedTable(spark, str(tmp_path / "t"), first.schema, ("day",))
+    values = lambda: sorted(r.v for r in table.read().collect())
+    assert values() == []
+    table.replace(first, spans(spark), ["plant_id"], "ts", batch="a")
+    whole = [1.0, 2.0, 3.0, 4.0, 4.0, 5.0]
+    assert values() == whole
+    new, r = readings(spark, [(1, 10, 9.0)]), spans(spark, (1, 0, day + 1))
+
+    def lost(*_args, **_kw):
+        raise RuntimeError("lost")
+
+    with monkeypatch.context() as m:
+        m.setattr(VersionedTable, "commit", lost)
+        with pytest.raises(RuntimeError):
+            table.replace(new, r, ["plant_id"], "ts", batch="b")
+    assert values() == whole and table.commits() == [1] and not table.applied("b")
+    assert table.replace(new, r, ["plant_id"], "ts", batch="b") == 2
+    assert values() == [3.0, 4.0, 4.0, 5.0, 9.0]
+    assert table.replace(new, r, ["plant_id"], "ts", batch="b") is None and table.replace(first, r, ["plant_id"], "ts", batch="a") is None
+    assert values() == [3.0, 4.0, 4.0, 5.0, 9.0]
+    assert table.replace(readings(spark, []), spans(spark, (2, 0, day)), ["plant_id"], "ts") == 3
+    assert values() == [3.0, 5.0, 9.0]
+
+
+def test_of_two_writers_on_one_commit_the_second_fails(spark, tmp_path):
+    rows = readings(spark, [(1, 0, 1.0)])
+    table = VersionedTable(spark, str(tmp_path / "t"), rows.schema, ("day",))
+    table.commit(table.stage(rows), rows, rows, base=0)
+    with pytest.raises(FileExistsError):
+        table.commit(table.stage(rows), rows, rows, base=0)
+    assert table.read().count() == 1
+
+
+def test_deliveries_close_buckets_and_count_late_rows(spark):
+    make = lambda ms: spark.createDataFrame([(p, T0 + dt.timedelta(minutes=m), float(m), m) for p, m in ms], "plant_id int, ts_utc timestamp, p_ac_w double, event_id long")
+    on_time, late = [(p, m) for m in range(0, 300, 5) for p in (1, None)], [(1, 7), (1, 8), (None, 3), (2, 4)]
+    job = lambda s: J.bucket_power(s, ["plant_id"])
+    landed, closed = J.run_deliveries([make(on_time[:40]), make(on_time[40:]), J.closing_row(make(on_time), "ts_utc"), make(late)], job)
+    landed = landed.filter("event_id IS NOT NULL")
+    out = J.count_late(landed.select("plant_id", F.window("ts_utc", "15 minutes").start.alias("ts_15")), closed, ["plant_id", "ts_15"], "inv_n")
+    rows = {(r.plant_id, (r.ts_15 - T0).seconds // 60): r for r in out.collect()}
+    assert {k: r.late_n for k, r in rows.items() if r.late_n} == {(1, 0): 2, (None, 0): 1, (2, 0): 1}
+    assert rows[2, 0].inv_n is None and len(rows) == 41
+    batch = B.bucket_power(make(on_time), ["plant_id"]).select("plant_id", "ts_15", "p_ac_w", "inv_n")
+    live = out.filter("inv_n IS NOT NULL").select("plant_id", "ts_15", "p_ac_w", "inv_n")
+    assert live.exceptAll(batch).isEmpty() and batch.exceptAll(live).isEmpty()
+    assert J.closing_row(make([(1, 1)]).limit(0), "ts_utc").isEmpty()
 
 
 def test_ingest_state_writer(spark, tmp_path):
