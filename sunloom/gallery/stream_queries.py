@@ -11,7 +11,7 @@ from sunloom.gallery.landing_queries import REPLACED, replacement
 from sunloom.gallery.registry import query
 from sunloom.session import checkpoint_ready
 from sunloom.sources.versions import VersionedTable
-from sunloom.streaming import jobs as J
+from sunloom.streaming import filters as X, jobs as J
 
 P = ["plant_id"]
 
@@ -40,11 +40,14 @@ def live(t):
 LATE = "event_id % 16 = 5"
 
 
-def delivered(rows, job, time="ts_utc"):
+def in_parts(rows, time="ts_utc"):
     """Two halves of the month in time order, the row that closes them, then the late rows; all rows are delivered."""
     late, first = F.expr(LATE), F.dayofmonth(time) <= 15
-    parts = [rows.filter(~late & first), rows.filter(~late & ~first), J.closing_row(rows, time), rows.filter(late)]
-    landed, closed = J.run_deliveries(parts, job)
+    return [rows.filter(~late & first), rows.filter(~late & ~first), J.closing_row(rows, time), rows.filter(late)]
+
+
+def delivered(rows, job, time="ts_utc"):
+    landed, closed = J.run_deliveries(in_parts(rows, time), job)
     return landed.filter("event_id IS NOT NULL"), closed
 
 
@@ -98,13 +101,19 @@ def sessions(t):
 
 
 @query("i08_stream_filter_state",
-       """WITH RECURSIVE r AS MATERIALIZED (SELECT user_id, event_id, (value - 50) / 50 AS z, event_id % 10 <> 0 AS ok, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS i FROM events),
+       f"""WITH RECURSIVE r AS MATERIALIZED (SELECT user_id, event_id, (value - 50) / 50 AS z, event_id % 10 <> 0 AS ok, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS i FROM events WHERE NOT ({LATE})),
           f(user_id, i, e, up, dn) AS (SELECT DISTINCT user_id, 0::BIGINT, NULL::DOUBLE, 0.0::DOUBLE, 0.0::DOUBLE FROM r UNION ALL SELECT r.user_id, r.i, CASE WHEN NOT ok THEN e WHEN e IS NULL THEN z ELSE 0.2::DOUBLE * z + 0.8::DOUBLE * e END,
             CASE WHEN ok THEN greatest(0, up + z - 0.5) ELSE 0 END, CASE WHEN ok THEN greatest(0, dn - z - 0.5) ELSE 0 END FROM f JOIN r ON r.user_id = f.user_id AND r.i = f.i + 1)
-          SELECT CAST(r.user_id AS VARCHAR) AS series, event_id AS tie, CASE WHEN ok THEN e END AS ewma_z, CASE WHEN ok THEN greatest(up, dn) END AS cusum_score FROM f JOIN r ON r.user_id = f.user_id AND r.i = f.i""", ["ewma_z", "cusum_score"], recursive=True)
+          SELECT CAST(r.user_id AS VARCHAR) AS series, event_id AS tie, CASE WHEN ok THEN e END AS ewma_z, CASE WHEN ok THEN greatest(up, dn) END AS cusum_score, false AS late FROM f JOIN r ON r.user_id = f.user_id AND r.i = f.i
+          UNION ALL SELECT CAST(user_id AS VARCHAR), event_id, NULL, NULL, true FROM events WHERE {LATE}""", ["ewma_z", "cusum_score"], recursive=True)
 def filters(t):
-    s = live(t).samples.withColumn("z", (F.col("value") - 50) / 50)
-    return J.run_to_table(J.filter_state(s, "user_id", "ts_utc", "z", F.col("event_id") % 10 != 0)).drop("ts_utc", "late")
+    rows = t.samples.select("user_id", "ts_utc", "event_id", ((F.col("value") - 50) / 50).alias("z"))
+    root = f"{checkpoint_ready(t.spark).sparkContext.getCheckpointDir()}/filters-{uuid.uuid4().hex}"
+    for part in in_parts(rows):
+        part.select(*rows.columns).write.mode("append").parquet(f"{root}/in")
+        s = t.spark.readStream.schema(rows.schema).parquet(f"{root}/in")
+        X.filter_state(s, root, "user_id", "ts_utc", "z", F.col("event_id") % 10 != 0, "event_id")
+    return X.finished(t.spark, root).drop("time")
 
 
 @query("i09_stream_reprocess", REPLACED, ["p_ac_w"])

@@ -1,13 +1,11 @@
-"""Streaming twins: deduplication, buckets, stability, sessions, filter state and reprocessing."""
+"""Streaming twins: deduplication, buckets, stability, sessions and reprocessing; the filters are in `filters`."""
 from __future__ import annotations
 
 import uuid
-from collections.abc import Callable, Iterator, Sequence
+from collections.abc import Callable, Sequence
 
-import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from sunloom.config import BucketConfig, DetectConfig, EventConfig
 from sunloom.functions import values as V
@@ -53,44 +51,6 @@ def fault_sessions(stream: DataFrame, keys: Sequence[str], time: str = BIN, cfg:
     return a.filter(F.col("n_bins") >= cfg.min_bins).drop("w")
 
 
-def filter_state(stream: DataFrame, key: str, time: str, value: str, eligible: Column, cfg: DetectConfig = DetectConfig()) -> DataFrame:
-    """EWMA and two-sided CUSUM per series, carried from batch to batch in the state store.
-
-    Rows of one series arrive together and are put in order of time and tie; a row that comes after a later one was
-    processed changes nothing and is handed on with `late` true and no values.
-    """
-    lam, k = cfg.ewma_lambda, cfg.cusum_k
-
-    def step(_: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        rows = pd.concat(list(batches)).sort_values(["t", "tie"], kind="stable")
-        ewma, seeded, up, down, *last = state.get if state.exists else (0.0, False, 0.0, 0.0, -(2**62), -(2**62))
-        late = (rows["t"] < last[0]) | ((rows["t"] == last[0]) & (rows["tie"] <= last[1]))
-        out = []
-        for z, ok, behind in zip(rows["z"], rows["ok"], late):
-            if behind:
-                out.append((None, None))
-            elif ok and pd.notna(z):
-                ewma, seeded = (lam * z + (1.0 - lam) * ewma, True) if seeded else (z, True)
-                up, down = max(0.0, up + z - k), max(0.0, down - z - k)
-                out.append((ewma, max(up, down)))
-            else:
-                up = down = 0.0
-                out.append((None, None))
-        if not late.all():
-            last = rows.loc[~late, ["t", "tie"]].to_numpy()[-1].tolist()
-        state.update((float(ewma), bool(seeded), float(up), float(down), *last))
-        yield rows[["series", "t", "tie"]].assign(ewma_z=[o[0] for o in out], cusum_score=[o[1] for o in out], late=late)
-
-    tie = F.col("event_id") if "event_id" in stream.columns else F.lit(0).cast("long")
-    rows = stream.select(F.col(key).cast("string").alias("series"), F.unix_micros(time).alias("t"), tie.alias("tie"), F.col(value).alias("z"), V.flag(eligible).alias("ok"))
-    out = rows.groupBy("series").applyInPandasWithState(
-        step, "series string, t long, tie long, ewma_z double, cusum_score double, late boolean",
-        "ewma double, seeded boolean, up double, down double, last long, last_tie long",
-        "append", GroupStateTimeout.NoTimeout,
-    )
-    return out.withColumn(time, F.timestamp_micros("t")).drop("t")
-
-
 def reprocess(stream: DataFrame, path: str, keys: Sequence[str], time: str, partitions: Sequence[str], checkpoint: str):
     """Each micro-batch replaces its own time range of every series it touches; a replayed batch changes nothing.
 

@@ -9,7 +9,7 @@ from sunloom.operators import series as S
 from sunloom.plans import classifier as CL
 from sunloom.sources import tables as TB
 from sunloom.sources.versions import VersionedTable
-from sunloom.streaming import jobs as J
+from sunloom.streaming import filters as X, jobs as J
 
 T0 = dt.datetime(2024, 5, 1)
 
@@ -81,18 +81,50 @@ def test_stream_buckets_equal_batch(spark, tmp_path):
     assert 0 < closed.count() < batch.count()
 
 
-def test_stream_filter_state_crosses_batches(spark, tmp_path):
-    path = str(tmp_path / "in")
-    s = land(spark, path, [[(1, m, (m % 7) / 3.0 - 1) for m in range(a, a + 40)] for a in (0, 40, 80)])
+def filtered(spark, root, parts, **kw):
+    """The finished rows of deliveries [(plant, minute, value)] and a closing row, by (series, minute)."""
+    make = lambda items: spark.createDataFrame([(p, T0 + dt.timedelta(minutes=m), v, m) for p, m, v in items], "plant_id int, ts_utc timestamp, p_ac_w double, event_id long")
+    everything = make([r for part in parts for r in part])
+    for part in [*map(make, parts), J.closing_row(everything, "ts_utc")]:
+        part.coalesce(1).write.mode("append").parquet(f"{root}/in")
+        s = spark.readStream.schema(everything.schema).parquet(f"{root}/in")
+        X.filter_state(s, str(root), "plant_id", "ts_utc", "p_ac_w", F.col("event_id") % 9 != 0, "event_id", **kw)
+    return everything, {(r.series, r.tie): r for r in X.finished(spark, str(root)).collect()}
+
+
+def test_stream_filters_equal_batch_whatever_the_cuts(spark, tmp_path):
+    rows = [(p, m, None if m % 17 == 3 else (m * (p + 1) % 7) / 3.0 - 1) for p in (1, 2) for m in range(240)]
+    # neighbours swapped across deliveries, all within the delay
+    mixed = sorted(rows, key=lambda r: r[1] + 50 * (r[1] * 7 % 3))
+    cuts = [[rows], [mixed[:100], mixed[100:230], mixed[230:]]]
+    answers = [filtered(spark, tmp_path / str(n), parts) for n, parts in enumerate(cuts)]
     ok = F.col("event_id") % 9 != 0
-    live = {r.tie: (r.ewma_z, r.cusum_score) for r in J.run_to_table(J.filter_state(s, "plant_id", "ts_utc", "p_ac_w", ok)).collect()}
     ser = S.for_ewma(S.Series(("plant_id",), "ts_utc"), 0.2)
-    b = S.add_filters(S.blocks(spark.read.parquet(path), ser), ser, "p_ac_w", ok, 0.2, 0.5)
-    for r in b.collect():
-        e, c = live[r.event_id]
-        assert (e is None) == (r.ewma is None)
-        if e is not None:
-            assert abs(e - r.ewma) < 1e-12 and abs(c - r.cusum_score) < 1e-12
+    batch = S.add_filters(S.blocks(answers[0][0], ser), ser, "p_ac_w", ok, 0.2, 0.5).collect()
+    for _, live in answers:
+        assert len(live) == len(rows) and not any(r.late for r in live.values())
+        for r in batch:
+            got = live[str(r.plant_id), r.event_id]
+            assert (got.ewma_z is None) == (r.ewma is None) and (got.cusum_score is None) == (r.cusum_score is None)
+            if r.ewma is not None:
+                assert abs(got.ewma_z - r.ewma) < 1e-9 and abs(got.cusum_score - r.cusum_score) < 1e-9
+
+
+def test_stream_filters_late_rows_idle_series_and_replay(spark, tmp_path):
+    day = 24 * 60
+    parts = [[(1, m, 1.0) for m in range(1, 8)], [(2, 3 * day, 1.0), (1, 3 * day + 1, 0.0)], [(1, 2, 5.0), (None, 3 * day + 2, 1.0)], [(1, 9 * day + 2, 0.0)]]
+    _, out = filtered(spark, tmp_path / "a", parts, idle_s=4 * 86400)
+    late = X.finished(spark, str(tmp_path / "a")).filter("late").collect()
+    assert [(r.series, r.tie, r.ewma_z, r.cusum_score) for r in late] == [("1", 2, None, None)]
+    # 0.8 of the mean is left after a zero; after more than four idle days the series starts anew
+    assert abs(out["1", 3 * day + 1].ewma_z - 0.8) < 1e-9 and out[None, 3 * day + 2].ewma_z == 1.0
+    assert out["1", 9 * day + 2].ewma_z == 0.0
+    _, once = filtered(spark, tmp_path / "b", [[r for n, part in enumerate(parts) for r in part if (n, r[1]) != (2, 2)]], idle_s=4 * 86400)
+    later = lambda rows: {k: pytest.approx((r.ewma_z, r.cusum_score), nan_ok=True) for k, r in rows.items() if k[1] > 2 * day}
+    assert len(later(out)) == 4 and later(out).keys() == later(once).keys()
+    assert all((out[k].ewma_z, out[k].cusum_score) == v for k, v in later(once).items())
+    n = len(X._finished(spark, str(tmp_path / "a")))
+    assert n == 5 and len([p for p in (tmp_path / "a" / "carry").iterdir()]) == 2
 
 
 def test_reprocess_replaces_its_range(spark, tmp_path):
