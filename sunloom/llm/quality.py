@@ -18,6 +18,7 @@ NOTICE_SIGNS = (
     "\u00a9", "\\(c\\)", "copyright", "https?:", "www\\.", "licen[cs]es?", "cc by", "public domain", "newsletter", "dolor", "we use", "by using", "continuing",
     "(?:our|this) (?:web)?site", "your (?:browser|account|e-?mail|inbox|consent|preferences|password)",
 )
+_BLANK = r"[ \t\x0B\f\r]"
 SYMBOLS = "#*$%&|<>"
 #: characters that end a sentence, in any script
 ENDS = (
@@ -55,6 +56,10 @@ def _ended(text: Column) -> Column:
     return text.rlike(f"[{ENDS}]")
 
 
+def _solid(line: Column) -> Column:
+    return line.rlike(r"[^ \t\n\x0B\f\r]")
+
+
 def _phrase(*choices: str) -> str:
     return rf"(?<![\p{{L}}\p{{N}}])(?:{'|'.join(choices)})(?![\p{{L}}\p{{N}}])"
 
@@ -80,25 +85,27 @@ def _with_unended(rows: DataFrame, rules: LineRules) -> DataFrame:
     """Adds unended: lines of many words in paragraphs without a sentence end; null for texts whose lines all have one.
 
     A paragraph is a line with those that go on from it. The next line goes on if this one does not stop at a sentence end and it
-    begins with a letter that is not a capital, or if the text is no wider than `wrap_columns` and its first word had no place here.
-    A line that stands in several paragraphs is unended if all of them are.
+    begins with a letter that is not a capital, or if its first word had no place here: in lines between two blank ones that are
+    no wider than `wrap_columns`. A line that stands in several paragraphs is unended if all of them are.
     """
     doubtful = lambda line: ~_ended(line) & (_words(line) >= rules.unended_words)
-    rows = rows.withColumn("raw", F.when(F.exists("lines", doubtful), F.split("text", "\n")))
-    rows = rows.withColumn("widest", F.array_max(F.transform("raw", lambda line: F.length(line))))
+    stretches = F.transform(F.split("text", rf"\n(?:{_BLANK}*\n)+"), lambda stretch: F.split(stretch, "\n"))
+    wide = lambda line: F.when(_solid(line), F.length(line))
+    wide_ones = lambda lines: F.struct(lines.alias("lines"), F.array_max(F.transform(lines, wide)).alias("widest"))
+    rows = rows.withColumn("stretches", F.when(F.exists("lines", doubtful), F.transform(stretches, wide_ones)))
 
-    def glued(line: Column, i: Column) -> Column:
-        after = F.get("raw", i + 1)
-        first = F.length(F.regexp_extract(after, r"^\s*(\S+)", 1))
-        full = (F.col("widest") <= rules.wrap_columns) & (first > 0) & (F.length(line) + 1 + first > F.col("widest"))
-        on = ~line.rlike(rf"[{ENDS}][\p{{Pe}}\p{{Pf}}\"']*\s*$") & (after.rlike(r"^\s*[\p{Ll}\p{Lo}]") | full)
-        return F.when(~line.rlike(r"[^ \t\n\x0B\f\r]"), "").otherwise(F.concat(line, F.when(on, "\n").otherwise("\n\n")))
+    def glued(line: Column, after: Column, widest: Column) -> Column:
+        first = F.length(F.regexp_extract(after, rf"^{_BLANK}*([^ \t\x0B\f\r]+)", 1))
+        full = (widest <= rules.wrap_columns) & (first > 0) & (F.length(line) + 1 + first > widest)
+        on = ~line.rlike(rf"[{ENDS}][\p{{Pe}}\p{{Pf}}\"']*{_BLANK}*$") & (after.rlike(rf"^{_BLANK}*[\p{{Ll}}\p{{Lo}}]") | full)
+        return F.when(~_solid(line), "").otherwise(F.concat(line, F.when(on, "\n").otherwise("\n\n")))
 
     # no line holds a line feed, so two of them part paragraphs
-    rows = rows.withColumn("paragraphs", F.split(F.array_join(F.transform("raw", glued), ""), "\n\n"))
+    together = lambda x: F.array_join(F.transform(x["lines"], lambda line, i: glued(line, F.get(x["lines"], i + 1), x["widest"])), "")
+    rows = rows.withColumn("paragraphs", F.flatten(F.transform("stretches", lambda x: F.split(together(x), "\n\n"))))
     of = lambda keep: F.flatten(F.transform(F.filter("paragraphs", keep), lambda p: F.split(p, "\n")))
     never = F.filter(of(lambda p: ~_ended(p)), lambda line: _words(line) >= rules.unended_words)
-    return rows.withColumn("unended", F.array_except(never, of(_ended))).drop("raw", "widest", "paragraphs")
+    return rows.withColumn("unended", F.array_except(never, of(_ended))).drop("stretches", "paragraphs")
 
 
 def _measured(rows: DataFrame) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sunloom.llm.common import table
+from sunloom.llm.quality import ENDS, NOTICE_SIGNS, NOTICES
 from sunloom.session import prepare
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -26,21 +27,52 @@ def query(sql: str | None = None):
     return register
 
 
-LINES_SQL = r"""
+def _standing(choices: str) -> str:
+    """One of these between characters that are no letters or digits."""
+    return rf"(?:^|[^\p{{L}}\p{{N}}])(?:{choices})(?:$|[^\p{{L}}\p{{N}}])"
+
+
+_ONE = "|".join(NOTICES)
+_TWO = rf"(?s)(?:^|[^\p{{L}}\p{{N}}])(?:{_ONE})[^\p{{L}}\p{{N}}](?:.*[^\p{{L}}\p{{N}}])?(?:{_ONE})(?:$|[^\p{{L}}\p{{N}}])"
+_BARE = "|".join(x for x in NOTICE_SIGNS if x[0] in "\u00a9\\")
+_OPEN = "|".join(x for x in NOTICE_SIGNS if x[-1] in ":." and x[0] != "\\")
+_CLOSED = "|".join(x for x in NOTICE_SIGNS if x[-1] not in ":." and x[0] not in "\u00a9\\")
+_SIGN = rf"(?i)(?:{_BARE})|(?:^|[^\p{{L}}\p{{N}}])(?:{_OPEN})|{_standing(_CLOSED)}"
+
+LINES_SQL = rf"""
+solid AS (
+  SELECT * FROM (
+    SELECT *, regexp_matches(line, '[^ \t\n\x0B\f\r]') AS holds, count_if(NOT regexp_matches(line, '[^ \t\n\x0B\f\r]')) OVER (PARTITION BY doc_id ORDER BY pos) AS stretch
+    FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS pos FROM docs)
+  ) WHERE holds
+),
+beside AS (
+  SELECT *, lead(line) OVER (PARTITION BY doc_id, stretch ORDER BY pos) AS after, max(length(line)) OVER (PARTITION BY doc_id, stretch) AS widest FROM solid
+),
+flows AS (
+  SELECT *, after IS NOT NULL AND NOT regexp_matches(line, '[{ENDS}][\p{{Pe}}\p{{Pf}}"'']*[ \t\x0B\f\r]*[\x{{85}}\x{{2028}}\x{{2029}}]?$')
+    AND (regexp_matches(after, '^[ \t\x0B\f\r]*[\p{{Ll}}\p{{Lo}}]')
+      OR (widest <= 120 AND length(line) + 1 + length(regexp_extract(after, '^[ \t\x0B\f\r]*([^ \t\x0B\f\r]+)', 1)) > widest)) AS goes_on
+  FROM beside
+),
+numbered AS (
+  SELECT *, sum(CASE WHEN went_on THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id ORDER BY pos) AS paragraph
+  FROM (SELECT *, lag(goes_on) OVER (PARTITION BY doc_id ORDER BY pos) AS went_on FROM flows)
+),
+closed AS (SELECT *, bool_or(regexp_matches(line, '[{ENDS}]')) OVER (PARTITION BY doc_id, paragraph) AS ended FROM numbered),
 judged AS (
-  SELECT doc_id, pos, line, length(line) AS chars,
+  SELECT doc_id, pos, line, length(line) AS chars, translate(line, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS small,
     octet_length(encode(line)) - octet_length(encode(replace(line, ' ', ''))) + 1 AS words,
     octet_length(encode(line)) - octet_length(encode(regexp_replace(line, '[#*$%&|<>]', '', 'g'))) AS symbols,
-    row_number() OVER (PARTITION BY doc_id, line ORDER BY pos) AS nth
-  FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS pos FROM docs)
-  WHERE regexp_matches(line, '[^ \t\n\x0B\f\r]')
+    row_number() OVER (PARTITION BY doc_id, line ORDER BY pos) AS nth, bool_or(ended) OVER (PARTITION BY doc_id, line) AS ended
+  FROM closed
 ),
 verdicts AS (
   SELECT *, nth > 1
     OR 100 * symbols > 30 * words
-    OR (NOT regexp_matches(line, '\p{Ll}') AND regexp_matches(line, '\p{Lu}.*\p{Lu}') AND words > 1)
-    OR (NOT regexp_matches(line, '[.!?\x{2026}\x{3002}]') AND words >= 5)
-    OR (words <= 30 AND regexp_matches(line, '(?i)all rights reserved|cookie policy|cookies|privacy policy|terms of use|terms of service|javascript|lorem ipsum|licensed under|released under|subscribe|sign in|log in|read more|click here')) AS fails
+    OR (NOT regexp_matches(line, '\p{{Ll}}') AND regexp_matches(line, '\p{{Lu}}[^\n\r\x{{85}}\x{{2028}}\x{{2029}}]*\p{{Lu}}') AND words > 1)
+    OR (NOT ended AND words >= 5)
+    OR (words <= 30 AND regexp_matches(small, '{_standing(_ONE)}') AND (words <= 3 OR regexp_matches(small, '{_TWO}') OR regexp_matches(line, '{_SIGN}'))) AS fails
   FROM judged
 ),
 lines AS (

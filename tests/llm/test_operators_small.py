@@ -394,6 +394,56 @@ def test_quality_keeps_wrapped_prose_and_plain_uses_of_notice_words(docs_of):
     assert got[:7] == docs[:7] and got[7] == prose(9) == got[8] and got[9] == docs[9].replace("\n\n", "\n")
 
 
+def test_quality_equals_its_sql_on_wrapped_signed_and_foreign_lines(docs_of):
+    import random
+    import textwrap
+
+    import duckdb
+
+    from sunloom.llm.quality import quality_verdict
+    from sunloom.llm.queries import QUALITY_SQL
+
+    rng = random.Random(7)
+    ends = list("!.?\u0964\u06d4\u061f\uff01\u3002\u2026")
+    odd = ["", "  ", "\t", "HOME NEWS SPORT", "# * | < >", "cookies cookie policy", "We use cookies here, and cookies there", "sign in", "Sign in or log in at any later time",
+           "design in the catalog inn released", "read more at https://x.org", "\u00a9 someone, all rights reserved by others", "Home about contact help news", "home about contact help news",
+           "\u4e2d\u6587 \u5b57 \u5b57 \u5b57 \u5b57", "a line that ends.\u2028", 'he said "well then we go.") ', "five words and\rone return", "x" * 130 + " long lines of many words"]
+
+    def sentence():
+        words = ["".join(rng.choices("abcde\u0434\u4e2d\u00e9", k=rng.randint(1, 9))) for _ in range(rng.randint(3, 18))]
+        return " ".join(words).capitalize() + rng.choice([*ends, *ends, "", ",", '."'])
+
+    texts = []
+    for _ in range(300):
+        parts = []
+        for _ in range(rng.randint(1, 9)):
+            prose = " ".join(sentence() for _ in range(rng.randint(1, 6)))
+            parts.append(textwrap.fill(prose, rng.choice([30, 60, 100, 119, 200])) if rng.random() < 0.7 else rng.choice(odd))
+        texts.append("".join(p + rng.choice(["\n", "\n\n", "\n \n"]) for p in parts))
+    columns = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"]
+    got = quality_verdict(docs_of(enumerate(texts))).select(*columns, "lost_chars").collect()
+    con = duckdb.connect()
+    con.execute("CREATE TABLE documents (doc_id BIGINT, text VARCHAR)")
+    con.executemany("INSERT INTO documents VALUES (?, ?)", list(enumerate(texts)))
+    want = con.execute(QUALITY_SQL.replace("SELECT doc_id, n_words, word_chars", "SELECT doc_id, lost_chars, n_words, word_chars")).fetchdf()
+    want = {int(r.doc_id): (*[int(r[c]) for c in columns[1:]], int(r.lost_chars)) for _, r in want.iterrows()}
+    mine = {r.doc_id: (*[int(r[c]) for c in columns[1:]], r.lost_chars) for r in got}
+    assert {i: (mine[i], want[i], texts[i]) for i in mine if mine[i] != want[i]} == {}
+    assert 30 < sum(r.kept for r in got) < 270
+
+
+def test_one_long_line_does_not_change_how_other_paragraphs_are_read(docs_of):
+    import textwrap
+
+    from sunloom.llm.quality import quality_verdict
+
+    prose = " ".join(" ".join(f"Name{k}x{j}" for j in range(14)) + "." for k in range(12))
+    wrapped = textwrap.fill(prose, 72)
+    long = " ".join(f"Other{j}" for j in range(40)) + "."
+    got = {r.doc_id: r for r in quality_verdict(docs_of([(1, wrapped), (2, wrapped + "\n\n" + long)])).collect()}
+    assert got[1].lost_chars == got[2].lost_chars == 0 and got[1].kept and got[2].kept
+
+
 def test_exact_copies(spark, docs_of):
     from sunloom.llm.common import scratch_path
     from sunloom.llm.exact import DigestIndex, drop_exact_duplicates, exact_duplicates
