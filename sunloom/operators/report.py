@@ -11,7 +11,7 @@ from sunloom.functions import values as V
 from sunloom.operators import events as E
 from sunloom.operators import keys as K
 from sunloom.operators import totals as TT
-from sunloom.operators.bins import BIN
+from sunloom.operators.bins import BIN, over_steps
 
 NONE, OK, WARN, CRIT = 0, 1, 2, 3
 QUIET = ("", "-", "invalid", "normal", "ok")
@@ -244,7 +244,7 @@ def heatmap(merged: DataFrame, diag: DataFrame, event_cells: DataFrame, keys: Se
 def dense_heatmap(cells: DataFrame, ranges: DataFrame, keys: Sequence[str], bin_minutes: int = 15) -> DataFrame:
     """Every bin of every day in the range; empty ones have state 0."""
     day = F.explode(F.sequence(F.to_date("range_start"), F.date_sub(F.to_date("range_end"), 1)))
-    full = ranges.select(*keys, day.alias("day")).withColumn("bin", F.explode(F.sequence(F.lit(0), F.lit(1440 // bin_minutes - 1)))).withColumn("bin", F.col("bin").cast("long"))
+    full = over_steps(ranges.select(*keys, day.alias("day")), "bin", 1440 // bin_minutes)
     out = full.join(cells, [*keys, "day", "bin"], "left")
     return out.withColumns({"state": F.coalesce("state", F.lit(NONE)), "label": F.coalesce("label", F.lit("sem_diagnostico"))})
 
