@@ -416,41 +416,55 @@ def inject_faults(trackers: DataFrame, keys: Sequence[str], copies: int = 6, day
     that the plant has rows of on that day.
     """
     c = F.col
-    there = trackers.groupBy(*keys, day).agg(F.sort_array(F.collect_set("mppt")).alias("_there"))
-    d = trackers.join(there, [*keys, day]).withColumn("copy", F.explode(F.sequence(F.lit(1), F.lit(copies))))
+    part = [*keys, day]
+    whole = Window.partitionBy(*part)
+    # what does not depend on the copy is told on the rows of a day, which one shuffle brings together; copies are made after it.
+    # the number of partitions is given: merged by their size before the copies they would hold too much after them
+    tasks = int(trackers.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    d = trackers.withColumn("_sun", V.flag(c("g_poa") >= g_gate)).repartition(tasks, *part)
+    steps = Window.partitionBy(*part, "_sun").orderBy(time)
+    peers = Window.partitionBy(*part, time).orderBy("mppt").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    # trackers of a bin share its expected power: it counts once
+    once = F.row_number().over(Window.partitionBy(*part, time, "_sun", "pac_model_w").orderBy("mppt")) == 1
+    d = d.withColumns({"_i": F.dense_rank().over(steps) - 1, "_once": once, "_peers": F.collect_list(F.struct("mppt", "v", "i")).over(peers)})
+    d = d.withColumns({
+        "_there": F.sort_array(F.collect_set("mppt").over(whole)), "_n": F.max("_i").over(Window.partitionBy(*part, "_sun")) + 1,
+        "_ref": F.percentile(F.when(c("_sun") & c("_once"), c("pac_model_w")), 0.95).over(whole),
+    })
+    d = d.withColumn("copy", F.explode(F.sequence(F.lit(1), F.lit(copies))))
     draw = lambda n: F.pmod(F.xxhash64(*keys, F.col(day).cast("string"), "copy", F.lit(n)), F.lit(10000)) / 10000.0
     u, code, reach = draw(1), None, 0.0
     for k, share in FAULT_SHARES[:-1]:
         reach += share
         code = F.when(u < reach, k) if code is None else code.when(u < reach, k)
-    d = d.withColumns({"fault": code.otherwise(FAULT_SHARES[-1][0]), "hit": F.get("_there", F.floor(draw(2) * F.size("_there")).cast("int")).cast("int"), "_sun": V.flag(c("g_poa") >= g_gate),
+    d = d.withColumns({"fault": code.otherwise(FAULT_SHARES[-1][0]), "hit": F.get("_there", F.floor(draw(2) * F.size("_there")).cast("int")).cast("int"),
                        "_a": 0.35 + 0.10 * draw(3), "_b": 0.70 + 0.10 * draw(4), "_standby": 0.85 + 0.10 * draw(5)})
-    part = [*keys, day, "copy"]
-    steps = d.select(*part, time, "_sun", "pac_model_w").distinct()
-    w = Window.partitionBy(*part, "_sun").orderBy(time)
-    steps = steps.withColumns({"_i": F.row_number().over(w) - 1, "_n": F.count(F.lit(1)).over(Window.partitionBy(*part, "_sun"))})
-    ref = steps.filter("_sun").groupBy(*part).agg(F.percentile("pac_model_w", 0.95).alias("_ref"))
-    d = d.join(steps.drop("_sun", "pac_model_w"), [*part, time]).join(ref, part, "left")
     mine, sun, f = c("mppt") == c("hit"), c("_sun"), c("fault")
     noon = (c("_n") <= 10) | ((c("_i") >= F.floor(c("_n") * c("_a"))) & (c("_i") < F.floor(c("_n") * c("_b"))))
-    current = F.when(sun & (f == 2), c("i") * 0.01).when(sun & mine & (f == 1), c("i") * 0.02).when(sun & mine & (f == 3) & noon, c("i") * 0.35).otherwise(c("i"))
-    volts = F.when(sun & mine & (f == 1), c("v") * 1.10).otherwise(c("v"))
-    d = d.withColumns({"i": current, "v": volts})
-    sums = d.groupBy(*part, time).agg(F.coalesce(F.sum(c("v") * c("i")), F.lit(0.0)).alias("_psum"))
-    d = d.join(sums, [*part, time])
+
+    def planted(own: Column, v: Column, i: Column) -> tuple[Column, Column]:
+        current = F.when(sun & (f == 2), i * 0.01).when(sun & own & (f == 1), i * 0.02).when(sun & own & (f == 3) & noon, i * 0.35).otherwise(i)
+        return F.when(sun & own & (f == 1), v * 1.10).otherwise(v), current
+
+    def power_of(row: Column) -> Column:
+        v, i = planted(row["mppt"] == c("hit"), row["v"], row["i"])
+        return F.coalesce(v * i, F.lit(0.0))
+
+    volts, current = planted(mine, c("v"), c("i"))
+    total = F.aggregate("_peers", F.lit(0.0), lambda a, row: a + power_of(row))
     limit = F.coalesce(F.when(c("_ref") > 0, c("_ref")), F.lit(1000.0)) * 0.65
     pac = (
-        F.when(sun & (f == 2), c("p_ac_w") * 0.01).when(sun & f.isin(1, 3) & c("p_ac_w").isNotNull(), F.least("p_ac_w", "_psum"))
+        F.when(sun & (f == 2), c("p_ac_w") * 0.01).when(sun & f.isin(1, 3) & c("p_ac_w").isNotNull(), F.least("p_ac_w", total))
         .when(sun & (f == 4) & c("p_ac_w").isNotNull(), F.least(c("p_ac_w"), limit)).otherwise(c("p_ac_w"))
     )
     grow = F.when(sun & (f == 5), 1.35).otherwise(1.0)
     extra = {"i_ac_a": F.when(sun & (f == 2), c("i_ac_a") * 0.01).otherwise(c("i_ac_a"))} if "i_ac_a" in trackers.columns else {}
     if "v_dc_v" in trackers.columns:
         extra["v_dc_v"] = F.when(sun & (f == 2), c("v_dc_v") * c("_standby")).otherwise(c("v_dc_v"))
-    d = d.withColumns({"p_ac_w": pac, "g_poa": c("g_poa") * grow, "pac_model_w": c("pac_model_w") * grow, **extra})
+    d = d.withColumns({"i": current, "v": volts, "p_ac_w": pac, "g_poa": c("g_poa") * grow, "pac_model_w": c("pac_model_w") * grow, **extra})
     y = F.when(f.isin(2, 4, 5), f).when(mine, f).otherwise(0)
     d = d.withColumns({"mismatch_rel": V.residual_rel(c("p_ac_w"), c("pac_model_w")), "y": y})
-    return d.drop("_sun", "_a", "_b", "_standby", "_i", "_n", "_ref", "_psum", "_there")
+    return d.drop("_sun", "_a", "_b", "_standby", "_i", "_n", "_ref", "_once", "_peers", "_there")
 
 
 def temporal_split(df: DataFrame, keys: Sequence[str], day: str = "day", fraction: float = 0.2, min_days: int = 1) -> DataFrame:

@@ -206,3 +206,12 @@ def test_faults_hit_the_trackers_that_are_there(spark):
         *[F.lit(x).alias(n) for n, x in (("v", 300.0), ("i", 5.0), ("p_ac_w", 1000.0), ("g_poa", 500.0), ("pac_model_w", 1000.0))])
     got = M.inject_faults(df, ["plant_id"], copies=200).select("plant_id", "copy", "fault", "hit").distinct().collect()
     assert {r.hit for r in got if r.plant_id == "two"} == {1, 2} and {r.hit for r in got if r.plant_id == "seven"} == {1, 2, 3, 5, 6, 8, 9}
+
+
+def test_injected_copies_are_not_shuffled(spark):
+    """One shuffle brings a day together before its copies are made; the power left is that of the changed trackers."""
+    got = M.inject_faults(tracker_day(spark), ["plant_id"], copies=20)
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1 and "Join" not in plan
+    bins = got.filter("fault IN (1, 3) AND g_poa >= 120").groupBy("day", "copy", "ts_15").agg(F.sum(F.col("v") * F.col("i")).alias("p"), F.max("p_ac_w").alias("pac"))
+    assert bins.filter("pac > p + 1e-6").isEmpty() and not bins.filter("abs(pac - p) < 1e-6").isEmpty()
