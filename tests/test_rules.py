@@ -215,3 +215,31 @@ def test_injected_copies_are_not_shuffled(spark):
     assert plan.count("Exchange hashpartitioning") == 1 and "Join" not in plan
     bins = got.filter("fault IN (1, 3) AND g_poa >= 120").groupBy("day", "copy", "ts_15").agg(F.sum(F.col("v") * F.col("i")).alias("p"), F.max("p_ac_w").alias("pac"))
     assert bins.filter("pac > p + 1e-6").isEmpty() and not bins.filter("abs(pac - p) < 1e-6").isEmpty()
+
+
+def test_parameter_search_stores_every_bin_once(spark, monkeypatch):
+    """Blocks are stored before the trials are multiplied out, with the columns that are read only."""
+    import pytest
+
+    from sunloom.gallery import QUERIES
+    from sunloom.gallery.fixtures import Tables
+    from sunloom.plans import mismatch as MM
+
+    class Seen(Exception):
+        pass
+
+    def spy(df):
+        raise Seen(df.columns, df.count())
+
+    monkeypatch.setattr(MM, "stored", spy)
+    with pytest.raises(Seen) as e:
+        QUERIES["d24_parameter_search"](spark, "/root/testdata/sf0.001")
+    columns, n = e.value.args
+    assert n == Tables(spark, "/root/testdata/sf0.001").bin_state.count() and not {"trial", "dni", "pressure"} & set(columns)
+
+
+def test_stored_tables_keep_their_columns(spark):
+    from sunloom.session import stored
+
+    df = spark.range(3).selectExpr("id", "null as nothing", "struct(id as `a b`, null as x) as s").select("id", "nothing", "s.`a b`")
+    assert stored(df).columns == df.columns and stored(df).collect() == df.collect()
