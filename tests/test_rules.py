@@ -243,3 +243,21 @@ def test_stored_tables_keep_their_columns(spark):
 
     df = spark.range(3).selectExpr("id", "null as nothing", "struct(id as `a b`, null as x) as s").select("id", "nothing", "s.`a b`")
     assert stored(df).columns == df.columns and stored(df).collect() == df.collect()
+
+
+def test_batch_detection_stores_its_rows_compressed(spark, monkeypatch):
+    import pytest
+
+    from sunloom.gallery import QUERIES
+    from sunloom.plans import detection as DE
+
+    class Seen(Exception):
+        pass
+
+    def spy(df):
+        raise Seen(df.columns)
+
+    monkeypatch.setattr(DE, "stored", spy)
+    with pytest.raises(Seen) as e:
+        QUERIES["d18_batch_fault_events"](spark, "/root/testdata/sf0.001")
+    assert {"plant_id", "ts_15", "source_oper"} <= set(e.value.args[0])
