@@ -47,3 +47,14 @@ def test_positions_with_null_keys(spark):
     for r in sorted(S.number_rows(d, S.Series(("a", "b"), "t")).collect(), key=lambda r: r["id"]):
         got.setdefault((r["a"], r["b"]), []).append(r["_pos"])
     assert len(got) == 4 and all(v == list(range(10)) for v in got.values())
+
+
+def test_tasks_after_a_shuffle_take_few_bytes_whatever_the_input(spark):
+    # 32 MB of random numbers: by the size alone, without regard to the cores, they were one task of the default 64 MB
+    kept = spark.conf.get("spark.sql.adaptive.coalescePartitions.parallelismFirst")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.parallelismFirst", "false")
+    try:
+        dealt = spark.range(4_000_000).select(F.rand(7).alias("x")).repartition("x")
+        assert dealt.rdd.getNumPartitions() >= 2
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.parallelismFirst", kept)
