@@ -169,32 +169,37 @@ def node_features(trackers: DataFrame, keys: Sequence[str], day: str = "day", ti
     """The fixed 19 features of each tracker and step.
 
     Needs v, i and the plant's values and scalers on each row.  Differences restart every day, so the
-    windows are one day long; peer statistics are per instant.
+    windows are one day long; peer statistics are per instant, and an instant lies in one day of its keys.
+    Rows are dealt by day once, with their finished features; all windows work on that one shuffle.
     """
     c = F.col
     pdc = c("v") * c("i")
-    peers = trackers.groupBy(*keys, time).agg(
-        F.coalesce(F.percentile("i", 0.5), F.lit(0.0)).alias("_im"), F.coalesce(F.percentile("v", 0.5), F.lit(0.0)).alias("_vm"),
-        F.coalesce(F.sum(pdc), F.lit(0.0)).alias("_ps"),
-    )
-    f = trackers.groupBy(*keys, day).agg(F.percentile("freq_hz", 0.5).alias("_fm")) if "freq_hz" in trackers.columns else None
-    d = trackers.join(peers, [*keys, time])
-    d = d.join(f, [*keys, day], "left") if f is not None else d.withColumns({"_fm": F.lit(None).cast("double"), "freq_hz": F.lit(None).cast("double")})
     zero = lambda x: F.coalesce(x, F.lit(0.0))
     clip = lambda x, lo, hi: F.greatest(F.least(x, F.lit(hi)), F.lit(lo))
-    level = {
+    own = {
         "v_mppt_n": scaled(c("v"), c("mppt_vdc_p99")), "i_mppt_n": scaled(c("i"), c("mppt_idc_p99")), "pdc_est_n": scaled(pdc, c("mppt_pdc_p99")),
-        "i_rel": clip(zero(c("i")) / (c("_im") + eps), 0.0, 5.0), "v_rel": clip((zero(c("v")) - c("_vm")) / (c("mppt_vdc_p99") + eps), -3.0, 3.0),
-        "share_p": clip(zero(pdc) / (c("_ps") + eps), 0.0, 1.0), "pac_n": scaled(c("p_ac_w"), c("pac_p99")),
-        "vdc_total_n": scaled(c("v_dc_v"), c("vdc_total_p99")), "iac_n": scaled(c("i_ac_a"), c("iac_p99")),
+        "pac_n": scaled(c("p_ac_w"), c("pac_p99")), "vdc_total_n": scaled(c("v_dc_v"), c("vdc_total_p99")), "iac_n": scaled(c("i_ac_a"), c("iac_p99")),
         "pac_model_n": scaled(c("pac_model_w"), c("pac_model_p99")), "mismatch_n": scaled_mismatch(c("mismatch_rel")),
-        "g_n": scaled(c("g_poa"), c("g_p99")), "t_n": scaled(c("temp_air"), c("t_p99")),
-        "vac_n": scaled(c("v_ac_v"), F.lit(1000.0)), "freq_n": scaled_frequency(c("freq_hz"), c("_fm")),
+        "g_n": scaled(c("g_poa"), c("g_p99")), "t_n": scaled(c("temp_air"), c("t_p99")), "vac_n": scaled(c("v_ac_v"), F.lit(1000.0)),
     }
-    w = Window.partitionBy(*keys, "mppt", day).orderBy(time)
+    freq = c("freq_hz") if "freq_hz" in trackers.columns else F.lit(None).cast("double").alias("freq_hz")
+    for k in (*keys, time):
+        trackers = trackers.filter(c(k).isNotNull())
+    d = trackers.select(*keys, day, time, "mppt", "v", "i", "mppt_vdc_p99", freq, *[e.alias(n) for n, e in own.items()]).repartition(*keys, day)
+    instant, whole = Window.partitionBy(*keys, day, time), Window.partitionBy(*keys, day)
+    w = Window.partitionBy(*keys, day, "mppt").orderBy(time)
     step = lambda n: zero(c(n) - F.lag(n).over(w))
-    d = d.withColumns(level).withColumns(
-        {"dv_mppt": clip(step("v_mppt_n"), -1.0, 1.0), "di_mppt": clip(step("i_mppt_n"), -1.0, 1.0), "dpac": step("pac_n"), "dmm": step("mismatch_n")}
+    d = d.withColumns(
+        {
+            "_im": zero(F.percentile("i", 0.5).over(instant)), "_vm": zero(F.percentile("v", 0.5).over(instant)), "_ps": zero(F.sum(pdc).over(instant)),
+            "_fm": F.when(c(day).isNotNull(), F.percentile("freq_hz", 0.5).over(whole)),
+        }
+    ).withColumns(
+        {
+            "i_rel": clip(zero(c("i")) / (c("_im") + eps), 0.0, 5.0), "v_rel": clip((zero(c("v")) - c("_vm")) / (c("mppt_vdc_p99") + eps), -3.0, 3.0),
+            "share_p": clip(zero(pdc) / (c("_ps") + eps), 0.0, 1.0), "freq_n": scaled_frequency(c("freq_hz"), c("_fm")),
+            "dv_mppt": clip(step("v_mppt_n"), -1.0, 1.0), "di_mppt": clip(step("i_mppt_n"), -1.0, 1.0), "dpac": step("pac_n"), "dmm": step("mismatch_n"),
+        }
     )
     return d.select(*keys, day, time, "mppt", *NODE_FEATURES)
 

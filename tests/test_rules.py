@@ -261,3 +261,20 @@ def test_batch_detection_stores_its_rows_compressed(spark, monkeypatch):
     with pytest.raises(Seen) as e:
         QUERIES["d18_batch_fault_events"](spark, "/root/testdata/sf0.001")
     assert {"plant_id", "ts_15", "source_oper"} <= set(e.value.args[0])
+
+
+def test_node_features_shuffle_once_and_need_whole_keys(spark):
+    scales = ["mppt_vdc_p99", "mppt_idc_p99", "mppt_pdc_p99", "pac_p99", "vdc_total_p99", "iac_p99", "pac_model_p99", "g_p99", "t_p99"]
+    values = ["p_ac_w", "v_dc_v", "i_ac_a", "pac_model_w", "mismatch_rel", "g_poa", "temp_air", "v_ac_v"]
+    n = F.col("id")
+    rows = spark.range(8).select(
+        F.when(n < 6, F.lit(1)).alias("plant_id"), F.floor(n / 100).alias("day"), F.timestamp_seconds(F.floor(n / 2) * 900).alias("ts_15"), (n % 2).alias("mppt"),
+        (n + 10.0).alias("v"), (n + 1.0).alias("i"), (F.lit(49.0) + n % 2).alias("freq_hz"), *[F.lit(1.0).alias(c) for c in (*scales, *values)])
+    out = M.node_features(rows, ["plant_id"])
+    assert out._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[-1].count("Exchange hashpartitioning") == 1
+    got = {(r["ts_15"].minute, r["mppt"]): r for r in out.collect()}
+    assert len(got) == 6  # rows without a plant have no peers and are left out
+    first = got[0, 0]
+    # at the first instant currents are 1 and 2, voltages 10 and 11; the median frequency of the day is 49.5
+    assert abs(first["i_rel"] - 1 / 1.5) < 1e-6 and first["v_rel"] < 0 and abs(first["share_p"] - 10 / 32) < 1e-6
+    assert first["freq_n"] == -0.2 and first["dv_mppt"] == 0.0 and got[15, 0]["dv_mppt"] == 0.0
