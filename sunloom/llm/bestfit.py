@@ -26,7 +26,7 @@ FAN = 8
 #: a level that saves less than this share of its bins is the last one
 LEAST_SAVED = 0.001
 BATCH_BYTES = 2 << 20
-#: bytes of words and ids that a task remembers between batches
+#: bytes of words and ids that a worker remembers between batches and tasks
 REMEMBERED_BYTES = 96 << 20
 #: about what two short objects and their place in a dict take besides their content
 _ENTRY_BYTES = 200
@@ -137,6 +137,16 @@ class WordBpe:
         return [b"".join(map(self._ids.__getitem__, words)) for words in cut]
 
 
+_LOADED: dict[str, WordBpe] = {}
+
+
+def loaded(path: str) -> WordBpe:
+    """One per worker process, with the words it remembers: the next task neither reads the file nor learns them again."""
+    if path not in _LOADED:
+        _LOADED[path] = WordBpe(path)
+    return _LOADED[path]
+
+
 def best_fit(sizes: list[int], window: int) -> tuple[list[int], list[int], list[int]]:
     """(bin of each item, its place in the bin, fill of each bin): largest items first, each into the fullest bin that takes it.
 
@@ -178,7 +188,7 @@ def local_bins(docs: DataFrame, path: str, window: int, chunk: int) -> DataFrame
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = WordBpe(path)
+        encoder = loaded(path)
         made = TaskContext.get().partitionId() << 36
         rows: list[tuple] = []
         tails: list[tuple] = []

@@ -141,3 +141,11 @@ def test_query_is_near_plain_best_fit(spark):
     full = sum(r["length"] == 4096 for r in got)
     plain = len(best_fit([r["length"] for r in got if r["length"] < 4096], 4096)[2])
     assert sequences <= full + plain * 1.01 + 1
+
+
+def test_encoder_of_a_worker_outlives_the_task():
+    from sunloom.llm.bestfit import loaded
+
+    first = loaded(WORDS)
+    want = first.encode_texts(["some words that stay"])
+    assert loaded(WORDS) is first and "words" in first._ids and loaded(WORDS).encode_texts(["some words that stay"]) == want
