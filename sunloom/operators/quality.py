@@ -70,8 +70,7 @@ def weather_qc(df: DataFrame, s: S.Series, cfg: QcConfig = QcConfig(), native: C
     d = apply_bounds(df.withColumn("_interp", interpolated))
     solar = [c for c in SOLAR if c in df.columns]
     # the first solar column with any value in the series decides what counts as daylight
-    seen = d.groupBy(*s.keys).agg(*[F.max(F.col(c).isNotNull()).alias(f"_has_{c}") for c in solar])
-    b = S.attach(S.blocks(d, s, before=11, after=9), seen, s)
+    b = S.blocks(d, s, before=11, after=9, seen={f"_has_{c}": F.col(c).isNotNull() for c in solar})
 
     def primary(prefix: str = "") -> Column:
         out = F.lit(None).cast("double")

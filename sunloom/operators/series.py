@@ -44,20 +44,25 @@ class Series:
         return Window.partitionBy(*self.keys, BLOCK).orderBy(POS)
 
 
-def number_rows(df: DataFrame, s: Series, name: str = POS) -> DataFrame:
-    """Exact 0-based position of each row in its series: slice offset + position in the slice."""
+def number_rows(df: DataFrame, s: Series, name: str = POS, seen: dict[str, Column] | None = None) -> DataFrame:
+    """Exact 0-based position of each row in its series: slice offset + position in the slice.
+
+    `seen` names tests; each becomes a column that tells whether any row of the series passes.
+    """
+    tests = seen or {}
     # one column for keys that may be NULL: join and window share its partitions
     slice_ = F.struct(*s.keys, F.floor(F.unix_seconds(F.col(s.time)) / s.slice_seconds).alias("_n"))
     sliced = df.withColumn("_slice", slice_)
-    sizes = sliced.groupBy("_slice").agg(F.count(F.lit(1)).alias("_rows"))
-    before = Window.partitionBy(*[F.col("_slice")[k] for k in s.keys]).orderBy("_slice._n").rowsBetween(Window.unboundedPreceding, -1)
-    starts = sizes.select("_slice", F.coalesce(F.sum("_rows").over(before), F.lit(0)).alias("_start"))
+    sizes = sliced.groupBy("_slice").agg(F.count(F.lit(1)).alias("_rows"), *[F.max(t).alias(n) for n, t in tests.items()])
+    whole = Window.partitionBy(*[F.col("_slice")[k] for k in s.keys])
+    before = whole.orderBy("_slice._n").rowsBetween(Window.unboundedPreceding, -1)
+    starts = sizes.select("_slice", F.coalesce(F.sum("_rows").over(before), F.lit(0)).alias("_start"), *[F.max(n).over(whole).alias(n) for n in tests])
     rank = F.row_number().over(Window.partitionBy("_slice").orderBy(*s.order)) - 1
     return sliced.join(starts, "_slice", "left").withColumn(name, F.col("_start") + rank).drop("_slice", "_start")
 
 
-def blocks(df: DataFrame, s: Series, before: int = 0, after: int = 0) -> DataFrame:
-    """Cut every series into blocks; rows near a border are copied into the neighbour as halo."""
+def blocks(df: DataFrame, s: Series, before: int = 0, after: int = 0, seen: dict[str, Column] | None = None) -> DataFrame:
+    """Cut every series into blocks; rows near a border are copied into the neighbour as halo.  `seen`: see `number_rows`."""
     rows = max(s.block_rows, before, after)
     pos = F.col(POS)
     home = F.floor(pos / rows)
@@ -66,7 +71,7 @@ def blocks(df: DataFrame, s: Series, before: int = 0, after: int = 0) -> DataFra
         targets.append(F.when(pos % rows >= rows - before, home + 1))
     if after:
         targets.append(F.when((pos % rows < after) & (home > 0), home - 1))
-    numbered = number_rows(df, s)
+    numbered = number_rows(df, s, seen=seen)
     if len(targets) == 1:
         return numbered.withColumn(BLOCK, home).withColumn(HALO, F.lit(False))
     return numbered.withColumn(BLOCK, F.explode(F.array_compact(F.array(*targets)))).withColumn(
