@@ -184,18 +184,25 @@ def csv_lines_to_weather(lines: DataFrame, file: str = "file") -> DataFrame:
 
     Each file's own header names its columns, so files with different columns can be read together.
     """
+    names = {"ghi": ["ghi"], "dni": ["dni"], "dhi": ["dhi"], "wind_speed": ["wind_speed"],
+             "temp_air": ["air_temperature"], "rh": ["relative_humidity", "rh"], "pressure": ["pressure"]}
+    clock = ("year", "month", "day", "hour", "minute")
     head = lines.filter(F.col("value").startswith("Year,")).select(
         F.col(file).alias("_f"), F.split(F.replace(F.lower("value"), F.lit(" "), F.lit("_")), ",").alias("_h")
     )
+    twice = F.raise_error(F.concat(F.lit("weather CSV: column named twice in "), F.array_join("_h", ","))).cast("int")
+    width = F.when(F.size(F.array_distinct("_h")) == F.size("_h"), F.size("_h")).otherwise(twice)
+    # where each name stands is found once per file, not in every line
+    wanted = [*clock, *[n for ns in names.values() for n in ns]]
+    head = head.select("_f", width.alias("_width"), *[(F.array_position("_h", n) - 1).cast("int").alias(f"_at_{n}") for n in wanted])
     data = lines.filter(F.col("value").rlike(r"^\s*\d{4},"))
-    m = F.map_from_arrays("_h", F.slice(F.split("value", ","), 1, F.size("_h")))
-    rows = data.join(head, data[file] == head["_f"]).withColumn("_m", m)
-    get = lambda n: F.try_element_at("_m", F.lit(n))
-    part = {n: get(n).try_cast("int") for n in ("year", "month", "day", "hour", "minute")}
+    cells = F.split("value", ",")
+    short = F.raise_error(F.concat(F.lit("weather CSV: cells are missing in "), F.col("value"))).cast("array<string>")
+    rows = data.join(head, data[file] == head["_f"]).withColumn("_c", F.when(F.size(cells) >= F.col("_width"), cells).otherwise(short))
+    get = lambda n: F.get("_c", F.col(f"_at_{n}"))
+    part = {n: get(n).try_cast("int") for n in clock}
     stamp = F.try_make_timestamp_ltz(*part.values(), F.lit(0).cast("decimal(16,6)"))
     bad = F.raise_error(F.concat(F.lit("weather CSV: bad timestamp in "), F.col("value"))).cast("timestamp")
-    names = {"ghi": ["ghi"], "dni": ["dni"], "dhi": ["dhi"], "wind_speed": ["wind_speed"],
-             "temp_air": ["air_temperature"], "rh": ["relative_humidity", "rh"], "pressure": ["pressure"]}
     return rows.select(
         file, F.coalesce(stamp, bad).alias("ts_utc"),
         *[V.finite(F.coalesce(*[get(n) for n in ns])).alias(c) for c, ns in names.items()],

@@ -77,6 +77,18 @@ def test_weather_csv_file_and_bad_timestamp(spark, tmp_path):
         L.read_weather_csv(spark, str(tmp_path)).collect()
 
 
+def test_weather_csv_finds_columns_once_per_file(spark):
+    head = [("a", "Year,Month,Day,Hour,Minute,DNI,GHI"), ("b", "Year,Month,Day,Hour,Minute,RH,GHI")]
+    body = [("a", "2024,1,1,0,0,7,5,surplus"), ("b", "2024,1,1,0,0,60,6")]
+    df = L.csv_lines_to_weather(spark.createDataFrame(head + body, "file string, value string"))
+    assert {r.file: (r.ghi, r.dni, r.rh) for r in df.collect()} == {"a": (5.0, 7.0, None), "b": (6.0, None, 60.0)}
+    # no map of names is built for every line
+    assert "map_from_arrays" not in df._jdf.queryExecution().optimizedPlan().toString()
+    for rows, fault in ((head + [("a", "2024,1,1,0,0,7")], "cells are missing"), ([("c", "Year,Month,Day,Hour,Minute,GHI,GHI"), ("c", "2024,1,1,0,0,7,5")], "named twice")):
+        with pytest.raises(PySparkException, match=fault):
+            L.csv_lines_to_weather(spark.createDataFrame(rows, "file string, value string")).collect()
+
+
 def test_catalogue_needs_its_headers(spark):
     with pytest.raises(ValueError, match="lacks headers"):
         L.check_catalogue(spark.createDataFrame([("x",)], "nome string"))
