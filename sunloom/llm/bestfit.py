@@ -5,7 +5,6 @@ import os
 import re
 import zlib
 from collections.abc import Iterator
-from itertools import filterfalse
 
 import pyarrow as pa
 from pyspark import TaskContext
@@ -94,7 +93,7 @@ class WordBpe:
         ids = self._ids
         plain, other, marked = [], [], []
         for word in new:
-            if _PLAIN_WORD(word):
+            if (word.isascii() and word.isalpha()) or _PLAIN_WORD(word):
                 plain.append(word)
             elif (found := _MARKED_WORD(word)) and not (special and self._special(word)):
                 marked.append((word, *found.groups()))
@@ -105,19 +104,22 @@ class WordBpe:
             (plain if _PLAIN_WORD(part) else other).append(part)
         calls = [plain[i : i + 512] for i in range(0, len(plain), 512)]
         found = self._library.encode_batch_fast([" ".join(c) for c in calls] + other, add_special_tokens=False)
+        held = 0
         for words, encoding in zip(calls, found, strict=False):
             tokens = np.array(encoding.ids, dtype="<u4")
             ends = (np.flatnonzero(self._closes[tokens]) + 1) * 4
             raw, start = tokens.tobytes(), 0
+            held += len(raw)
             for word, end in zip(words, ends.tolist(), strict=True):
                 ids[word] = raw[start:end]
                 start = end
         for word, encoding in zip(other, found[len(calls) :], strict=True):
-            ids[word] = np.array(encoding.ids, dtype="<u4").tobytes()
+            ids[word] = raw = np.array(encoding.ids, dtype="<u4").tobytes()
+            held += len(raw)
         for word, before, inner, after in marked:
-            ids[word] = ids[before] + ids[inner] + ids[after]
-        fresh = new | parts
-        self._used += sum(map(len, fresh)) + sum(map(len, map(ids.__getitem__, fresh))) + _ENTRY_BYTES * len(fresh)
+            ids[word] = raw = ids[before] + ids[inner] + ids[after]
+            held += len(raw)
+        self._used += held + sum(map(len, new)) + sum(map(len, parts)) + _ENTRY_BYTES * (len(new) + len(parts))
 
     def encode_texts(self, texts: list[str]) -> list[bytes]:
         """The ids of each text as little-endian 32-bit integers."""
@@ -129,12 +131,16 @@ class WordBpe:
             again = {w for words in cut for w in words} & self._ids.keys()
             self._ids = {"": b""} | {w: self._ids[w] for w in again}
             self._used = sum(_ENTRY_BYTES + len(w) + len(x) for w, x in self._ids.items())
-        new: set[str] = set()
-        for words in cut:
-            new.update(filterfalse(self._ids.__contains__, words))
+        # one look-up a word: in a large memory it costs more than anything done with the ids afterwards
+        held = [list(map(self._ids.get, words)) for words in cut]
+        gaps = [[k for k, ids in enumerate(found) if ids is None] for found in held]
+        new = {words[k] for words, gone in zip(cut, gaps, strict=True) for k in gone}
         if new:
             self._learn(new, any(map(self._special, texts)))
-        return [b"".join(map(self._ids.__getitem__, words)) for words in cut]
+        for words, found, gone in zip(cut, held, gaps, strict=True):
+            for k in gone:
+                found[k] = self._ids[words[k]]
+        return [b"".join(found) for found in held]
 
 
 _LOADED: dict[str, WordBpe] = {}

@@ -149,3 +149,30 @@ def test_encoder_of_a_worker_outlives_the_task():
     first = loaded(WORDS)
     want = first.encode_texts(["some words that stay"])
     assert loaded(WORDS) is first and "words" in first._ids and loaded(WORDS).encode_texts(["some words that stay"]) == want
+
+
+def test_known_words_are_looked_up_once():
+    import public_tokenizers
+
+    from sunloom.llm.bestfit import WordBpe
+
+    class Counted(dict):
+        asked = 0
+
+        def get(self, *args):
+            Counted.asked += 1
+            return super().get(*args)
+
+        def __getitem__(self, key):
+            Counted.asked += 1
+            return super().__getitem__(key)
+
+        def __contains__(self, key):
+            Counted.asked += 1
+            return super().__contains__(key)
+
+    encoder = WordBpe(public_tokenizers.path("word_bpe_49k.json"))
+    texts = ["a few words, and (some) words again", "", "été  and\nmore"]
+    first = encoder.encode_texts(texts)
+    encoder._ids = Counted(encoder._ids)
+    assert encoder.encode_texts(texts) == first and Counted.asked == sum(len(t.replace("\n", " ").split(" ")) for t in texts)
