@@ -6,7 +6,7 @@ import json
 import re
 from array import array
 from collections.abc import Iterable, Iterator
-from itertools import filterfalse
+from itertools import chain
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -71,35 +71,37 @@ class PieceMemo:
                     first, *rest = _SPACE.split(stretch) if _LOOSE_SPACE(stretch) else stretch.split(" ")
                     parts.append((first, [" " + p for p in rest]))
             cut.append(parts)
-        out = []
         if self._held > self.room():
             # pieces that this batch has again are the frequent ones
             again = {p for parts in cut for x in parts if type(x) is tuple for p in (x[0], *x[1])} & self.pieces.keys()
             self.pieces = {p: self.pieces[p] for p in again}
             self._held = entry_bytes(self.pieces, again)
+        # one look-up a piece: in a large memory it costs more than anything done with the ids afterwards
+        pieces = self.pieces
+        held, gaps = [], []
         new: set[str] = set()
         for parts in cut:
+            found: list = []
             for x in parts:
                 if type(x) is tuple:
-                    if x[0] not in self.pieces:
-                        new.add(x[0])
-                    new.update(filterfalse(self.pieces.__contains__, x[1]))
-        new.discard("")
+                    names = [x[0], *x[1]] if x[0] else x[1]
+                    known = list(map(pieces.get, names))
+                    gone = [k for k, ids in enumerate(known) if ids is None]
+                    if gone:
+                        missed = [names[k] for k in gone]
+                        new.update(missed)
+                        gaps.append((known, gone, missed))
+                    found.append(known)
+                else:
+                    found.append((x,))
+            held.append(found)
         if new:
             self._learn(new)
-            self._held += entry_bytes(self.pieces, new)
-        pieces = self.pieces
-        for parts in cut:
-            done = []
-            for x in parts:
-                if type(x) is tuple:
-                    if x[0]:
-                        done.append(pieces[x[0]])
-                    done += map(pieces.__getitem__, x[1])
-                else:
-                    done.append(x)
-            out.append(b"".join(done))
-        return out
+            self._held += entry_bytes(pieces, new)
+        for known, gone, missed in gaps:
+            for k, name in zip(gone, missed, strict=True):
+                known[k] = pieces[name]
+        return [b"".join(found[0]) if len(found) == 1 else b"".join(chain.from_iterable(found)) for found in held]
 
 
 class TrieBpe(PieceMemo):
