@@ -278,3 +278,37 @@ def test_node_features_shuffle_once_and_need_whole_keys(spark):
     # at the first instant currents are 1 and 2, voltages 10 and 11; the median frequency of the day is 49.5
     assert abs(first["i_rel"] - 1 / 1.5) < 1e-6 and first["v_rel"] < 0 and abs(first["share_p"] - 10 / 32) < 1e-6
     assert first["freq_n"] == -0.2 and first["dv_mppt"] == 0.0 and got[15, 0]["dv_mppt"] == 0.0
+
+
+def test_parameter_search_never_stores_judged_rows(spark, monkeypatch):
+    """Rows are multiplied by the trials on reading only; what is stored beside the bins are summaries."""
+    from sunloom.gallery.fixtures import Tables
+    from sunloom.gallery.report_queries import SER, TZ, channels, runtime_input
+    from sunloom.plans import mismatch as MM
+    from sunloom.plans import sweep as SW
+
+    sizes = []
+
+    def spy(df, stored=MM.stored):
+        sizes.append((out := stored(df)).count())
+        return out
+
+    monkeypatch.setattr(MM, "stored", spy)
+    t = Tables(spark, "/root/testdata/sf0.001")
+    got = SW.parameter_search(runtime_input(t), SER, channels(), SW.trials(3), tz=TZ)
+    bins = t.bin_state.count()
+    assert sizes[0] == bins and max(sizes[1:]) < bins / 10
+    assert got.agg(F.sum("total")).first()[0] == 3 * bins
+
+
+def test_long_rule_chains_run_in_methods_the_jvm_compiles(spark):
+    import pytest
+
+    from sunloom.session import short_methods
+
+    name = "spark.sql.codegen.hugeMethodLimit"
+    before = spark.conf.get(name)
+    with pytest.raises(KeyError), short_methods(spark):
+        assert spark.conf.get(name) == "8000"
+        raise KeyError
+    assert spark.conf.get(name) == before

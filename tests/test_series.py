@@ -122,3 +122,15 @@ def test_legacy_thresholds_on_the_edge(spark):
     df = spark.createDataFrame([(-0.40,), (-0.399,), (0.25,), (0.40,), (-0.90,), (-0.899,), (None,)], "m double")
     got = [r[0] for r in df.select(D.legacy_label(F.col("m"), F.lit(180.0), F.lit(True))).collect()]
     assert got == ["degradation", "normal", "normal", "meteo_error", "string_disconnected", "degradation", "invalid"]
+
+
+def test_filters_carry_unread_columns_as_one_value(spark):
+    """Columns of any name come back in their place, and the windows see the read ones and one struct."""
+    df = spark.range(50).selectExpr("id % 2 as k", "timestamp_seconds(id * 900) as t", "cast(id % 7 as double) as z", "if(id % 3 = 0, null, id) as `a b`", "cast(id as string) as `x.y`")
+    s = S.Series(("k",), "t", block_rows=16)
+    b = S.blocks(df, s)
+    out = S.add_filters(b, s, "z", F.col("z") > 0, 0.2, 0.5)
+    assert out.columns[: len(b.columns)] == b.columns and out.columns[len(b.columns):] == ["ewma", "cusum_pos", "cusum_neg", "cusum_score"]
+    plan = out._jdf.queryExecution().analyzed().toString()
+    assert "AS _row" in plan and all("x.y" not in line for line in plan.split("\n") if " Window " in line)
+    assert sorted(map(str, out.select("k", "`a b`", "`x.y`", "z").collect())) == sorted(map(str, df.select("k", "`a b`", "`x.y`", "z").collect()))
