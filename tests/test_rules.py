@@ -312,3 +312,36 @@ def test_long_rule_chains_run_in_methods_the_jvm_compiles(spark):
         assert spark.conf.get(name) == "8000"
         raise KeyError
     assert spark.conf.get(name) == before
+
+
+def test_batch_detection_solves_a_bin_once_without_storing_it_before_its_blocks(spark, monkeypatch):
+    import pytest
+
+    from sunloom.gallery import QUERIES
+    from sunloom.operators import detect as D
+    from sunloom.plans import detection as DE
+
+    class Seen(Exception):
+        pass
+
+    stores = []
+
+    def spy(df, stored=DE.stored):
+        stores.append(df.columns)
+        return stored(df)
+
+    def blocks(df):
+        raise Seen(df._jdf.queryExecution().optimizedPlan().toString())
+
+    monkeypatch.setattr(DE, "stored", spy)
+    monkeypatch.setattr(D, "stored", blocks)
+    name = "spark.sql.debug.maxToStringFields"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "10000")
+    try:
+        with pytest.raises(Seen) as e:
+            QUERIES["d18_batch_detection"](spark, "/root/testdata/sf0.001")
+    finally:
+        spark.conf.set(name, before)
+    assert len(stores) == 1 and "p_dc_exp_w" not in stores[0]
+    assert e.value.args[0].count("AS _mpp#") == 1
